@@ -27,7 +27,7 @@ CTES: dict[str, str] = {}
 CTES["fx_r0"] = f"""
 SELECT l_orderkey AS ok, l_linenumber AS ln, l_partkey AS pk, l_suppkey AS sk,
        l_extendedprice AS price, l_quantity AS qty, l_returnflag AS rf, l_shipdate AS ship,
-       (l_orderkey*7 + l_partkey*13 + l_linenumber*17) % 91 - 10 AS dm,
+       (((l_orderkey*7 + l_partkey*13 + l_linenumber*17) % 91) * (l_partkey % 8)) // 8 - 10 AS dm,
        TIMESTAMP '2026-07-01'
          + to_days(CAST(date_diff('day', DATE '1995-01-01', CAST(l_shipdate AS DATE)) % 31 AS INTEGER))
          + to_minutes(CAST((l_suppkey*37 + l_linenumber*53) % 1440 AS BIGINT)) AS pa,

@@ -89,7 +89,7 @@ class Fixture:
         no_arr_plan = (ln == 1) & (ok % 4 == 0)
         secs = F.make_dt_interval(secs=(ok % 60).cast("decimal(18,6)"))
         return (li
-                .withColumn("dm", (ok * 7 + pk * 13 + ln * 17) % 91 - 10)
+                .withColumn("dm", F.expr("(((ok * 7 + pk * 13 + ln * 17) % 91) * (pk % 8)) div 8 - 10"))
                 .withColumn("pa", pa)
                 .withColumn("st_idx", st_idx)
                 .select(
