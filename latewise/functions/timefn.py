@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 LOCAL_TZ = "Europe/Berlin"
-_EPOCH_NTZ = F.lit(_dt.datetime(1970, 1, 1))
+_EPOCH = _dt.datetime(1970, 1, 1)
 
 
 def _c(x) -> Column:
@@ -82,7 +82,7 @@ def parse_board_time(day, t) -> Column:
 
 
 def epoch_to_utc_ntz(epoch_seconds) -> Column:
-    return _EPOCH_NTZ + F.make_dt_interval(secs=_c(epoch_seconds).cast("decimal(18,6)"))
+    return F.lit(_EPOCH) + F.make_dt_interval(secs=_c(epoch_seconds).cast("decimal(18,6)"))
 
 
 def epoch_to_local(epoch_seconds, tz: str = LOCAL_TZ) -> Column:
