@@ -101,9 +101,11 @@ def iso_to_local(text, tz: str = LOCAL_TZ) -> Column:
     has_off = t.rlike(r"(Z|[+-]\d{2}:?\d{2})$")
     naive = F.try_to_timestamp(F.regexp_replace(t, "T", " ")).cast("timestamp_ntz")
     stripped = F.regexp_replace(F.regexp_replace(t, r"(Z|[+-]\d{2}:?\d{2})$", ""), "T", " ")
-    off = F.regexp_extract(t, r"([+-]\d{2}:?\d{2})$", 1)
-    sign = F.when(F.substring(off, 1, 1) == "-", F.lit(-1)).otherwise(F.lit(1))
-    off_min = sign * (F.substring(off, 2, 2).cast("int") * 60 + F.substring(F.regexp_replace(off, ":", ""), 4, 2).cast("int"))
+    hh = F.regexp_extract(t, r"([+-]\d{2}):?(\d{2})$", 1)
+    mm = F.regexp_extract(t, r"([+-]\d{2}):?(\d{2})$", 2)
+    off_min = F.when(hh == "", F.lit(0)).otherwise(
+        hh.try_cast("int") * 60
+        + F.when(F.substring(hh, 1, 1) == "-", -1).otherwise(1) * mm.try_cast("int"))
     wall = F.try_to_timestamp(stripped).cast("timestamp_ntz")
     utc = wall - F.make_dt_interval(mins=F.coalesce(off_min, F.lit(0)))
     return F.when(has_off, F.convert_timezone(F.lit("UTC"), F.lit(tz), utc)).otherwise(naive)
