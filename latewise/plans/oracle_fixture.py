@@ -151,15 +151,19 @@ def _deps(sql: str) -> set[str]:
 
 
 def cte(body: str) -> str:
-    needed: set[str] = set()
-    todo = list(_deps(body))
-    while todo:
-        n = todo.pop()
-        if n in needed:
-            continue
-        needed.add(n)
-        todo.extend(_deps(CTES[n]) - needed - {n})
-    names = [n for n in _ORDER if n in needed]
+    """Prepend the CTEs ``body`` needs, dependencies first."""
+    names: list[str] = []
+
+    def visit(n: str, seen: set[str]) -> None:
+        if n in names or n in seen:
+            return
+        seen.add(n)
+        for d in sorted(_deps(CTES[n]) - {n}, key=_ORDER.index):
+            visit(d, seen)
+        names.append(n)
+
+    for n in sorted(_deps(body), key=_ORDER.index):
+        visit(n, set())
     if not names:
         return body.strip()
     head = "WITH " + ",\n".join(f"{n} AS ({CTES[n].strip()})" for n in names)
