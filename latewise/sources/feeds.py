@@ -167,3 +167,102 @@ def it_obs(latest: DataFrame) -> DataFrame:
         F.col("arrival_planned_time").alias("arr_plan"), F.col("arrival_change_time").alias("arr_real"),
         F.col("departure_planned_time").alias("dep_plan"), F.col("departure_change_time").alias("dep_real"),
         canc.alias("arr_cncl"), canc.alias("dep_cncl"))
+
+
+# -- station universes, seeds and landed lookup answers ---------------------------------
+
+COUNTRIES = ["NL", "BE", "DE", "FR", "CH", "AT"]
+
+
+def station_list_raw(latest: DataFrame) -> DataFrame:
+    """A station list file (S7): codes with blanks, case and duplicates; file order = ok."""
+    ok = F.col("ok")
+    code = F.concat(F.lit("c"), _x())
+    return latest.filter(F.col("ln") == 1).select(
+        F.when(ok % 5 == 0, F.concat(F.lit(" "), F.upper(code), F.lit(" "))).when(ok % 5 == 1, F.lit(""))
+         .when(ok % 5 == 2, F.lit(None).cast("string")).otherwise(code).alias("code"),
+        F.concat(F.lit("84"), _x()).alias("uic"), F.col("station_name").alias("name_long"),
+        _pick(COUNTRIES, F.col("sk") % 6).alias("country"), ok.alias("line_no"))
+
+
+def _code() -> Column:
+    return F.when(_st_idx() == 3, F.concat(F.lit("N"), _x())).otherwise(F.concat(F.lit("S"), _x()))
+
+
+def it_universe(latest):
+    return latest.select(_code().alias("code"), F.col("xml_station_name").alias("name"),
+                         F.when(_st_idx() % 4 == 0, 1).otherwise(2).alias("tipo")).distinct()
+
+
+def it_existing(latest):
+    return (latest.filter(_st_idx().isin(0, 1))
+            .select(_code().alias("code"), F.concat(F.lit("083"), _x()).alias("eva"),
+                    F.col("xml_station_name").alias("name")).distinct())
+
+
+def it_seed(latest):
+    return (latest.filter((_st_idx() <= 7) & (_st_idx() != 3))
+            .select(_code().alias("code"),
+                    F.when(_st_idx() == 5, F.lit("08399999")).otherwise(F.concat(F.lit("083"), _x())).alias("eva"),
+                    F.col("xml_station_name").alias("name"), (_st_idx() % 3 == 0).alias("main")).distinct())
+
+
+def it_candidates(latest):
+    u = latest.select(_code().alias("code"), F.col("xml_station_name").alias("name"), _x().alias("x"),
+                      _st_idx().alias("st")).distinct()
+    u = u.withColumn("rank", F.explode(F.sequence(F.lit(1), F.lit(3))))
+    r = F.col("rank")
+    token = F.when(r == 1, F.concat(F.lit("85"), "x")).otherwise(F.concat(F.lit("83"), "x"))
+    ext = (F.when(r == 1, F.concat(F.lit("85"), "x"))
+           .when(r == 2, F.when(F.col("st") == 6, F.lit("")).otherwise(F.concat(F.lit("83"), "x")))
+           .otherwise(F.concat(F.lit("830"), "x")))
+    return u.select("code", "rank", F.concat(F.lit("A=1@O="), "name", F.lit("@i=U.00"), token, F.lit("@")).alias("loc_id"),
+                    ext.alias("ext_id"), F.concat("name", F.lit(" ("), r.cast("string"), F.lit(")")).alias("c_name"))
+
+
+def it_board_counts(latest):
+    return latest.groupBy(_code().alias("code")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def gtfs_tables(latest):
+    """stops, routes, trips, stop_times of a static timetable, all columns text."""
+    ok, sk = F.col("ok"), F.col("sk")
+    child = latest.select(
+        F.concat(F.lit("sp"), "eva").alias("stop_id"),
+        F.when(sk % 6 < 3, F.concat(F.lit("P"), _x())).alias("parent_station"),
+        F.col("xml_station_name").alias("stop_name"),
+        F.concat(F.lit("47."), F.lpad((_st_idx() * 37 + sk % 6).cast("string"), 3, "0")).alias("stop_lat"),
+        F.concat(F.lit("9."), F.lpad((_st_idx() * 53).cast("string"), 3, "0")).alias("stop_lon")).distinct()
+    parent = latest.select(
+        F.concat(F.lit("P"), _x()).alias("stop_id"), F.lit(None).cast("string").alias("parent_station"),
+        F.col("xml_station_name").alias("stop_name"),
+        F.concat(F.lit("47."), F.lpad((_st_idx() * 37).cast("string"), 3, "0")).alias("stop_lat"),
+        F.concat(F.lit("9."), F.lpad((_st_idx() * 53).cast("string"), 3, "0")).alias("stop_lon")).distinct()
+    stops = child.unionByName(parent)
+    routes = latest.select(F.concat(F.lit("r"), (ok % 40).cast("string")).alias("route_id"),
+                           F.when((ok % 40) % 5 == 0, F.lit("3")).otherwise(F.lit("2")).alias("route_type")).distinct()
+    trips = latest.select(F.concat(F.lit("t"), ok.cast("string")).alias("trip_id"),
+                          F.concat(F.lit("r"), (ok % 40).cast("string")).alias("route_id")).distinct()
+    stop_times = latest.select(F.concat(F.lit("t"), ok.cast("string")).alias("trip_id"),
+                               F.concat(F.lit("sp"), "eva").alias("stop_id"))
+    return stops, routes, trips, stop_times
+
+
+def geo_candidates(stops: DataFrame) -> DataFrame:
+    """Landed name-search answers: four candidates per station name, near and far."""
+    base = (stops.filter(F.col("parent_station").isNull() & F.col("stop_id").startswith("P"))
+            .select(F.col("stop_name").alias("query"), F.substring("stop_id", 2, 5).alias("x"),
+                    F.col("stop_lat").cast("double").alias("lat"), F.col("stop_lon").cast("double").alias("lon"),
+                    F.substring("stop_id", 5, 2).cast("int").alias("st")))
+    b = base.withColumn("rank", F.explode(F.sequence(F.lit(1), F.lit(4))))
+    r = F.col("rank")
+    return b.select(
+        "query", "rank",
+        F.when(r == 1, F.lit("POI")).otherwise(F.lit("ST")).alias("type"),
+        F.when(r == 2, F.concat(F.lit("80"), "x")).otherwise(F.concat(F.lit("81"), "x")).alias("ext_id"),
+        F.when(r == 3, F.when(F.col("st") % 2 == 0, F.array(F.lit("BUS"))).otherwise(F.array(F.lit("REGIONAL"))))
+         .otherwise(F.array(F.lit("ICE"), F.lit("BUS"))).alias("products"),
+        (F.col("lat") + F.when(r == 4, F.when(F.col("st") % 3 == 0, F.lit(0.05)).otherwise(F.lit(0.005)))
+         .otherwise(F.lit(0.001))).alias("c_lat"),
+        F.col("lon").alias("c_lon"),
+        F.concat("query", F.lit(" Hbf")).alias("c_name"))
