@@ -25,16 +25,16 @@ def explode_stops(docs: DataFrame, xml_col: str = "response_data", keep: tuple =
     return parsed.select(*keep, F.explode("_t.s").alias("s"))
 
 
-def plan_messages(docs: DataFrame) -> DataFrame:
+def plan_messages(docs: DataFrame, keep: tuple = ("xml_timestamp",)) -> DataFrame:
     """Stops of plan documents: id, run number (zeros stripped), normalised line
     label, planned times. Stops without a trip label or an id are dropped."""
-    st = explode_stops(docs).filter(F.col("s.tl").isNotNull() & F.col("s._id").isNotNull() & (F.col("s._id") != ""))
+    st = explode_stops(docs, keep=keep).filter(F.col("s.tl").isNotNull() & F.col("s._id").isNotNull() & (F.col("s._id") != ""))
     raw_line = F.coalesce(F.when(F.col("s.ar._l") != "", F.col("s.ar._l")), F.col("s.dp._l"))
     return st.select(
         F.col("s._id").alias("id"), strip_zeros(F.coalesce("s.tl._n", F.lit(""))).alias("train"),
         live_line_label(raw_line, F.col("s.tl._c")).alias("line"),
         parse_compact_time("s.ar._pt").alias("ar_pt"), parse_compact_time("s.dp._pt").alias("dp_pt"),
-        "xml_timestamp")
+        *keep)
 
 
 def _qualifying(msgs: Column) -> Column:
@@ -57,17 +57,17 @@ def latest_cause(stop: Column, tie: str = "first") -> Column:
     return F.aggregate(_qualifying(msgs), init, step)
 
 
-def change_messages(docs: DataFrame, tie: str = "first") -> DataFrame:
+def change_messages(docs: DataFrame, tie: str = "first", keep: tuple = ("xml_timestamp",)) -> DataFrame:
     """Stops of change documents: change times, cancelled if any side carries a
     cancellation time, latest cause; stops with neither a change nor a cancellation are
     dropped."""
-    st = explode_stops(docs)
+    st = explode_stops(docs, keep=keep)
     ar_ct, dp_ct = parse_compact_time("s.ar._ct"), parse_compact_time("s.dp._ct")
     canceled = F.col("s.ar._clt").isNotNull() | F.col("s.dp._clt").isNotNull()
     cause = latest_cause(F.col("s"), tie)
     out = st.select(F.col("s._id").alias("id"), ar_ct.alias("arrival_change_time"),
                     dp_ct.alias("departure_change_time"), canceled.alias("is_canceled"),
-                    cause.code.alias("reason_code"), cause.ts.alias("reason_ts"), "xml_timestamp",
+                    cause.code.alias("reason_code"), cause.ts.alias("reason_ts"), *keep,
                     F.col("s.ar._ct").alias("_a"), F.col("s.dp._ct").alias("_d"))
     return out.filter(F.col("_a").isNotNull() | F.col("_d").isNotNull() | F.col("is_canceled")).drop("_a", "_d")
 
