@@ -166,8 +166,11 @@ def cte(body: str) -> str:
         visit(n, set())
     if not names:
         return body.strip()
-    head = "WITH " + ",\n".join(f"{n} AS ({CTES[n].strip()})" for n in names)
     body = body.strip()
+    recursive = body[:14].upper() == "WITH RECURSIVE"
+    head = ("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join(f"{n} AS ({CTES[n].strip()})" for n in names)
+    if recursive:
+        return head + ",\n" + body[14:].lstrip()
     if body[:4].upper() == "WITH":
         return head + ",\n" + body[4:].lstrip()
     return head + "\n" + body

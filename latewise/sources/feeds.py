@@ -266,3 +266,59 @@ def geo_candidates(stops: DataFrame) -> DataFrame:
          .otherwise(F.lit(0.001))).alias("c_lat"),
         F.col("lon").alias("c_lon"),
         F.concat("query", F.lit(" Hbf")).alias("c_name"))
+
+
+# -- IT run snapshots and board rows ------------------------------------------------------
+
+def _ms_rome(c: str) -> Column:
+    utc = F.convert_timezone(F.lit("Europe/Rome"), F.lit("UTC"), F.col(c))
+    return seconds_between(F.lit(_dt.datetime(1970, 1, 1)), utc) * 1000
+
+
+def it_runs(latest: DataFrame) -> DataFrame:
+    """Per run (order): origin, number, category, destination, departure ms."""
+    first_t = F.min_by(F.coalesce("departure_planned_time", "arrival_planned_time"), "ln")
+    r = latest.groupBy("ok").agg(first_t.alias("first_t"), F.min_by(F.concat(F.lit("S"), _x()), "ln").alias("origin"),
+                                 F.min_by("train_type", "ln").alias("category"),
+                                 F.min_by("final_destination_station", "ln").alias("dest"))
+    r = r.select(
+        "ok", "origin", "category", "dest", (F.col("ok") % 900 + 100).cast("string").alias("number"),
+        F.when(F.col("ok") % 23 == 0, 1).otherwise(0).alias("provv"),
+        F.date_format("first_t", "yyyyMMdd").alias("day"),
+        _ms_rome_of(F.col("first_t")).alias("dep_ms"))
+    return r.withColumn("train_key", F.concat_ws("-", "origin", "number", F.col("dep_ms").cast("string")))
+
+
+def _ms_rome_of(c: Column) -> Column:
+    utc = F.convert_timezone(F.lit("Europe/Rome"), F.lit("UTC"), c)
+    return seconds_between(F.lit(_dt.datetime(1970, 1, 1)), utc) * 1000
+
+
+def it_run_payloads(latest: DataFrame) -> DataFrame:
+    ok, ln = F.col("ok"), F.col("ln")
+    shift = F.when((ln >= 4) & (ok % 5 == 0), F.lit(86_400_000)).otherwise(F.lit(0))
+    f = F.struct(
+        F.when((ln == 3) & (ok % 5 == 0), F.lit(None).cast("string")).otherwise(F.concat(F.lit("S"), _x())).alias("id"),
+        (_ms_rome("arrival_planned_time") - shift).alias("arrivo_teorico"),
+        (_ms_rome("arrival_change_time") - shift).alias("arrivoReale"),
+        (_ms_rome("departure_planned_time") - shift).alias("partenza_teorica"),
+        (_ms_rome("departure_change_time") - shift).alias("partenzaReale"),
+        F.when((ln == 2) & (ok % 6 == 0), 3).otherwise(0).alias("actualFermataType"))
+    st = latest.groupBy("ok").agg(F.sort_array(F.collect_list(F.struct("ln", f.alias("f")))).alias("fs"))
+    r = it_runs(latest).join(st, "ok")
+    payload = F.to_json(F.struct(
+        F.col("number").alias("numeroTreno"), F.col("category").alias("categoria"), F.col("dest").alias("destinazione"),
+        F.col("provv").alias("provvedimento"), F.col("dep_ms").alias("dataPartenzaTreno"),
+        F.transform("fs", lambda x: x.f).alias("fermate")))
+    return r.select("day", "train_key", "number", payload.alias("payload"))
+
+
+def it_board_rows(latest: DataFrame) -> DataFrame:
+    ok = F.col("ok")
+    r = it_runs(latest).select("ok", F.col("origin").alias("r_origin"), F.col("number").alias("r_number"), "dep_ms")
+    b = latest.join(r, "ok")
+    fetch = (_ms_rome_of(F.coalesce("arrival_planned_time", "departure_planned_time")) / 1000).cast("long") - 3600
+    return b.select(F.when(ok % 31 == 0, F.lit("")).otherwise(F.col("r_number")).alias("num"),
+                    F.when(ok % 29 == 0, F.lit(None).cast("string")).otherwise(F.col("r_origin")).alias("origin"),
+                    "dep_ms", F.col("train_type").alias("category"), fetch.alias("fetch_ts"),
+                    F.col("ln").alias("seq"), F.col("id").alias("board_id"))
