@@ -105,3 +105,66 @@ def journey_stops(legs: DataFrame) -> DataFrame:
                     F.struct(F.col("dest_id").alias("station"), F.col("planned_arrival").alias("t")))
     e = t.select(F.inline(pairs)).filter(F.col("station").isNotNull() & (F.col("station") != "") & F.col("t").isNotNull())
     return e.select(pad_station("station").alias("eva"), "t").distinct()
+
+
+BOARD_SCHEMA = ("res STRUCT<common: STRUCT<prodL: ARRAY<STRUCT<prodCtx: STRUCT<num: STRING, catOutS: STRING, line: STRING>>>>, "
+                "jnyL: ARRAY<STRUCT<date: STRING, jid: STRING, prodX: INT, dirTxt: STRING, stbStop: STRUCT<"
+                "aTimeS: STRING, aTimeR: STRING, dTimeS: STRING, dTimeR: STRING, aCncl: BOOLEAN, dCncl: BOOLEAN>>>>")
+
+
+def board_messages(boards: DataFrame, json_col: str = "payload") -> DataFrame:
+    """Station board JSON (``eva``, ``btype`` ARR|DEP) -> observation rows. A row
+    needs a service day, a run id (``#ZI#<digits>#``), a valid product index and a
+    planned side; the destination is taken from departure boards only."""
+    from latewise.functions.timefn import parse_board_time
+    b = boards.select("eva", "btype", F.from_json(F.col(json_col), BOARD_SCHEMA).alias("p"))
+    prods = F.col("p.res.common.prodL")
+    j = b.select("eva", "btype", prods.alias("prods"), F.explode("p.res.jnyL").alias("j"))
+    zi = F.regexp_extract("j.jid", r"#ZI#(\d+)#", 1)
+    n = F.size(F.coalesce("prods", F.array()))
+    valid = ((F.col("j.date").isNotNull() & (F.col("j.date") != "")) & (zi != "")
+             & F.col("j.prodX").isNotNull() & (F.col("j.prodX") >= 0) & (F.col("j.prodX") < n))
+    j = j.filter(valid).withColumn("ctx", F.element_at("prods", F.col("j.prodX") + 1).prodCtx)
+    st = F.col("j.stbStop")
+    ap, dp = parse_board_time("j.date", st.aTimeS), parse_board_time("j.date", st.dTimeS)
+    blank = lambda c: F.nullif(F.trim(c), F.lit(""))
+    return j.filter(ap.isNotNull() | dp.isNotNull()).select(
+        F.col("j.date").alias("day"), "eva", zi.alias("zi"), blank(F.col("ctx.num")).alias("train_number"),
+        blank(F.col("ctx.catOutS")).alias("category"), blank(F.col("ctx.line")).alias("line"),
+        F.when(F.col("btype") == "DEP", F.col("j.dirTxt")).alias("final_dest"),
+        ap.alias("arr_plan"), parse_board_time("j.date", st.aTimeR).alias("arr_real"),
+        dp.alias("dep_plan"), parse_board_time("j.date", st.dTimeR).alias("dep_real"),
+        F.when(F.coalesce(st.aCncl, F.lit(False)), 1).otherwise(0).alias("arr_cncl"),
+        F.when(F.coalesce(st.dCncl, F.lit(False)), 1).otherwise(0).alias("dep_cncl"))
+
+
+TRIP_SCHEMA = ("trip_update STRUCT<trip: STRUCT<trip_id: STRING, start_date: STRING, schedule_relationship: INT>, "
+               "stop_time_update: ARRAY<STRUCT<stop_id: STRING, arrival: STRUCT<time: BIGINT, delay: BIGINT>, "
+               "departure: STRUCT<time: BIGINT, delay: BIGINT>, schedule_relationship: INT>>>")
+
+
+def trip_updates(entities: DataFrame, json_col: str = "entity") -> DataFrame:
+    """Trip-update entities -> stop rows. A cancelled trip without stop updates keeps
+    one marker row with an empty stop; rows without times are dropped unless the stop is
+    skipped or the trip cancelled."""
+    from latewise.functions.keys import fr_train_number, stop_uic8
+    e = entities.select(F.from_json(F.col(json_col), TRIP_SCHEMA).alias("e")).select(F.col("e.trip_update").alias("tu"))
+    e = e.filter(F.col("tu").isNotNull())
+    trip_rel = F.col("tu.trip.schedule_relationship")
+    stus = F.coalesce(F.col("tu.stop_time_update"), F.array())
+    marker = (F.size(stus) == 0) & (trip_rel == 3)
+    e = e.withColumn("stus", F.when(marker, F.array(F.struct(
+        F.lit("").alias("stop_id"), F.lit(None).cast("struct<time: bigint, delay: bigint>").alias("arrival"),
+        F.lit(None).cast("struct<time: bigint, delay: bigint>").alias("departure"),
+        F.lit(None).cast("int").alias("schedule_relationship")))).otherwise(stus)).withColumn("marker", marker)
+    r = e.select("tu", "marker", F.explode("stus").alias("s"))
+    keep = (F.col("s.arrival.time").isNotNull() | F.col("s.departure.time").isNotNull()
+            | F.coalesce(F.col("s.schedule_relationship") == 1, F.lit(False)) | (F.col("tu.trip.schedule_relationship") == 3))
+    r = r.filter(keep)
+    return r.select(F.col("tu.trip.start_date").alias("start_date"), F.col("tu.trip.trip_id").alias("trip_id"),
+                    F.col("s.stop_id").alias("stop_id"), fr_train_number(F.col("tu.trip.trip_id")).alias("train_number"),
+                    F.when(~F.col("marker"), stop_uic8(F.col("s.stop_id"))).alias("uic8"),
+                    F.col("s.arrival.time").alias("arr_time"), F.col("s.arrival.delay").alias("arr_delay"),
+                    F.col("s.departure.time").alias("dep_time"), F.col("s.departure.delay").alias("dep_delay"),
+                    F.col("tu.trip.schedule_relationship").alias("trip_rel"),
+                    F.col("s.schedule_relationship").alias("stop_rel"))

@@ -322,3 +322,60 @@ def it_board_rows(latest: DataFrame) -> DataFrame:
                     F.when(ok % 29 == 0, F.lit(None).cast("string")).otherwise(F.col("r_origin")).alias("origin"),
                     "dep_ms", F.col("train_type").alias("category"), fetch.alias("fetch_ts"),
                     F.col("ln").alias("seq"), F.col("id").alias("board_id"))
+
+
+# -- AT station boards and FR trip-update entities ----------------------------------------
+
+def at_boards(latest: DataFrame) -> DataFrame:
+    """One board JSON per (station, hour, board type); product list per board; some
+    journeys carry an invalid product index or no run id."""
+    ok, ln = F.col("ok"), F.col("ln")
+    base = latest.withColumn("day", F.date_format(F.coalesce("arrival_planned_time", "departure_planned_time"), "yyyyMMdd")) \
+        .withColumn("btype", F.when(ln % 2 == 0, F.lit("ARR")).otherwise(F.lit("DEP"))) \
+        .withColumn("hour", F.hour(F.coalesce("arrival_planned_time", "departure_planned_time")))
+    base = base.withColumn("prod", F.struct(F.struct(F.when(ok % 9 == 0, F.lit(" ")).otherwise(F.col("train_number")).alias("num"),
+                                                     F.lower("train_type").alias("catOutS"),
+                                                     F.col("line_number").alias("line")).alias("prodCtx")))
+    key = ["eva", "day", "btype", "hour"]
+    w = F.struct("id", "prod", "ok", "ln", "day", "arrival_planned_time", "arrival_change_time",
+                 "departure_planned_time", "departure_change_time", "is_canceled", "final_destination_station")
+    g = base.groupBy(*key).agg(F.sort_array(F.collect_list(w)).alias("rows"))
+    g = g.withColumn("prodL", F.transform("rows", lambda r: r.prod))
+    jny = F.transform("rows", lambda r, i: F.struct(
+        F.when(r.ln == 5, F.lit(None).cast("string")).otherwise(r.day).alias("date"),
+        F.when(r.ok % 13 == 0, F.concat(F.lit("1|x|"), r.ok.cast("string"))).otherwise(
+            F.concat(F.lit("1|#ZI#"), (r.ok * 10 + r.ln).cast("string"), F.lit("#"))).alias("jid"),
+        F.when(r.ok % 11 == 0, F.size("rows") + 1).otherwise(i).alias("prodX"),
+        r.final_destination_station.alias("dirTxt"),
+        F.struct(_hafas_f(r.arrival_planned_time, r.day).alias("aTimeS"), _hafas_f(r.arrival_change_time, r.day).alias("aTimeR"),
+                 _hafas_f(r.departure_planned_time, r.day).alias("dTimeS"), _hafas_f(r.departure_change_time, r.day).alias("dTimeR"),
+                 (r.is_canceled & (r.ln % 2 == 0)).alias("aCncl"), (r.is_canceled & (r.ln % 2 == 1)).alias("dCncl")).alias("stbStop")))
+    payload = F.to_json(F.struct(F.struct(F.struct(F.col("prodL").alias("prodL")).alias("common"), jny.alias("jnyL")).alias("res")))
+    return g.select("eva", "btype", "day", "hour", payload.alias("payload"))
+
+
+def _hafas_f(ts: Column, day: Column) -> Column:
+    d = F.datediff(F.to_date(ts), F.to_date(day, "yyyyMMdd"))
+    hms = F.date_format(ts, "HHmmss")
+    return F.when(ts.isNull(), F.lit(None)).when(d == 0, hms).otherwise(F.concat(F.lpad(d.cast("string"), 2, "0"), hms))
+
+
+def fr_entities(latest: DataFrame) -> DataFrame:
+    """One trip-update entity per trip and service day (JSON), plus bare cancellation
+    entities without stop updates."""
+    o = fr_obs(latest)
+    rows = o.filter(F.col("stop_id") != "")
+    stu = F.struct(F.col("stop_id"),
+                   F.when(F.col("arr_time").isNotNull() | F.col("arr_delay").isNotNull(),
+                          F.struct(F.col("arr_time").alias("time"), F.col("arr_delay").alias("delay"))).alias("arrival"),
+                   F.when(F.col("dep_time").isNotNull() | F.col("dep_delay").isNotNull(),
+                          F.struct(F.col("dep_time").alias("time"), F.col("dep_delay").alias("delay"))).alias("departure"),
+                   F.col("stop_rel").alias("schedule_relationship"))
+    g = rows.groupBy("start_date", "trip_id").agg(F.max("trip_rel").alias("trip_rel"),
+                                                  F.sort_array(F.collect_list(stu)).alias("stus"))
+    marks = o.filter(F.col("stop_id") == "").select("start_date", "trip_id", "trip_rel").distinct() \
+        .withColumn("stus", F.array().cast(g.schema["stus"].dataType))
+    ent = g.unionByName(marks)
+    e = F.to_json(F.struct(F.struct(F.struct("trip_id", "start_date", F.col("trip_rel").alias("schedule_relationship")).alias("trip"),
+                                    F.col("stus").alias("stop_time_update")).alias("trip_update")))
+    return ent.select(e.alias("entity"))
