@@ -35,18 +35,23 @@ def snapshot_source(spark: SparkSession, folder: str, schema: T.StructType = OBS
     return r.load(folder)
 
 
-def _generations(state_dir: str) -> list[int]:
-    if not os.path.isdir(state_dir):
+def _generations(spark: SparkSession, state_dir: str) -> list[int]:
+    """Completed generations (``_SUCCESS`` present), listed through the Hadoop file
+    system so that shared storage of any scheme works."""
+    from latewise.sources.files import _jvm_fs
+    fs, p = _jvm_fs(spark, state_dir)
+    if not fs.exists(p):
         return []
     out = []
-    for n in os.listdir(state_dir):
-        if n.startswith("gen=") and os.path.exists(os.path.join(state_dir, n, "_SUCCESS")):
-            out.append(int(n[4:]))
+    for st in fs.listStatus(p):
+        name = st.getPath().getName()
+        if name.startswith("gen=") and fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
+            out.append(int(name[4:]))
     return sorted(out)
 
 
 def latest_state(spark: SparkSession, state_dir: str, before: int | None = None) -> DataFrame | None:
-    gens = [g for g in _generations(state_dir) if before is None or g < before]
+    gens = [g for g in _generations(spark, state_dir) if before is None or g < before]
     if not gens:
         return None
     return spark.read.parquet(os.path.join(state_dir, f"gen={gens[-1]}"))
