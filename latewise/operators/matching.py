@@ -66,6 +66,34 @@ def _closest_per_day(cand: DataFrame, key_cols: list[str], order: list[Column])
     return cand.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 
 
+def history_candidates(legs: DataFrame, keyed: DataFrame, window_days: int = 7,
+                       max_day: Column | None = None):
+    """Distinct lookups (train key, station, time of day) joined with the stop events
+    of the window on (train key, station), kept within 120 min of time of day.
+    Returns (lookup legs, candidates, cutoff, max_day)."""
+    ql = lookup_legs(legs).withColumn("q_tod", minute_of_day("planned_arrival"))
+    max_day = coverage_max_day(keyed) if max_day is None else max_day
+    cutoff = F.date_sub(max_day, window_days - 1)
+    # distinct lookups: many journeys share a leg; match each (train, station, tod) once
+    q = ql.select("q_train_no", "q_eva", "q_tod").distinct()
+    hist = history_side(keyed, "arrival").filter(F.col("h_day") >= cutoff)
+    cand = (q.join(hist, (q.q_train_no == hist.h_train_no) & (q.q_eva == hist.h_eva))
+            .withColumn("tod_diff", tod_distance(minute_of_day("h_planned"), F.col("q_tod")))
+            .filter(F.col("tod_diff") <= TOD_TOLERANCE_MIN))
+    return ql, cand, cutoff, max_day
+
+
+LOOKUP_KEY = ["q_train_no", "q_eva", "q_tod"]
+
+
+def closest_per_day(legs: DataFrame, keyed: DataFrame, window_days: int = 7) -> DataFrame:
+    """W3 per leg: the chosen observation of each calendar day."""
+    ql, cand, _, _ = history_candidates(legs, keyed, window_days)
+    best = _closest_per_day(cand, LOOKUP_KEY, [F.col("tod_diff").asc(), F.col("h_planned").asc()])
+    return ql.join(best, LOOKUP_KEY).select("journey_id", "leg_idx", F.col("h_day").alias("day"),
+                                            F.col("h_id").alias("id"), "tod_diff")
+
+
 def leg_delay_stats(legs: DataFrame, keyed: DataFrame, window_days: int = 7,
                     max_day: Column | None = None, with_days: bool = True) -> DataFrame:
     """Per leg, over the ``window_days`` days ending at the table's last day: median
@@ -76,17 +104,8 @@ def leg_delay_stats(legs: DataFrame, keyed: DataFrame, window_days: int = 7,
     ``legs`` must carry ``journey_id, leg_idx`` plus the lookup columns of
     :func:`lookup_legs`.
     """
-    ql = lookup_legs(legs)
-    max_day = coverage_max_day(keyed) if max_day is None else max_day
-    cutoff = F.date_sub(max_day, window_days - 1)
-
-    # distinct lookups: many journeys share a leg; match each (train, station, tod) once
-    q = ql.select("q_train_no", "q_eva", minute_of_day("planned_arrival").alias("q_tod")).distinct()
-    hist = history_side(keyed, "arrival").filter(F.col("h_day") >= cutoff)
-    cand = (q.join(hist, (q.q_train_no == hist.h_train_no) & (q.q_eva == hist.h_eva))
-            .withColumn("tod_diff", tod_distance(minute_of_day("h_planned"), F.col("q_tod")))
-            .filter(F.col("tod_diff") <= TOD_TOLERANCE_MIN))
-    key = ["q_train_no", "q_eva", "q_tod"]
+    ql, cand, cutoff, max_day = history_candidates(legs, keyed, window_days, max_day)
+    key = LOOKUP_KEY
     best = _closest_per_day(cand, key, [F.col("tod_diff").asc(), F.col("h_planned").asc()])
 
     ok = ~F.col("h_canceled") & F.col("h_delay").isNotNull()
@@ -101,8 +120,7 @@ def leg_delay_stats(legs: DataFrame, keyed: DataFrame, window_days: int = 7,
             F.col("h_canceled").alias("canceled"),
             F.col("h_reason").alias("reason")))).alias("days"))
     stats = best.groupBy(*key).agg(*aggs)
-    out = (ql.withColumn("q_tod", minute_of_day("planned_arrival"))
-           .join(stats, key)
+    out = (ql.join(stats, key)
            .withColumn("window_start", cutoff)
            .withColumn("window_end", max_day))
     cols = ["journey_id", "leg_idx", "median_delay", "max_delay", "days_matched",

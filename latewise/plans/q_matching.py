@@ -114,3 +114,22 @@ def leg_delay_on_date(spark, sf_dir):
 def leg_departure_on_date(spark, sf_dir):
     fx = fixture(spark, sf_dir)
     return M.leg_on_date(fx.legs, fx.keyed, side="departure")
+
+
+@query("leg_history_join", f"""
+WITH ql AS ({LOOKUP_LEGS_SQL}) {_stats_sql(7)}
+SELECT journey_id, leg_idx, h_id AS id, tod_diff FROM cand WHERE tod_diff <= 120""")
+def leg_history_join(spark, sf_dir):
+    """Legs x stop events of the window on (train key, station), within 120 min of
+    time of day."""
+    fx = fixture(spark, sf_dir)
+    ql, cand, _, _ = M.history_candidates(fx.legs, fx.keyed, 7)
+    return ql.join(cand, M.LOOKUP_KEY).select("journey_id", "leg_idx", F.col("h_id").alias("id"), "tod_diff")
+
+
+@query("closest_per_day", f"""
+WITH ql AS ({LOOKUP_LEGS_SQL}) {_stats_sql(7)}
+SELECT journey_id, leg_idx, day, h_id AS id, tod_diff FROM best""")
+def closest_per_day(spark, sf_dir):
+    fx = fixture(spark, sf_dir)
+    return M.closest_per_day(fx.legs, fx.keyed, 7)
