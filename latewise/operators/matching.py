@@ -39,8 +39,9 @@ def lookup_legs(legs: DataFrame, train="fahrt_nr", station="dest_id", planned="p
 
 
 def coverage_max_day(events: DataFrame, planned="arrival_planned_time") -> Column:
-    """Newest planned-arrival day of the table as a scalar subquery (A4's max)."""
-    return events.filter(F.col(planned).isNotNull()).select(F.max(F.to_date(planned))).scalar()
+    """Newest planned-arrival day of the table as a scalar subquery (A4's max). A plain
+    column max, so Parquet aggregate pushdown can answer it from file footers."""
+    return F.to_date(events.select(F.max(planned)).scalar())
 
 
 def history_side(events: DataFrame, side: str = "arrival") -> DataFrame:
@@ -76,8 +77,15 @@ def history_candidates(legs: DataFrame, keyed: DataFrame, window_days: int = 7,
     cutoff = F.date_sub(max_day, window_days - 1)
     # distinct lookups: many journeys share a leg; match each (train, station, tod) once
     q = ql.select("q_train_no", "q_eva", "q_tod").distinct()
-    hist = history_side(keyed, "arrival").filter(F.col("h_day") >= cutoff)
-    cand = (q.join(hist, (q.q_train_no == hist.h_train_no) & (q.q_eva == hist.h_eva))
+    # band join on the time-of-day circle as an equi-join on hour buckets: a lookup
+    # probes the 5 hours covering +-120 min, an event sits in its own hour; the exact
+    # distance is filtered afterwards. This also spreads a hot (train, station) key
+    # over up to 24 join partitions.
+    q = q.withColumn("bucket", F.explode(F.transform(
+        F.sequence(F.lit(-2), F.lit(2)), lambda k: F.pmod(F.floor(F.col("q_tod") / 60).cast("int") + k, F.lit(24)))))
+    hist = (history_side(keyed, "arrival").filter(F.col("h_day") >= cutoff)
+            .withColumn("h_bucket", F.hour("h_planned")))
+    cand = (q.join(hist, (q.q_train_no == hist.h_train_no) & (q.q_eva == hist.h_eva) & (q.bucket == hist.h_bucket))
             .withColumn("tod_diff", tod_distance(minute_of_day("h_planned"), F.col("q_tod")))
             .filter(F.col("tod_diff") <= TOD_TOLERANCE_MIN))
     return ql, cand, cutoff, max_day

@@ -33,7 +33,7 @@ _FIXTURES: dict[tuple[int, str], object] = {}
 def fixture(spark: SparkSession, sf_dir: str):
     """One lazily built fixture per (session, directory)."""
     from latewise.sources.fixture import Fixture
-    key = (id(spark), sf_dir)
+    key = (spark.sparkContext.applicationId, id(spark), sf_dir)
     if key not in _FIXTURES:
         _FIXTURES[key] = Fixture(spark, sf_dir)
     return _FIXTURES[key]

@@ -21,6 +21,7 @@ DEFAULT_CONF = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.sql.parquet.aggregatePushdown": "true",
 }
 
 
@@ -45,6 +46,7 @@ def apply_session_defaults(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+    spark.conf.set("spark.sql.parquet.aggregatePushdown", "true")
 
 
 def checkpoint_dir(spark: SparkSession) -> str:

@@ -54,11 +54,33 @@ def _mins(x) -> F.Column:
 class Fixture:
     """Lazily built fixture tables over one scale-factor directory."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    def __init__(self, spark: SparkSession, sf_dir: str, materialize: bool = True):
         apply_session_defaults(spark)
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
         self._cache: dict[str, DataFrame] = {}
+        # Derived tables that many queries share are written once as Parquet under the
+        # cluster's checkpoint folder (lineage cut, scans with pushdown), as a stored
+        # stop-event table would be in production.
+        self.materialize = materialize
+        self._base = None
+
+    def _stored(self, name: str, build, sort_cols=None) -> DataFrame:
+        if not self.materialize:
+            return build()
+        if self._base is None:
+            import os
+            import uuid
+
+            from latewise.session import checkpoint_dir
+            self._base = os.path.join(checkpoint_dir(self.spark), f"fixture-{uuid.uuid4().hex}")
+        import os
+        path = os.path.join(self._base, name)
+        df = build()
+        if sort_cols:
+            df = df.repartitionByRange(*sort_cols).sortWithinPartitions(*sort_cols)
+        df.write.mode("overwrite").parquet(path)
+        return self.spark.read.parquet(path)
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
@@ -126,11 +148,14 @@ class Fixture:
         def build():
             w = Window.partitionBy("id").orderBy(F.desc("xml_timestamp"), F.desc("pk"), F.desc("sk"), F.desc("price"))
             return self.responses.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
-        return self._memo("latest", build)
+        return self._memo("latest", lambda: self._stored("latest", build))
 
     @property
     def stop_events(self) -> DataFrame:
         """The 18-column stop event table. Unreported change times stay NULL here."""
+        return self.keyed.drop("train_no")
+
+    def _stop_events(self) -> DataFrame:
         from latewise.functions.keys import ride_id, stop_number
         from latewise.functions.timefn import minute_diff
         from latewise.schema import CORE_COLUMNS
@@ -149,7 +174,10 @@ class Fixture:
 
     @property
     def keyed(self) -> DataFrame:
-        return self.stop_events.withColumn("train_no", train_key())
+        """Stop events + ``train_no``, stored in the serving layout (K3): range-partitioned
+        and sorted by (train_no, eva)."""
+        return self._memo("keyed", lambda: self._stored(
+            "keyed", lambda: self._stop_events().withColumn("train_no", train_key()), ["train_no", "eva"]))
 
     # -- plan and change messages (DE build inputs) ----------------------------------
 
@@ -174,6 +202,9 @@ class Fixture:
 
     @property
     def legs(self) -> DataFrame:
+        return self.jlegs.drop("origin_id", "final_dest")
+
+    def _legs(self) -> DataFrame:
         def build():
             lt = self.latest.withColumn("train_no", train_key())
             ok, ln, pk = F.col("ok"), F.col("ln"), F.col("pk")
@@ -196,17 +227,17 @@ class Fixture:
                         F.when((ok % 5 == 1) & ((ok + ln) % 4 > 0),
                                F.col("planned_departure") + _mins(45 + pk % 20 + (ok + ln) % 4)).alias("live_arrival"),
                     ))
-        return self._memo("legs", build)
+        return build()
 
     @property
     def jlegs(self) -> DataFrame:
         def build():
             w = Window.partitionBy("journey_id").orderBy("leg_idx")
             wall = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-            return (self.legs
+            return (self._legs()
                     .withColumn("origin_id", F.coalesce(F.lag("dest_id").over(w), F.lit("08000999")))
                     .withColumn("final_dest", F.last("dest_id").over(wall)))
-        return self._memo("jlegs", build)
+        return self._memo("jlegs", lambda: self._stored("jlegs", build))
 
     @property
     def connections(self) -> DataFrame:
