@@ -54,9 +54,9 @@ FROM (SELECT journey_id, arg_min_null(planned_departure, leg_idx) AS first_dep,
       FROM legs GROUP BY journey_id)""")
 
 
-def leg_stats(spark, sf_dir):
+def leg_stats(spark, sf_dir, with_days: bool = False):
     fx = fixture(spark, sf_dir)
-    return M.leg_delay_stats(fx.legs, fx.keyed, window_days=7, with_days=True)
+    return M.leg_delay_stats(fx.legs, fx.keyed, window_days=7, with_days=with_days)
 
 
 def pages(fx):
@@ -194,7 +194,7 @@ d AS (SELECT journey_id, leg_idx, day, delay, canceled, reason FROM (
 SELECT s.journey_id, s.leg_idx, s.day, d.delay, d.canceled, d.reason
 FROM spine s LEFT JOIN d ON d.journey_id = s.journey_id AND d.leg_idx = s.leg_idx AND d.day = s.day""")
 def day_slots(spark, sf_dir):
-    return J.day_slots(leg_stats(spark, sf_dir))
+    return J.day_slots(leg_stats(spark, sf_dir, with_days=True))
 
 
 @query("if_missed", """
