@@ -172,8 +172,7 @@ def day_sink(df: DataFrame, root: str, day_col: str = "service_day", force: bool
     if not force and _exists(spark, root):
         present = spark.read.parquet(root).select(day_col).distinct()
         df = df.join(present, day_col, "left_anti")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    df.write.mode("overwrite").partitionBy(day_col).parquet(root)
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day_col).parquet(root)
 
 
 def day_finalise(state: DataFrame, root: str, newest_day, build, day_col: str = "service_day") -> None:
@@ -181,9 +180,7 @@ def day_finalise(state: DataFrame, root: str, newest_day, build, day_col: str =
     final on D+1); only those two day partitions are overwritten."""
     days = [newest_day - _days(1), newest_day - _days(2)]
     part = build(state.filter(F.col(day_col).isin(*days)))
-    spark = state.sparkSession
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    part.write.mode("overwrite").partitionBy(day_col).parquet(root)
+    part.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day_col).parquet(root)
 
 
 def _days(n: int):
