@@ -42,8 +42,11 @@ def build_session(master: str | None = None, app: str = "latewise",
 
 
 def apply_session_defaults(spark: SparkSession) -> None:
-    """Pin the settings the operators rely on (safe on an existing session)."""
+    """Pin the settings the operators rely on (safe on an existing session): times are
+    naive local wall-clock values, so literals and parsed times are ``TIMESTAMP_NTZ``
+    and no session time zone is ever applied to them."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.timestampType", "TIMESTAMP_NTZ")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     spark.conf.set("spark.sql.parquet.aggregatePushdown", "true")
