@@ -379,3 +379,22 @@ def fr_entities(latest: DataFrame) -> DataFrame:
     e = F.to_json(F.struct(F.struct(F.struct("trip_id", "start_date", F.col("trip_rel").alias("schedule_relationship")).alias("trip"),
                                     F.col("stus").alias("stop_time_update")).alias("trip_update")))
     return ent.select(e.alias("entity"))
+
+
+def nl_obs(latest: DataFrame) -> DataFrame:
+    """NL live observations: keyed by ``type:number`` and IFF station code; same time,
+    cancellation and marker rules as the FR feed."""
+    ok, ln = F.col("ok"), F.col("ln")
+    code = F.when(ok % 3 == 0, F.upper(F.concat(F.lit("c"), _x()))).otherwise(F.concat(F.lit("c"), _x()))
+    base = latest.select(
+        F.date_format(F.coalesce("arrival_planned_time", "departure_planned_time"), "yyyyMMdd").alias("start_date"),
+        F.concat_ws(":", "train_type", "train_number").alias("train_key"),
+        strip_zeros("train_number").alias("train_number"), "train_type",
+        F.col("final_destination_station").alias("headsign"), code.alias("station_code"),
+        _epoch_of_local("arrival_change_time").alias("arr_time"),
+        seconds_between("arrival_planned_time", "arrival_change_time").alias("arr_delay"),
+        _epoch_of_local("departure_change_time").alias("dep_time"),
+        seconds_between("departure_planned_time", "departure_change_time").alias("dep_delay"),
+        F.when(F.col("is_canceled") & (ln == 1), F.lit(3)).otherwise(F.lit(0)).alias("trip_rel"),
+        F.when((ln == 6) & (ok % 3 == 1), F.lit(1)).otherwise(F.lit(0)).alias("stop_rel"))
+    return base
