@@ -9,7 +9,8 @@ from __spark_entry__ import oracle_sql, queries
 
 SF_SMALL = "/root/testdata/sf0.001"
 
-TABLES = ["lineitem", "events", "orders", "part", "supplier", "nation", "region", "customer"]
+TABLES = ["lineitem", "events", "orders", "part", "supplier", "nation", "region", "customer",
+          "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 ORACLES = oracle_sql()
 
 
