@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from latewise.llm.bpe import op10_bpe
+from latewise.llm.decontam import OP1_SQL, op1_decontamination
 from latewise.llm.hilbert import OP7_SQL, op7_hilbert
+from latewise.llm.langid import op2_langid
 from latewise.llm.simhash import op5_simhash
+from latewise.llm.suffix import op3_suffix_dedup
 
-QUERIES = {f.__name__: f for f in (op5_simhash, op7_hilbert, op10_bpe)}
-ORACLES = {"op7_hilbert": OP7_SQL}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_langid, op3_suffix_dedup, op5_simhash, op7_hilbert, op10_bpe)}
+ORACLES = {"op1_decontamination": OP1_SQL, "op7_hilbert": OP7_SQL}
