@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from latewise.llm.common import staged
 
 #: Ids of a block: the most rows with different ids that are ordered together in a cell.
-BLOCK = 65_536
+BLOCK = 4096
 
 
 def hilbert_index(cells: DataFrame, axes: list[str], bits: int, name: str = "curve") -> DataFrame:

@@ -8,6 +8,7 @@ from latewise.llm.hilbert import OP7_SQL, op7_hilbert
 from latewise.llm.langid import op2_langid
 from latewise.llm.simhash import op5_simhash
 from latewise.llm.suffix import op3_suffix_dedup
+from latewise.llm.toxicity import op9_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_langid, op3_suffix_dedup, op5_simhash, op7_hilbert, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_langid, op3_suffix_dedup, op5_simhash, op7_hilbert, op9_toxicity, op10_bpe)}
 ORACLES = {"op1_decontamination": OP1_SQL, "op7_hilbert": OP7_SQL}
