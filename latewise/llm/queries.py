@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from latewise.llm.bpe import op10_bpe
 from latewise.llm.decontam import OP1_SQL, op1_decontamination
+from latewise.llm.editprint import op4_edit_fingerprints
 from latewise.llm.hilbert import OP7_SQL, op7_hilbert
 from latewise.llm.langid import op2_langid
+from latewise.llm.quality import op8_quality
 from latewise.llm.simhash import op5_simhash
 from latewise.llm.suffix import op3_suffix_dedup
 from latewise.llm.toxicity import op9_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_langid, op3_suffix_dedup, op5_simhash, op7_hilbert, op9_toxicity, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_langid, op3_suffix_dedup, op4_edit_fingerprints, op5_simhash, op7_hilbert, op8_quality,
+                                   op9_toxicity, op10_bpe)}
 ORACLES = {"op1_decontamination": OP1_SQL, "op7_hilbert": OP7_SQL}
