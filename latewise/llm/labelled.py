@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from latewise.llm.common import staged
+
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, rows: dict[int, int], max_bytes: int,
            doc_id: str = "doc_id", text: str = "text") -> dict[int, list[str]]:
@@ -13,15 +15,19 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, rows:
     and about ``max_bytes`` of text in all, picked by a hash of their ids. These bounds hold for
     any input, so the sample may go to the driver. Nothing else reads labels."""
     marked = labels.select(F.col(doc_id).alias("__id"), F.col(label).cast("int").alias("__label")).where(F.col("__label").isin(*rows)).distinct()
-    found = (docs.where(learn & F.col(text).isNotNull()).select(F.col(doc_id).alias("__id"), F.col(text).alias("text"))
-             .join(marked, "__id").withColumn("__mix", F.pmod(F.xxhash64("__id"), F.lit(1 << 20))))
-    counts = {r[0]: (r[1], r[2]) for r in found.groupBy("__label").agg(F.count("*"), F.sum(F.octet_length("text"))).collect()}
+    usable = docs.where(learn & F.col(text).isNotNull())
+    found = staged(usable.select(F.col(doc_id).alias("__id"), F.octet_length(text).alias("__bytes")).join(marked, "__id")
+                   .withColumn("__mix", F.pmod(F.xxhash64("__id"), F.lit(1 << 20))), "labelled")
+    counts = {r[0]: (r[1], r[2]) for r in found.groupBy("__label").agg(F.count("*"), F.sum("__bytes")).collect()}
     total = sum(b for _, b in counts.values()) or 1
     share = {c: min(1.0, rows[c] / n, max_bytes / total) for c, (n, _) in counts.items() if n}
     if not share:
         return {c: [] for c in rows}
     limit = F.create_map(*(F.lit(x) for c, s in share.items() for x in (c, s * (1 << 20))))
-    got = found.where(F.col("__mix") < F.element_at(limit, F.col("__label"))).select("__label", "text").distinct().toArrow()
+    picked = found.where(F.col("__mix") < F.element_at(limit, F.col("__label"))).select("__id", "__label").distinct()
+    # about sum(rows.values()) ids: the texts stay where they are
+    got = (usable.select(F.col(doc_id).alias("__id"), F.col(text).alias("text")).join(F.broadcast(picked), "__id")
+           .select("__label", "text").distinct().toArrow())
     out: dict[int, list[str]] = {c: [] for c in rows}
     for c, t in zip(got["__label"].to_pylist(), got["text"].to_pylist(), strict=True):
         out[c].append(t)

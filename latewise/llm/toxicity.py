@@ -47,7 +47,7 @@ WINDOW, STEP = 64, 48
 #: Bytes saved from which a window counts as a hit.
 HITS = (3, 4)
 #: Windows whose savings a task remembers.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 _BEFORE, _AFTER = b" ", bytes(10)
 
 
@@ -119,11 +119,11 @@ class Model:
         words = [Counter(w for s in part for w in s) for part in own]
         ordinary = _content(words[1], ORDINARY_BYTES)
         for n, lift, share, strategy, least in SETTINGS:
-            grams = {w: _grams(w, n) for part in words for w in part}
-            counts = [Counter(g for s in part for g in set().union(*(grams[w] for w in s))) for part in own]
+            counts = [Counter(g for s in part for g in {w[i: i + n] for w in s for i in range(max(1, len(w) - n + 1))}) for part in own]
             often = {g for g, c in counts[0].items() if c >= max(3, share * size[0]) and c / size[0] >= lift * (counts[1][g] + 1) / (size[1] + 2)}
-            toxic_words = Counter({w: c for w, c in words[0].items() if not often.isdisjoint(grams[w])})
+            toxic_words = Counter({w: c for w, c in words[0].items() if not often.isdisjoint(_grams(w, n))})
             self.packs.append((ordinary, _content(toxic_words, TOXIC_BYTES), strategy, least))
+        del own, words, counts
         savings = self.savings()
         held = toxic[1::2] + plain[1::2]
         y = np.array([1.0] * len(toxic[1::2]) + [0.0] * len(plain[1::2]))
