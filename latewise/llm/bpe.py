@@ -195,8 +195,8 @@ def op10_bpe(spark, sf_dir: str) -> DataFrame:
     return digests(encode(docs, public_tokenizers.path("word_bpe_49k.json")))
 
 
-def digests(encoded: DataFrame) -> DataFrame:
-    """doc_id, n_tokens and the SHA-256 of the ids and of the decoded text."""
+def digests(encoded: DataFrame, *keep: str) -> DataFrame:
+    """doc_id, the columns ``keep``, n_tokens and the SHA-256 of the ids and of the decoded text."""
     ids = F.array_join(F.col("ids").cast("array<string>"), " ")
-    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"),
+    return encoded.select("doc_id", *keep, F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"),
                           F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
