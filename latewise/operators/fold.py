@@ -28,11 +28,11 @@ def _present(cols: Sequence[str], mode: str) -> Column:
     return out
 
 
-def to_sided(obs: DataFrame, key: str = "obs_key", seq: str = "seq", presence: str = "any",
+def to_sided(obs: DataFrame, key: str | Sequence[str] = "obs_key", seq: str = "seq", presence: str = "any",
              text: Sequence[str] = ("descr",), status: Sequence[str] = ("status",),
              sides: dict = SIDES) -> DataFrame:
     """Raw observation rows -> the fold's state shape (one sequence per field)."""
-    cols = [F.col(key)]
+    cols = [F.col(k) for k in ([key] if isinstance(key, str) else key)]
     for side, fields in sides.items():
         p = _present(fields, presence)
         cols += [F.struct(*[F.col(f) for f in fields]).alias(side), F.when(p, F.col(seq)).alias(side + "_seq")]
@@ -44,7 +44,7 @@ def to_sided(obs: DataFrame, key: str = "obs_key", seq: str = "seq", presence: s
     return obs.select(*cols)
 
 
-def merge_sided(state: DataFrame, key: str = "obs_key", text: Sequence[str] = ("descr",),
+def merge_sided(state: DataFrame, key: str | Sequence[str] = "obs_key", text: Sequence[str] = ("descr",),
                 status: Sequence[str] = ("status",), sides: dict = SIDES) -> DataFrame:
     """I1 merge on the state shape: each side replaced as a unit by the newest row that
     carries it; text fields keep the newest non-NULL value; status fields take the
@@ -57,12 +57,12 @@ def merge_sided(state: DataFrame, key: str = "obs_key", text: Sequence[str] = ("
     for s in status:
         aggs += [F.max_by(s, s + "_seq").alias(s), F.max(s + "_seq").alias(s + "_seq")]
     aggs += [F.max_by("fetch_ts", "fetch_seq").alias("fetch_ts"), F.max("fetch_seq").alias("fetch_seq")]
-    return state.groupBy(key).agg(*aggs)
+    return state.groupBy(*([key] if isinstance(key, str) else key)).agg(*aggs)
 
 
-def flatten_sided(state: DataFrame, key: str = "obs_key", text: Sequence[str] = ("descr",),
+def flatten_sided(state: DataFrame, key: str | Sequence[str] = "obs_key", text: Sequence[str] = ("descr",),
                   status: Sequence[str] = ("status",), sides: dict = SIDES) -> DataFrame:
-    cols = [key]
+    cols = [key] if isinstance(key, str) else list(key)
     for side, fields in sides.items():
         cols += [F.col(f"{side}.{f}").alias(f) for f in fields]
     return state.select(*cols, *text, *status, "fetch_ts")
@@ -98,10 +98,12 @@ def insert_or_ignore(obs: DataFrame, key: str | Sequence[str], seq: str, fields:
     return obs.groupBy(*keys).agg(*[F.min_by(f, seq).alias(f) for f in fields])
 
 
-def state_retention(state: DataFrame, day_col: Column, keep_days: int = 3) -> DataFrame:
-    """Keep only observations of the newest ``keep_days`` service days."""
-    newest = state.select(F.max(day_col)).scalar()
-    return state.filter(day_col > F.date_sub(newest, keep_days))
+def state_retention(state: DataFrame, day_col: Column, today, keep_days: int = 3) -> DataFrame:
+    """Drop the observations of days before ``today - keep_days`` (that day stays). ``today``
+    is the clock's day (a date or Column), not the newest row's, so a row with a date to come
+    costs nothing."""
+    today = today if isinstance(today, Column) else F.lit(today)
+    return state.filter(day_col >= F.date_sub(today, keep_days))
 
 
 def poll_cycle_counts(obs: DataFrame, ts: str = "fetch_ts", every: str = "2 minutes") -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from latewise.functions.timefn import seconds_between
+from latewise.operators.ordered import suffix_min
 
 TRANSFER_TOLERANCE_MIN = 2
 UNLIKELY_EXCESS_MIN = 30
@@ -104,11 +105,16 @@ def _position(df: DataFrame, keys: list[Column], out: str) -> DataFrame:
     return df.withColumn(out, F.row_number().over(w))
 
 
-def sort_delay(scored: DataFrame) -> DataFrame:
-    """T5: missing score last; unlikely transfers after reliable; score; worst leg median
-    (unknown = 0); ties keep the page order."""
-    return _position(scored, [F.col("delay_score").isNull(), F.col("any_unlikely"), F.col("delay_score").asc_nulls_last(),
-                              F.coalesce("max_leg_median", F.lit(0.0))], "pos_delay")
+def sort_delay(scored: DataFrame, past: bool = False) -> DataFrame:
+    """T5: missing score last, those in page order; then (future mode) unlikely transfers after
+    reliable ones, the score, the worst leg median (unknown = 0); ties keep the page order. Past
+    mode orders by the delay that was (``arrival_delay``), which already holds the misses."""
+    score = F.col("arrival_delay" if past else "delay_score")
+    known = lambda c: F.when(score.isNotNull(), c)
+    keys = [score.isNull()] + ([] if past else [known(F.col("any_unlikely"))]) + [score.asc_nulls_last()]
+    if not past or "max_leg_median" in scored.columns:
+        keys.append(known(F.coalesce("max_leg_median", F.lit(0.0))))
+    return _position(scored, keys, "pos_delay")
 
 
 def sort_price(j: DataFrame) -> DataFrame:
@@ -123,9 +129,12 @@ def sort_transfers(j: DataFrame) -> DataFrame:
     return _position(j, [n], "pos_transfers")
 
 
-def sort_risk(j: DataFrame) -> DataFrame:
-    """T8 (future mode): tier 0 no tight transfer, 1 tight, 2 unlikely; within a tier the
-    largest margin first - direct journeys +inf, unknown margin -inf."""
+def sort_risk(j: DataFrame, past: bool = False) -> DataFrame:
+    """Future mode by tier (0 no tight transfer, 1 tight, 2 unlikely) and within a tier the
+    largest margin first - direct journeys +inf, unknown margin -inf. Past mode by what
+    happened: journeys that missed a transfer (``missed_at_leg_idx``) last."""
+    if past:
+        return _position(j, [F.col("missed_at_leg_idx").isNotNull()], "pos_risk")
     tier = F.when(F.col("any_unlikely"), 2).when(F.col("n_tight") > 0, 1).otherwise(0)
     n = F.coalesce(F.col("transfers"), F.col("n_train") - 1)
     margin = (F.when(n <= 0, F.lit(float("inf")))
@@ -134,10 +143,11 @@ def sort_risk(j: DataFrame) -> DataFrame:
 
 
 def journey_key(legs: DataFrame) -> DataFrame:
-    """Per journey: first planned departure | last planned arrival | train names."""
+    """Per journey: first planned departure | last planned arrival | train names (an unknown
+    name leaves an empty part)."""
     tr = F.array_join(F.transform(
         F.array_sort(F.filter(F.collect_list(F.struct("leg_idx", "walking", "line_name")), lambda x: ~x.walking)),
-        lambda x: x.line_name), "|")
+        lambda x: F.coalesce(x.line_name, F.lit(""))), "|")
     return legs.groupBy("journey_id").agg(
         F.concat_ws("|", F.date_format(F.min_by("planned_departure", "leg_idx"), "yyyy-MM-dd'T'HH:mm:ss"),
                     F.date_format(F.max_by("planned_arrival", "leg_idx"), "yyyy-MM-dd'T'HH:mm:ss"), tr).alias("jkey"))
@@ -169,11 +179,10 @@ def return_floor_filter(outbound: DataFrame, returns: DataFrame) -> DataFrame:
     return r.filter(F.col("floor").isNull() | (F.col("first_dep") >= F.col("floor"))).drop("floor")
 
 
-def day_slots(stats: DataFrame, max_slots: int = 40) -> DataFrame:
-    """One slot per calendar day from window start to end (at most ``max_slots``),
-    with the day's record where tracked, NULL where not."""
-    spine = stats.select("journey_id", "leg_idx", F.explode(F.slice(
-        F.sequence("window_start", "window_end"), 1, max_slots)).alias("day"))
+def day_slots(stats: DataFrame) -> DataFrame:
+    """One slot per calendar day from window start to end, with the day's record where
+    tracked, NULL where not."""
+    spine = stats.select("journey_id", "leg_idx", F.explode(F.sequence("window_start", "window_end")).alias("day"))
     rec = stats.select("journey_id", "leg_idx", F.inline("days"))
     return spine.join(rec, ["journey_id", "leg_idx", "day"], "left")
 
@@ -182,25 +191,28 @@ def if_missed(tight: DataFrame, jlegs: DataFrame, connections: DataFrame) -> Dat
     """M5: for a tight transfer, the next connection from the departing leg's origin to
     the journey's destination, if missed: ready = planned arrival + walk + median; the
     earliest planned arrival among candidates leaving more than 2 min after ready, of
-    no foreign tariff. Candidates are equi-joined on (origin, destination)."""
+    no foreign tariff. Transfers that wait for the same thing ask once, and a route's answers
+    are minima running back over its departures (:func:`suffix_min`)."""
     w_last = jlegs.filter(~F.col("walking")).groupBy("journey_id").agg(
-        F.max_by("dest_id", "leg_idx").alias("dest"))
-    origin = jlegs.select("journey_id", F.col("leg_idx").alias("dep_leg_index"), F.col("origin_id").alias("origin"))
+        F.max_by("dest_id", "leg_idx").alias("final_dest"))
+    origin = jlegs.select("journey_id", F.col("leg_idx").alias("dep_leg_index"), "origin_id")
+    wait = (F.col("walk_min") + F.col("median_delay") + TRANSFER_TOLERANCE_MIN) * 60
     t = (tight.join(origin, ["journey_id", "dep_leg_index"]).join(w_last, "journey_id")
-         .withColumn("ready", F.col("a_planned_arrival")
-                     + F.make_dt_interval(secs=((F.col("walk_min") + F.col("median_delay")) * 60).cast("decimal(18,6)"))))
-    c = connections.filter(~flix_leg("conn_operator", "conn_name"))
-    j = t.join(c, (t.origin == c.origin_id) & (t.dest == c.final_dest))
-    j = j.filter(minutes_between("ready", "conn_departure") > TRANSFER_TOLERANCE_MIN)
-    best = j.groupBy("journey_id", "leg_index").agg(
-        F.min(F.struct("conn_arrival", "conn_id")).alias("_b"))
-    return best.select("journey_id", "leg_index", F.col("_b.conn_id").alias("conn_id"),
-                       F.col("_b.conn_arrival").alias("arrival"))
-
-
-def cap_enrichment(tight: DataFrame, pages: DataFrame, cap: int = 3) -> DataFrame:
-    """Only the first ``cap`` tight transfers of a search (page order, then leg
-    order) are enriched."""
+         .withColumn("t", F.col("a_planned_arrival") + F.make_dt_interval(secs=wait.cast("decimal(18,6)"))))
+    c = connections.filter(~flix_leg("conn_operator", "conn_name")).select(
+        "origin_id", "final_dest", F.col("conn_departure").alias("t"), F.lit(False).alias("at_t"),
+        F.struct("conn_arrival", "conn_id").alias("val"))
+    best = suffix_min(t, c, ["origin_id", "final_dest"])
+    return t.join(best, ["origin_id", "final_dest", "t"]).select(
+        "journey_id", "leg_index", F.col("val.conn_id").alias("conn_id"), F.col("val.conn_arrival").alias("arrival"))
+
+
+def cap_enrichment(tight: DataFrame, pages: DataFrame, cap: int | None = None) -> DataFrame:
+    """The tight transfers of a search that get enriched, in page order, then leg order:
+    all of them, or on request the first ``cap`` (a bound for an upstream service, which a batch
+    job does not ask)."""
     t = tight.join(pages.select("journey_id", "search_id", "orig_pos"), "journey_id")
+    if cap is None:
+        return t
     w = Window.partitionBy("search_id").orderBy("orig_pos", "leg_index")
     return t.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= cap).drop("_n")

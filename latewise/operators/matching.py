@@ -39,8 +39,8 @@ def lookup_legs(legs: DataFrame, train="fahrt_nr", station="dest_id", planned="p
 
 
 def coverage_max_day(events: DataFrame, planned="arrival_planned_time") -> Column:
-    """Newest planned-arrival day of the table as a scalar subquery (A4's max). A plain
-    column max, so Parquet aggregate pushdown can answer it from file footers."""
+    """Newest planned-arrival day of the table as a scalar subquery (A4's max): a scan of
+    that one column."""
     return F.to_date(events.select(F.max(planned)).scalar())
 
 
@@ -56,9 +56,16 @@ def history_side(events: DataFrame, side: str = "arrival") -> DataFrame:
         cols.append(F.col("reason_code").alias("h_reason"))
     else:
         cols.append(F.lit(None).cast("int").alias("h_reason"))
+    if "service_day" in events.columns:
+        cols.append("service_day")
     return events.filter(F.col(planned).isNotNull()).select(*cols)
 
 
+def service_day() -> Column:
+    """The day a stop event is filed under: that of its planned arrival, else departure."""
+    return F.to_date(F.coalesce("arrival_planned_time", "departure_planned_time"))
+
+
 def _closest_per_day(cand: DataFrame, key_cols: list[str], order: list[Column]) -> DataFrame:
     """One candidate per (key, day), least distance first; NULL change times last;
     the stop id is a total tie-break."""
@@ -83,8 +90,10 @@ def history_candidates(legs: DataFrame, keyed: DataFrame, window_days: int = 7,
     # over up to 24 join partitions.
     q = q.withColumn("bucket", F.explode(F.transform(
         F.sequence(F.lit(-2), F.lit(2)), lambda k: F.pmod(F.floor(F.col("q_tod") / 60).cast("int") + k, F.lit(24)))))
-    hist = (history_side(keyed, "arrival").filter(F.col("h_day") >= cutoff)
-            .withColumn("h_bucket", F.hour("h_planned")))
+    hist = history_side(keyed, "arrival").filter(F.col("h_day") >= cutoff).withColumn("h_bucket", F.hour("h_planned"))
+    if "service_day" in hist.columns:
+        # the partition column of the stored table: only the window's folders are read
+        hist = hist.filter(F.col("service_day") >= cutoff)
     cand = (q.join(hist, (q.q_train_no == hist.h_train_no) & (q.q_eva == hist.h_eva) & (q.bucket == hist.h_bucket))
             .withColumn("tod_diff", tod_distance(minute_of_day("h_planned"), F.col("q_tod")))
             .filter(F.col("tod_diff") <= TOD_TOLERANCE_MIN))
@@ -145,23 +154,34 @@ def leg_on_date(legs: DataFrame, keyed: DataFrame, side: str = "arrival",
     match are absent."""
     planned_col = planned_col or f"planned_{side}"
     tn = F.col(train).cast("string")
-    q = (legs.filter(tn.isNotNull() & (tn != "") & F.col(planned_col).isNotNull() & F.col(station).isNotNull())
-         .select(*key_cols,
-                 strip_zeros(F.regexp_replace(tn, " ", "")).alias("q_train_no"),
-                 pad_station(F.col(station).cast("string")).alias("q_eva"),
-                 F.col(planned_col).alias("q_planned")))
+    legs = (legs.filter(tn.isNotNull() & (tn != "") & F.col(planned_col).isNotNull() & F.col(station).isNotNull())
+            .select(*key_cols,
+                    strip_zeros(F.regexp_replace(tn, " ", "")).alias("q_train_no"),
+                    pad_station(F.col(station).cast("string")).alias("q_eva"),
+                    F.col(planned_col).alias("q_planned")))
+    # distinct lookups: a popular leg is matched once, however many journeys ride it
+    asked = ["q_train_no", "q_eva", "q_planned"]
+    q = legs.select(*asked).distinct().withColumn("q_day", F.to_date("q_planned"))
     hist = history_side(keyed, side)
-    cand = (q.join(hist, (q.q_train_no == hist.h_train_no) & (q.q_eva == hist.h_eva)
-                   & (hist.h_day == F.to_date(q.q_planned)))
+    on = (F.col("q_train_no") == F.col("h_train_no")) & (F.col("q_eva") == F.col("h_eva")) & (F.col("q_day") == F.col("h_day"))
+    if "service_day" in hist.columns:
+        # events are filed under the day of the arrival, which may be the one before a departure's
+        back = 0 if side == "arrival" else 1
+        lo, hi = (q.select(f("q_day")).scalar() for f in (F.min, F.max))
+        hist = hist.filter((F.col("service_day") >= F.date_sub(lo, back)) & (F.col("service_day") <= hi))
+        days = [F.date_sub("q_day", i) for i in range(back + 1)]
+        q = q.withColumn("q_service", F.explode(F.array(*days)))
+        on = on & (F.col("q_service") == F.col("service_day"))
+    cand = (q.join(hist, on)
             .withColumn("tod_diff", tod_distance(minute_of_day("h_planned"), minute_of_day("q_planned")))
             .filter(F.col("tod_diff") <= TOD_TOLERANCE_MIN)
             .withColumn("abs_diff", F.abs(minute_diff("q_planned", "h_planned"))))
-    w = Window.partitionBy(*key_cols).orderBy(F.col("abs_diff").asc(), F.col("h_planned").asc(),
-                                              F.col("h_change").asc_nulls_last(), F.col("h_id").asc_nulls_last())
+    w = Window.partitionBy(*asked).orderBy(F.col("abs_diff").asc(), F.col("h_planned").asc(),
+                                           F.col("h_change").asc_nulls_last(), F.col("h_id").asc_nulls_last())
     best = cand.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1")
     cols = [*key_cols,
             F.when(~F.col("h_canceled"), F.coalesce(F.col("h_delay"), F.lit(0))).alias("delay_min"),
             F.col("h_canceled").alias("canceled")]
     if side == "arrival":
         cols.append(F.col("h_reason").alias("reason"))
-    return best.select(*cols)
+    return legs.join(best, asked).select(*cols)

@@ -14,15 +14,28 @@ from latewise.functions.keys import live_line_label, pad_station, strip_zeros
 from latewise.functions.timefn import iso_to_local, parse_compact_time
 from latewise.operators.matching import tracked_product
 
-_M = "ARRAY<STRUCT<_t: STRING, _c: STRING, _ts: STRING>>"
-_SIDE = f"STRUCT<_pt: STRING, _ct: STRING, _clt: STRING, _l: STRING, m: {_M}>"
-TIMETABLE_SCHEMA = f"s ARRAY<STRUCT<_id: STRING, tl: STRUCT<_n: STRING, _c: STRING>, ar: {_SIDE}, dp: {_SIDE}, m: {_M}>>"
+_SIDE = "STRUCT<_pt: STRING, _ct: STRING, _clt: STRING, _l: STRING>"
+TIMETABLE_SCHEMA = f"s ARRAY<STRUCT<_id: STRING, tl: STRUCT<_n: STRING, _c: STRING>, ar: {_SIDE}, dp: {_SIDE}>>"
+# A stop element of a timetable document as text, with everything inside it.
+STOP_TEXT = r"(?s)<s[ >][^>]*?/>|<s[ >].*?</s>"
+
+
+def rejected(docs: DataFrame, col: str, schema: str, kind: str) -> DataFrame:
+    """The rows whose ``col`` (``xml`` or ``json``) cannot be read against ``schema``: what the
+    parsers below leave out is found here, so no document goes uncounted. A NULL document is
+    unreadable too."""
+    parse = {"xml": F.from_xml, "json": F.from_json}[kind]
+    read = parse(F.col(col), f"{schema}, _corrupt STRING", {"columnNameOfCorruptRecord": "_corrupt", "mode": "PERMISSIVE"})
+    return docs.withColumn("_read", read).filter(F.col("_read").isNull() | F.col("_read._corrupt").isNotNull()).drop("_read")
 
 
 def explode_stops(docs: DataFrame, xml_col: str = "response_data", keep: tuple = ("xml_timestamp",)) -> DataFrame:
-    """``<timetable><s ...>`` documents -> one row per stop (column ``s``)."""
-    parsed = docs.select(*keep, F.from_xml(F.col(xml_col), TIMETABLE_SCHEMA).alias("_t"))
-    return parsed.select(*keep, F.explode("_t.s").alias("s"))
+    """``<timetable><s ...>`` documents -> one row per stop: column ``s`` and its text ``s_xml``."""
+    parsed = docs.select(*keep, F.from_xml(F.col(xml_col), TIMETABLE_SCHEMA).alias("_t"),
+                         F.regexp_extract_all(F.col(xml_col), F.lit(STOP_TEXT), F.lit(0)).alias("_x"))
+    both = F.explode(F.arrays_zip(F.col("_t.s").alias("s"), F.col("_x").alias("x")))
+    return parsed.filter(F.col("_t.s").isNotNull()).select(*keep, both.alias("_z")).select(
+        *keep, F.col("_z.s").alias("s"), F.col("_z.x").alias("s_xml")).filter(F.col("s").isNotNull())
 
 
 def plan_messages(docs: DataFrame, keep: tuple = ("xml_timestamp",)) -> DataFrame:
@@ -37,24 +50,22 @@ def plan_messages(docs: DataFrame, keep: tuple = ("xml_timestamp",)) -> DataFram
         *keep)
 
 
-def _qualifying(msgs: Column) -> Column:
-    return F.filter(msgs, lambda m: (m._t == "d") & m._c.rlike(r"^[0-9]+$"))
+def _attribute(tag: Column, name: str) -> Column:
+    return F.regexp_extract(tag, rf"""\s{name}\s*=\s*["']([^"']*)["']""", 1)
 
 
-def latest_cause(stop: Column, tie: str = "first") -> Column:
-    """The cause of the newest ``t='d'`` message with a numeric code anywhere on the
-    stop (document order: arrival, departure, then the stop's own messages).
-    ``tie='first'`` keeps the first of equal timestamps (batch parser), ``'last'`` the last
-    (live path). Returns struct(code, ts)."""
-    empty = F.array().cast(_M)
-    msgs = F.concat(F.coalesce(stop.ar.m, empty), F.coalesce(stop.dp.m, empty), F.coalesce(stop.m, empty))
+def latest_cause(stop_xml: Column, tie: str = "first") -> Column:
+    """The cause of the newest ``t='d'`` message with a numeric code anywhere inside the
+    stop, at any depth, in document order. ``tie='first'`` keeps the first of equal timestamps
+    (batch parser), ``'last'`` the last (live path). Returns struct(code, ts)."""
+    tags = F.regexp_extract_all(stop_xml, F.lit(r"<m(?:\s[^>]*)?/?>"), F.lit(0))
+    msgs = F.transform(tags, lambda m: F.struct(_attribute(m, "t").alias("t"), _attribute(m, "c").alias("c"), _attribute(m, "ts").alias("ts")))
     init = F.struct(F.lit(None).cast("int").alias("code"), F.lit(None).cast("string").alias("ts"))
 
     def step(acc, m):
-        ts = F.coalesce(m._ts, F.lit(""))
-        better = (acc.ts.isNull() | (ts > acc.ts)) if tie == "first" else (ts >= F.coalesce(acc.ts, F.lit("")))
-        return F.when(better, F.struct(m._c.cast("int").alias("code"), ts.alias("ts"))).otherwise(acc)
-    return F.aggregate(_qualifying(msgs), init, step)
+        better = (acc.ts.isNull() | (m.ts > acc.ts)) if tie == "first" else (m.ts >= F.coalesce(acc.ts, F.lit("")))
+        return F.when(better, F.struct(m.c.try_cast("int").alias("code"), m.ts.alias("ts"))).otherwise(acc)
+    return F.aggregate(F.filter(msgs, lambda m: (m.t == "d") & m.c.rlike(r"^[0-9]+$")), init, step)
 
 
 def change_messages(docs: DataFrame, tie: str = "first", keep: tuple = ("xml_timestamp",)) -> DataFrame:
@@ -64,7 +75,7 @@ def change_messages(docs: DataFrame, tie: str = "first", keep: tuple = ("xml_tim
     st = explode_stops(docs, keep=keep)
     ar_ct, dp_ct = parse_compact_time("s.ar._ct"), parse_compact_time("s.dp._ct")
     canceled = F.col("s.ar._clt").isNotNull() | F.col("s.dp._clt").isNotNull()
-    cause = latest_cause(F.col("s"), tie)
+    cause = latest_cause(F.col("s_xml"), tie)
     out = st.select(F.col("s._id").alias("id"), ar_ct.alias("arrival_change_time"),
                     dp_ct.alias("departure_change_time"), canceled.alias("is_canceled"),
                     cause.code.alias("reason_code"), cause.ts.alias("reason_ts"), *keep,
@@ -72,20 +83,31 @@ def change_messages(docs: DataFrame, tie: str = "first", keep: tuple = ("xml_tim
     return out.filter(F.col("_a").isNotNull() | F.col("_d").isNotNull() | F.col("is_canceled")).drop("_a", "_d")
 
 
-LEG_SCHEMA = ("verbindungen ARRAY<STRUCT<ref: STRING, verbindungsAbschnitte: ARRAY<STRUCT<"
+LEG_SCHEMA = ("verbindungen ARRAY<STRUCT<ref: STRING, umstiegsAnzahl: INT, hasTeilpreis: BOOLEAN, angebotsPreis: STRUCT<betrag: DOUBLE>, "
+              "meldungenAsObject: ARRAY<STRUCT<code: STRING>>, verbindungsAbschnitte: ARRAY<STRUCT<"
               "verkehrsmittel: STRUCT<typ: STRING, mittelText: STRING, nummer: STRING, produktGattung: STRING, "
               "zugattribute: ARRAY<STRUCT<key: STRING, value: STRING>>>, "
               "abfahrtsOrtExtId: STRING, abfahrtsOrt: STRING, ankunftsOrtExtId: STRING, ankunftsOrt: STRING, "
               "abfahrt: STRUCT<sollzeit: STRING, echtzeit: STRING>, ankunft: STRUCT<sollzeit: STRING, echtzeit: STRING>>>>>")
 
 
+# Fixed value: the notice of a connection that the flat ticket covers.
+COVERED_CODE = "MDA-NUR-DT"
+
+
 def journey_legs(payloads: DataFrame, json_col: str = "payload") -> DataFrame:
     """Journey search payloads -> one row per leg with its index; journeys without a
-    train leg are dropped (``exists`` on the leg array, no extra shuffle)."""
+    train leg are dropped (``exists`` on the leg array, no extra shuffle). ``departure`` and
+    ``arrival`` are the live times where they deviate from the schedule; price, transfers and
+    the ticket flags of the journey stand on each leg."""
     p = payloads.select(F.from_json(F.col(json_col), LEG_SCHEMA).alias("_p"))
     j = p.select(F.explode("_p.verbindungen").alias("v"))
     j = j.filter(F.exists("v.verbindungsAbschnitte", lambda a: F.coalesce(a.verkehrsmittel.typ == "PUBLICTRANSPORT", F.lit(False))))
-    legs = j.select(F.col("v.ref").alias("ref"), F.posexplode("v.verbindungsAbschnitte").alias("leg_pos", "a"))
+    v = F.col("v")
+    covered = F.coalesce(F.exists(v.meldungenAsObject, lambda m: m.code == COVERED_CODE), F.lit(False))
+    legs = j.select(v.ref.alias("ref"), F.coalesce(v.umstiegsAnzahl, F.lit(0)).alias("transfers"), v.angebotsPreis.betrag.alias("price"),
+                    covered.alias("dticket_covered"), (~covered & F.coalesce(v.hasTeilpreis, F.lit(False))).alias("price_partial"),
+                    F.posexplode("v.verbindungsAbschnitte").alias("leg_pos", "a"))
     vm = F.col("a.verkehrsmittel")
     bef = F.filter(vm.zugattribute, lambda z: z.key == "BEF")
     return legs.select(
@@ -95,7 +117,14 @@ def journey_legs(payloads: DataFrame, json_col: str = "payload") -> DataFrame:
         F.element_at(bef, 1).value.alias("operator"),
         F.col("a.abfahrtsOrtExtId").alias("origin_id"), F.col("a.ankunftsOrtExtId").alias("dest_id"),
         iso_to_local("a.abfahrt.sollzeit").alias("planned_departure"),
-        iso_to_local("a.ankunft.sollzeit").alias("planned_arrival"))
+        iso_to_local("a.ankunft.sollzeit").alias("planned_arrival"),
+        _deviating("a.abfahrt").alias("departure"), _deviating("a.ankunft").alias("arrival"),
+        "transfers", "price", "dticket_covered", "price_partial")
+
+
+def _deviating(side: str) -> Column:
+    live, plan = F.col(f"{side}.echtzeit"), F.col(f"{side}.sollzeit")
+    return F.when((live != "") & (plan.isNull() | (live != plan)), iso_to_local(live))
 
 
 def journey_stops(legs: DataFrame) -> DataFrame:
@@ -168,3 +197,33 @@ def trip_updates(entities: DataFrame, json_col: str = "entity") -> DataFrame:
                     F.col("s.departure.time").alias("dep_time"), F.col("s.departure.delay").alias("dep_delay"),
                     F.col("tu.trip.schedule_relationship").alias("trip_rel"),
                     F.col("s.schedule_relationship").alias("stop_rel"))
+
+
+NL_TRIP_SCHEMA = ("trip_update STRUCT<trip: STRUCT<start_date: STRING, schedule_relationship: INT, ext: STRUCT<realtime_id: STRING>>, "
+                  "ext: STRUCT<headsign: STRING>, "
+                  "stop_time_update: ARRAY<STRUCT<ext: STRUCT<station_id: STRING>, arrival: STRUCT<time: BIGINT, delay: BIGINT>, "
+                  "departure: STRUCT<time: BIGINT, delay: BIGINT>, schedule_relationship: INT>>>")
+
+
+def trip_updates_nl(entities: DataFrame, json_col: str = "entity") -> DataFrame:
+    """N5, NL flavour (landed as JSON, the feed's extension fields by name): entities without an
+    ``IFF:type:number`` identity are dropped, as are stops without a station id; ids are
+    lower-cased; a cancelled trip without stop updates keeps one marker row with an empty
+    station; rows without times stay only if the stop is skipped or the trip cancelled."""
+    from latewise.functions.keys import realtime_id_parts
+    tu = entities.select(F.from_json(F.col(json_col), NL_TRIP_SCHEMA).alias("e")).select("e.trip_update.*")
+    tu = tu.withColumn("id", realtime_id_parts("trip.ext.realtime_id")).filter(F.col("id").isNotNull())
+    trip_rel = F.col("trip.schedule_relationship")
+    marker = (F.size(F.coalesce("stop_time_update", F.array())) == 0) & (trip_rel == 3)
+    stops = tu.select("id", "trip", F.col("ext.headsign").alias("headsign"), F.explode("stop_time_update").alias("s"))
+    stops = stops.withColumn("station_code", F.lower("s.ext.station_id")).filter(F.col("station_code") != "")
+    keep = (F.col("s.arrival.time").isNotNull() | F.col("s.departure.time").isNotNull()
+            | F.coalesce(F.col("s.schedule_relationship") == 1, F.lit(False)) | F.coalesce(trip_rel == 3, F.lit(False)))
+    cols = ["trip.start_date", "id.train_key", "station_code", "id.train_number", "id.train_type", "headsign"]
+    rows = stops.filter(keep).select(
+        *cols, F.col("s.arrival.time").alias("arr_time"), F.col("s.arrival.delay").alias("arr_delay"), F.col("s.departure.time").alias("dep_time"),
+        F.col("s.departure.delay").alias("dep_delay"), trip_rel.alias("trip_rel"), F.col("s.schedule_relationship").alias("stop_rel"))
+    none = [F.lit(None).cast("long").alias(c) for c in ("arr_time", "arr_delay", "dep_time", "dep_delay")]
+    bare = tu.filter(marker).withColumns({"station_code": F.lit(""), "headsign": F.col("ext.headsign")}).select(
+        *cols, *none, trip_rel.alias("trip_rel"), F.lit(None).cast("int").alias("stop_rel"))
+    return rows.unionByName(bare)

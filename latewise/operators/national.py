@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from latewise.functions.keys import at_train_key, ch_train_key, strip_zeros
 from latewise.functions.timefn import (epoch_to_local, minute_diff, parse_local_time, round_minutes,
@@ -135,9 +134,11 @@ TRIP_CANCELED = 3
 STOP_SKIPPED = 1
 
 
-def cancel_marker(obs: DataFrame, day: str, trip: str, rel: str = "trip_rel") -> Column:
-    """A trip cancelled in any row cancels every row of that trip on that day."""
-    return F.coalesce(F.max((F.col(rel) == TRIP_CANCELED).cast("int")).over(Window.partitionBy(day, trip)), F.lit(0)) == 1
+def with_trip_cancelled(obs: DataFrame, day: str, trip: str, rel: str = "trip_rel", out: str = "trip_canceled") -> DataFrame:
+    """A trip cancelled in any row cancels every row of that trip on that day. The
+    cancelled trips are collected by a distinct (partial before the shuffle) and joined back."""
+    marked = obs.filter(F.col(rel) == TRIP_CANCELED).select(day, trip).distinct().withColumn(out, F.lit(True))
+    return obs.join(marked, [day, trip], "left").withColumn(out, F.coalesce(out, F.lit(False)))
 
 
 def gtfsrt_normalise(obs: DataFrame, crosswalk: DataFrame, flavour: str = "FR") -> DataFrame:
@@ -145,9 +146,11 @@ def gtfsrt_normalise(obs: DataFrame, crosswalk: DataFrame, flavour: str = "FR")
     actual - delay (before the local conversion); rows without either planned side are
     dropped; FR needs a run number, its brand defaults to 'SNCF'."""
     trip = "trip_id" if flavour == "FR" else "train_key"
-    o = obs.withColumn("_trip_canc", cancel_marker(obs, "start_date", trip))
+    o = with_trip_cancelled(obs, "start_date", trip, out="_trip_canc")
     cw = crosswalk.select(F.col("code").alias("_code"), F.col("eva").alias("_eva"), F.col("name").alias("_name"))
-    o = o.join(cw, F.col("station_code") == cw._code).filter(F.col("train_number").isNotNull() & (F.col("train_number") != ""))
+    o = o.join(cw, F.col("station_code") == cw._code)
+    if flavour == "FR":
+        o = o.filter(F.col("train_number").isNotNull() & (F.col("train_number") != ""))
     canc = F.col("_trip_canc") | F.coalesce(F.col("stop_rel") == STOP_SKIPPED, F.lit(False))
     ap = F.when(F.col("arr_time").isNotNull() & F.col("arr_delay").isNotNull(), epoch_to_local(F.col("arr_time") - F.col("arr_delay")))
     dp = F.when(F.col("dep_time").isNotNull() & F.col("dep_delay").isNotNull(), epoch_to_local(F.col("dep_time") - F.col("dep_delay")))

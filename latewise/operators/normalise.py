@@ -73,6 +73,3 @@ def merge_countries(sources: Sequence[tuple[str, DataFrame | None]], start, end)
         out = out.unionByName(p)
     return out
 
-
-def core_select(df: DataFrame) -> DataFrame:
-    return with_optional_columns(df).select(*CORE_COLUMNS, *OPTIONAL_COLUMNS)

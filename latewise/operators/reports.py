@@ -6,9 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from latewise.functions.keys import strip_zeros
+from latewise.operators.ordered import nearest_rank, positions
 
 
 def trains_by_station_hour(events: DataFrame, stations: DataFrame, min_events: int = 5) -> DataFrame:
@@ -31,17 +31,10 @@ MAX_ERROR_RATE = 0.005
 def request_report(log: DataFrame, duration_s: Column) -> DataFrame:
     """Per endpoint n, nearest-rank percentiles (index ``min(n-1, int(n*p))`` of the
     sorted samples), max, errors, throughput, threshold breach; plus the total error-rate
-    breach. Percentiles come from a per-endpoint value histogram (partial aggregation), so
-    a hot endpoint is never sorted in one task."""
+    breach. A hot endpoint is ordered in buckets of its values, never in one task."""
     ok = log.filter(~F.col("is_error"))
-    hist = ok.groupBy("endpoint", "ms").agg(F.count(F.lit(1)).alias("k"))
-    w = Window.partitionBy("endpoint").orderBy("ms").rowsBetween(Window.unboundedPreceding, 0)
-    hist = hist.withColumn("cum", F.sum("k").over(w)).withColumn("n", F.sum("k").over(Window.partitionBy("endpoint")))
-    aggs = [F.max("n").alias("n"), F.max("ms").alias("max")]
-    for name, p in QUANTILES.items():
-        idx = F.least(F.col("n") - 1, F.floor(F.col("n") * p))
-        aggs.append(F.min(F.when(F.col("cum") > idx, F.col("ms"))).alias(name))
-    pct = hist.groupBy("endpoint").agg(*aggs)
+    pct = positions(ok.select("endpoint", "ms"), "ms", ["endpoint"]).groupBy("endpoint").agg(
+        F.max("_n").alias("n"), F.max("ms").alias("max"), *(nearest_rank("ms", p).alias(name) for name, p in QUANTILES.items()))
     errs = log.groupBy("endpoint").agg(F.sum(F.col("is_error").cast("int")).cast("long").alias("errors"),
                                        F.count(F.lit(1)).alias("total"))
     r = errs.join(pct, "endpoint", "left")
@@ -85,11 +78,6 @@ def ingest_days(missing: DataFrame, end) -> DataFrame:
     return d.filter(F.col("day") <= F.date_add(F.lit(end), 1))
 
 
-def retention_prune(df: DataFrame, day: Column, keep_from) -> DataFrame:
-    """K6: drop days before the cutoff (a plain filter: partition pruning on disk)."""
-    return df.filter(day >= F.lit(keep_from))
-
-
 def stale_days(files: DataFrame, stamps: DataFrame) -> DataFrame:
     """K7: a day needs a re-parse when it has no cache, or its newest raw file is newer
     than the cache stamp."""
@@ -99,10 +87,21 @@ def stale_days(files: DataFrame, stamps: DataFrame) -> DataFrame:
                     (F.col("stamp").isNull() | (F.col("newest_raw") > F.col("stamp"))).alias("reparse"))
 
 
-def rebuild_needed(decisions: DataFrame, built_day, today) -> Column:
-    """K7: rebuild if any day was re-parsed, or the calendar day moved since the build."""
-    return F.coalesce(decisions.select(F.max(F.col("reparse").cast("int"))).scalar() == 1, F.lit(False)) | \
-        F.lit(built_day < today)
+def rebuild_needed(decisions: DataFrame, built_day, today) -> DataFrame:
+    """K7: how many days are parsed anew, and whether to rebuild: if any is, or the calendar
+    day moved since the build (one row)."""
+    n = F.sum(F.col("reparse").cast("long"))
+    return decisions.agg(F.coalesce(n, F.lit(0)).alias("reparsed"), ((F.coalesce(n, F.lit(0)) > 0) | F.lit(built_day < today)).alias("rebuild"))
+
+
+def finalise_order(missing: DataFrame, ingested: DataFrame) -> DataFrame:
+    """A missing day is consolidated once it and its successor are ingested (``complete``:
+    its trains that run past midnight end in the next day's archive); one whose successor is
+    not there is built from what there is; one that is not there itself is not built."""
+    got = ingested.select("day").distinct()
+    nxt = got.select(F.date_sub("day", 1).alias("day"), F.lit(True).alias("_next"))
+    return (missing.join(got, "day", "left_semi").join(nxt, "day", "left")
+            .select("day", F.coalesce("_next", F.lit(False)).alias("complete")))
 
 
 def reason_join(df: DataFrame, reasons: DataFrame, code: str = "reason_code") -> DataFrame:

@@ -91,7 +91,7 @@ def run_registry(board_rows: DataFrame, min_day: str) -> DataFrame:
         F.min("fetch_ts").alias("first_seen"))
 
 
-def run_lifecycle(registry: DataFrame, runs: DataFrame, fetch_ts: int, repoll: int = 120) -> DataFrame:
+def run_lifecycle(registry: DataFrame, runs: DataFrame, fetch_ts: int, repoll: int = 900) -> DataFrame:
     """one poll cycle. A run is done when its last stop has a real arrival or it is
     over 4 h past its last planned arrival (runs without stops only by the 4 h rule);
     without an answer the failure count grows and >= 5 misses after departure retire

@@ -1,8 +1,9 @@
 """Serving table and its summaries.
 
-The serving table materialises the lookup key ``train_no`` and is range-partitioned and
-sorted by (``train_no``, ``eva``): Parquet min/max statistics then let a lookup on the key
-skip row groups, and the file layout is the same for any cluster size.
+The serving table materialises the lookup key ``train_no`` and the day an event is filed under.
+It is stored in a folder for each ``service_day``, sorted by (``train_no``, ``eva``) inside: a
+window of days reads its folders only, and Parquet min/max statistics let a lookup on the key
+skip row groups.
 """
 
 from __future__ import annotations
@@ -13,18 +14,21 @@ from pyspark.sql.window import Window
 
 from latewise.functions.keys import strip_zeros, train_key
 from latewise.functions.text import fold_name
+from latewise.operators.matching import service_day
+
+
+SERVING_ORDER = ["service_day", "train_no", "eva"]
 
 
 def serving_table(events: DataFrame, partitions: int | None = None) -> DataFrame:
-    """K3 content: stop events + ``train_no``, range-partitioned and sorted on the key."""
-    keyed = events.withColumn("train_no", train_key())
-    keyed = keyed.repartitionByRange(partitions, "train_no", "eva") if partitions else \
-        keyed.repartitionByRange("train_no", "eva")
-    return keyed.sortWithinPartitions("train_no", "eva")
+    """K3 content: stop events + ``train_no`` + ``service_day``, range-partitioned and sorted."""
+    keyed = events.withColumns({"train_no": train_key(), "service_day": service_day()})
+    keyed = keyed.repartitionByRange(partitions, *SERVING_ORDER) if partitions else keyed.repartitionByRange(*SERVING_ORDER)
+    return keyed.sortWithinPartitions(*SERVING_ORDER)
 
 
 def write_serving(events: DataFrame, path: str, partitions: int | None = None) -> None:
-    serving_table(events, partitions).write.mode("overwrite").parquet(path)
+    serving_table(events, partitions).write.mode("overwrite").partitionBy("service_day").parquet(path)
 
 
 def coverage(events: DataFrame) -> DataFrame:
@@ -67,20 +71,17 @@ def station_search(index: DataFrame, queries: DataFrame, limit: int = 8) -> Data
     prefix match 0, word start 1, other substring 2; main stations first, then volume;
     a blank query matches nothing.
 
-    Exact substring search without a cross join: every station name is exploded into all
-    its substrings (bounded by the name length, and the index by the number of stations),
-    which are equi-joined with the folded queries."""
+    Exact substring search without a cross join: a name is filed under its distinct pieces of
+    one, two and three letters, a query is looked up by its first three (or all of a shorter
+    one), and every hit is verified on the whole query."""
     q = (queries.withColumn("q", fold_name("query")).filter(F.col("q") != "")
          .select("query_id", "q"))
     n = F.length("norm")
-    subs = (index
-            .withColumn("start", F.explode(F.sequence(F.lit(1), n)))
-            .withColumn("len", F.explode(F.sequence(F.lit(1), n - F.col("start") + 1)))
-            .withColumn("sub", F.substring("norm", F.col("start"), F.col("len")))
-            .withColumn("rank", F.when(F.col("start") == 1, 0)
-                        .when(F.substring("norm", F.col("start") - 1, 1) == " ", 1).otherwise(2))
-            .groupBy("norm", "sub").agg(F.min("rank").alias("rank")))
-    hits = q.join(subs, q.q == subs.sub).join(index, "norm")
+    pieces = F.array_distinct(F.flatten(F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda k: F.when(
+        n >= k, F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substring(F.col("norm"), i, k))).otherwise(F.array().cast("array<string>")))))
+    filed = index.withColumn("piece", F.explode(pieces))
+    rank = (F.when(F.startswith("norm", "q"), 0).when(F.contains("norm", F.concat(F.lit(" "), "q")), 1).otherwise(2))
+    hits = q.join(filed, F.substring("q", 1, 3) == F.col("piece")).filter(F.contains("norm", "q")).withColumn("rank", rank)
     w = Window.partitionBy("query_id").orderBy(
         "rank", F.when(F.col("is_main"), 0).otherwise(1), F.desc("total"), "norm")
     return (hits.withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= limit)

@@ -39,9 +39,9 @@ def country_station_counts(stations: DataFrame, country: str = "country") -> Dat
     return stations.groupBy(country).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), country)
 
 
-def gtfs_rank(stop_times: DataFrame, trips: DataFrame, routes: DataFrame, stops: DataFrame, top: int) -> DataFrame:
+def gtfs_rank(stop_times: DataFrame, trips: DataFrame, routes: DataFrame, stops: DataFrame, top: int | None = None) -> DataFrame:
     """Rail stop events per parent station (else the stop itself), joined back to
-    the stops for name and position; the ``top`` busiest."""
+    the stops for name and position; all of them, or the ``top`` busiest, busiest first."""
     s = stops.select("stop_id", "parent_station")
     ev = (stop_times.select("trip_id", "stop_id").join(trips.select("trip_id", "route_id"), "trip_id")
           .join(routes.filter(F.col("route_type") == "2").select("route_id"), "route_id")
@@ -49,17 +49,19 @@ def gtfs_rank(stop_times: DataFrame, trips: DataFrame, routes: DataFrame, stops:
           .groupBy(F.coalesce("parent_station", "stop_id").alias("pid")).agg(F.count(F.lit(1)).alias("n")))
     p = stops.select(F.col("stop_id").alias("pid"), "stop_name", F.col("stop_lat").cast("double").alias("lat"),
                      F.col("stop_lon").cast("double").alias("lon"))
-    return ev.join(p, "pid").orderBy(F.desc("n"), "pid").limit(top).select("pid", "stop_name", "lat", "lon", "n")
+    ranked = ev.join(p, "pid").select("pid", "stop_name", "lat", "lon", "n")
+    return ranked if top is None else ranked.orderBy(F.desc("n"), "pid").limit(top)
 
 
 def geo_match(ranked: DataFrame, candidates: DataFrame, max_km: float = 2.0) -> DataFrame:
     """Per ranked station the first candidate (by rank) that is a station (type
     'ST') with a 7-digit '81' id, a train product, coordinates, and within ``max_km``.
-    Candidates are joined on the query name (the lookup they answer)."""
+    Candidates are joined on the query name (the lookup they answer), which is the stop's name
+    without a trailing "Bahnhof" or "Bahnhst" (those pull the lookup toward bus stops)."""
     c = candidates.filter((F.col("type") == "ST") & F.col("ext_id").startswith("81") & (F.length("ext_id") == 7)
                           & F.arrays_overlap(F.col("products"), F.array(*[F.lit(p) for p in TRAIN_PRODUCT_NAMES]))
                           & F.col("c_lat").isNotNull() & F.col("c_lon").isNotNull())
-    j = ranked.join(c, ranked.stop_name == c.query)
+    j = ranked.join(c, F.regexp_replace("stop_name", r"\s+(Bahnhof|Bahnhst)$", "") == c.query)
     j = j.filter(geo_distance_km("lat", "lon", "c_lat", "c_lon") < max_km)
     return _first(j, ["pid"], [F.col("rank")]).select("pid", "stop_name", "ext_id", F.col("c_name").alias("bahn_name"))
 
@@ -89,12 +91,12 @@ def token_match(universe: DataFrame, crosswalk: DataFrame, candidates: DataFrame
 
 
 def seed_verify(universe: DataFrame, crosswalk: DataFrame, seed: DataFrame, candidates: DataFrame,
-                sample: int) -> DataFrame:
-    """The first ``sample`` seeded codes (code order) are looked up; a differing
-    answer overrides the seed. Returns (code, seed_eva, lookup_eva, mismatch)."""
+                sample: int | None = None) -> DataFrame:
+    """The seeded codes are looked up (on request the first ``sample`` in code order); a
+    differing answer overrides the seed. Returns (code, seed_eva, lookup_eva, mismatch)."""
     seeded = (universe.select("code", "name").join(seed.select("code"), "code")
               .join(crosswalk.select("code", F.col("eva").alias("seed_eva")), "code"))
-    s = seeded.orderBy("code").limit(sample)
+    s = seeded if sample is None else seeded.orderBy("code").limit(sample)
     hit = accepted_lookup(s.select("code", "name"), candidates).select("code", F.col("eva").alias("lookup_eva"))
     r = s.join(hit, "code", "left")
     return r.select("code", "seed_eva", "lookup_eva",

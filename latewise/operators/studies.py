@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from latewise.functions.keys import strip_zeros
+from latewise.operators.ordered import average_rank, linear_quantile, positions
 
 
 def train_label() -> Column:
@@ -43,20 +44,9 @@ def period_profile(events: DataFrame, start, split, end, min_stops: int,
     return g.filter((F.col("h1_n") >= min_stops) & (F.col("h2_n") >= min_stops))
 
 
-def average_rank(df: DataFrame, value: str, partition: list[str] | None = None, out: str = "rank") -> DataFrame:
-    """Rank with ties averaged (1-based), plus the fraction rank / n."""
-    part = partition or []
-    w = Window.partitionBy(*part).orderBy(value)
-    ties = Window.partitionBy(*part, value)
-    n = Window.partitionBy(*part)
-    r = F.rank().over(w) + (F.count(F.lit(1)).over(ties) - 1) / 2.0
-    return (df.withColumn(out, r.cast("double"))
-            .withColumn(out + "_pct", F.col(out) / F.count(F.lit(1)).over(n)))
-
-
 def persistence_correlation(profile: DataFrame, min_group: int = 10) -> DataFrame:
     """Pearson and Spearman of first vs second part, overall and per train type;
-    groups under ``min_group`` trains dropped; larger groups first (``ord``)."""
+    groups under ``min_group`` trains dropped; all trains first, then larger groups."""
     allg = profile.withColumn("grp", F.lit("ALL"))
     per = profile.withColumn("grp", F.col("train_type"))
     both = allg.unionByName(per)
@@ -66,7 +56,7 @@ def persistence_correlation(profile: DataFrame, min_group: int = 10) -> DataFram
                                 F.corr("r1", "r2").alias("spearman"))
     g = g.filter(F.col("n") >= min_group)
     return g.select("grp", "n", F.round("pearson", 6).alias("pearson"), F.round("spearman", 6).alias("spearman"),
-                    F.when(F.col("grp") == "ALL", F.lit(0)).otherwise(F.lit(1)).alias("is_type"))
+                    F.when(F.col("grp") == "ALL", F.lit(0)).otherwise(F.lit(1)).alias("is_type")).orderBy("is_type", F.desc("n"), "grp")
 
 
 def persistence_quintiles(profile: DataFrame) -> DataFrame:
@@ -74,9 +64,10 @@ def persistence_quintiles(profile: DataFrame) -> DataFrame:
     mean h1, mean h2, median h2 (2 decimals, half to even)."""
     r = average_rank(profile, "h1_avg", None, "r1")
     q = (F.floor(F.least(F.col("r1_pct") * 5, F.lit(4.999))) + 1).cast("int")
-    return (r.withColumn("quintile", q).groupBy("quintile").agg(
+    placed = positions(r.withColumn("quintile", q).select("quintile", "h1_avg", "h2_avg"), "h2_avg", ["quintile"])
+    return placed.groupBy("quintile").agg(
         F.count(F.lit(1)).alias("trains"), F.bround(F.avg("h1_avg"), 2).alias("h1_avg"),
-        F.bround(F.avg("h2_avg"), 2).alias("h2_avg"), F.bround(F.median("h2_avg"), 2).alias("h2_median")))
+        F.bround(F.avg("h2_avg"), 2).alias("h2_avg"), F.bround(linear_quantile("h2_avg", 0.5), 2).alias("h2_median"))
 
 
 AXIS_MAX = 12.0
@@ -112,11 +103,10 @@ def band_of(h1) -> Column:
 
 def violin_groups(profile: DataFrame, axis_max: float = AXIS_MAX) -> DataFrame:
     """Per band n, quartiles of h2 (linear interpolation), share of h2 over the axis."""
-    b = profile.withColumn("band", band_of("h1_avg"))
+    b = positions(profile.withColumn("band", band_of("h1_avg")).select("band", "h2_avg"), "h2_avg", ["band"])
     return b.groupBy("band").agg(
         F.count(F.lit(1)).alias("n"),
-        F.round(F.percentile("h2_avg", 0.25), 6).alias("q1"), F.round(F.percentile("h2_avg", 0.5), 6).alias("med"),
-        F.round(F.percentile("h2_avg", 0.75), 6).alias("q3"),
+        *(F.round(linear_quantile("h2_avg", p), 6).alias(c) for c, p in (("q1", 0.25), ("med", 0.5), ("q3", 0.75))),
         F.round(F.avg(F.when(F.col("h2_avg") > axis_max, 100.0).otherwise(0.0)), 6).alias("pct_over"))
 
 
@@ -141,4 +131,4 @@ def scatter_sample(profile: DataFrame, n: int, seed: int, axis_max: float = AXIS
     """A seeded, deterministic sample of n trains inside the axes."""
     inside = ((F.col("h1_avg") >= 0) & (F.col("h2_avg") >= 0) & (F.col("h1_avg") <= axis_max)
               & (F.col("h2_avg") <= axis_max))
-    return profile.filter(inside).orderBy(F.xxhash64("train", F.lit(seed)), "train").limit(n)
+    return profile.filter(inside).orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), "train").cast("binary")), "train").limit(n)

@@ -64,13 +64,18 @@ def insert_or_ignore(spark, sf_dir):
     return FO.insert_or_ignore(o, ["obs_key", "day"], "seq", ["seq", "status", "fetch_ts"])
 
 
+def _today(o):
+    """The day of the newest poll: the clock of this data."""
+    return o.select(F.max(F.to_date("fetch_ts"))).scalar()
+
+
 @query("state_retention", """
 SELECT obs_key, CAST(fetch_ts AS DATE) AS day, count(*) AS n FROM observations
-WHERE CAST(fetch_ts AS DATE) > (SELECT max(CAST(fetch_ts AS DATE)) FROM observations) - 3
+WHERE CAST(fetch_ts AS DATE) >= (SELECT max(CAST(fetch_ts AS DATE)) FROM observations) - 3
 GROUP BY obs_key, CAST(fetch_ts AS DATE)""")
 def state_retention(spark, sf_dir):
     o = _obs(spark, sf_dir)
-    kept = FO.state_retention(o, F.to_date("fetch_ts"), 3)
+    kept = FO.state_retention(o, F.to_date("fetch_ts"), _today(o), 3)
     return kept.groupBy("obs_key", F.to_date("fetch_ts").alias("day")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -83,9 +88,11 @@ def poll_cycle_counts(spark, sf_dir):
 
 
 def snapshots(spark, sf_dir):
-    """Landed snapshot files: one JSON array per fetch minute; some are truncated."""
+    """Landed snapshot files: JSON arrays of a fetch minute, in parts of a bounded size (a poll
+    grows with the data); some are truncated."""
     from latewise.operators.fold import JSON_TS
-    o = _obs(spark, sf_dir).withColumn("name", F.concat(F.lit("snap-"), F.date_format("fetch_ts", "yyyyMMddHHmm")))
+    name = F.concat(F.lit("snap-"), F.date_format("fetch_ts", "yyyyMMddHHmm"), F.lit("-"), F.lpad(F.floor(F.col("seq") / 4096).cast("string"), 12, "0"))
+    o = _obs(spark, sf_dir).withColumn("name", name)
     g = o.groupBy("name").agg(F.sort_array(F.collect_list(F.struct(
         "seq", "obs_key", "fetch_ts", "arr_time", "arr_delay", "dep_time", "dep_delay", "status", "descr"))).alias("rows"))
     js = F.to_json("rows", JSON_TS)
@@ -101,7 +108,7 @@ SELECT obs_key,
   arg_max_null(dep_delay, (name, seq)) FILTER (WHERE dep_time IS NOT NULL OR dep_delay IS NOT NULL) AS dep_delay,
   arg_max(descr, (name, seq)) AS descr, arg_max_null(status, (name, seq)) AS status,
   arg_max_null(fetch_ts, (name, seq)) AS fetch_ts
-FROM (SELECT *, 'snap-' || strftime(fetch_ts, '%Y%m%d%H%M') AS name FROM observations)
+FROM (SELECT *, strftime(fetch_ts, '%Y%m%d%H%M') || lpad(CAST(seq // 4096 AS VARCHAR), 12, '0') AS name FROM observations)
 WHERE minute(fetch_ts) % 17 <> 0
 GROUP BY obs_key""")
 def snapshot_replay(spark, sf_dir):
@@ -110,25 +117,33 @@ def snapshot_replay(spark, sf_dir):
 
 
 @query("snapshot_replay_skipped", """
-SELECT count(DISTINCT strftime(fetch_ts, '%Y%m%d%H%M')) AS skipped FROM observations WHERE minute(fetch_ts) % 17 = 0""")
+SELECT count(DISTINCT strftime(fetch_ts, '%Y%m%d%H%M') || '-' || seq // 4096) AS skipped FROM observations WHERE minute(fetch_ts) % 17 = 0""")
 def snapshot_replay_skipped(spark, sf_dir):
     _, bad = FO.snapshot_replay(snapshots(spark, sf_dir))
     return bad
 
 
-@query("stream_fold")
+def _sided_sql(keys: str) -> str:
+    side = "FILTER (WHERE {0}_time IS NOT NULL OR {0}_delay IS NOT NULL) AS {0}_{1}"
+    cols = [f"arg_max_null({s}_{f}, seq) " + side.format(s, f) for s in ("arr", "dep") for f in ("time", "delay")]
+    return (f"SELECT {keys}, {', '.join(cols)}, arg_max(descr, seq) AS descr, arg_max_null(status, seq) AS status, "
+            "arg_max_null(fetch_ts, seq) AS fetch_ts")
+
+
+@query("stream_fold", _sided_sql("CAST(fetch_ts AS DATE) AS service_day, obs_key") + """
+FROM observations WHERE CAST(fetch_ts AS DATE) >= (SELECT max(CAST(fetch_ts AS DATE)) FROM observations) - 3
+GROUP BY ALL""".replace("GROUP BY ALL", "GROUP BY CAST(fetch_ts AS DATE), obs_key"))
 def stream_fold(spark, sf_dir):
-    """I1/S10 under Structured Streaming: the observations are landed as five snapshot
-    files in the shared checkpoint folder and drained with ``availableNow`` through the
-    foreachBatch fold (rows-only check; equality with the batch fold is a unit test)."""
-    import os
+    """I1, I6 and S10 under Structured Streaming: the observations are landed as five snapshot
+    files in the shared folder and drained with ``availableNow`` through the foreachBatch fold
+    per service day, with three days of retention."""
     import uuid
 
     from latewise.session import checkpoint_dir
     from latewise.streaming.fold_stream import run_fold_stream
-    base = os.path.join(checkpoint_dir(spark), f"stream-fold-{uuid.uuid4().hex}")
+    base = f"{checkpoint_dir(spark)}/stream-fold-{uuid.uuid4().hex}"
     obs = _obs(spark, sf_dir)
     for p in range(5):
-        obs.filter(F.col("seq") % 5 == p).write.parquet(os.path.join(base, "landed", f"f{p}"))
-    return run_fold_stream(spark, os.path.join(base, "landed", "*"), os.path.join(base, "state"),
-                           os.path.join(base, "ckpt"), max_files=1)
+        obs.filter(F.col("seq") % 5 == p).write.parquet(f"{base}/landed/f{p}")
+    today = obs.agg(F.max(F.to_date("fetch_ts"))).first()[0]
+    return run_fold_stream(spark, f"{base}/landed/*", f"{base}/state", f"{base}/ckpt", max_files=1, today=today)

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from latewise.functions import journey as JF
 from latewise.operators import journeys as J
 from latewise.operators import matching as M
+from latewise.operators import messages as MS
 from latewise.plans.oracle_fixture import register
-from latewise.plans.q_matching import _stats_oracle
+from latewise.plans.q_matching import LOOKUP_LEGS_SQL, _stats_oracle, _stats_sql
 from latewise.plans.registry import fixture, query
+from latewise.sources import landed
 
 register("o_leg_stats", _stats_oracle(7))
 register("o_pairs", """
@@ -91,8 +92,9 @@ def journey_score(spark, sf_dir):
 
 
 @query("sort_delay", """
-SELECT s.journey_id, p.search_id, row_number() OVER (PARTITION BY p.search_id ORDER BY s.delay_score IS NULL, s.any_unlikely,
-       s.delay_score NULLS LAST, coalesce(s.max_leg_median, 0.0), p.orig_pos) AS pos_delay
+SELECT s.journey_id, p.search_id, row_number() OVER (PARTITION BY p.search_id ORDER BY s.delay_score IS NULL,
+       CASE WHEN s.delay_score IS NULL THEN NULL ELSE s.any_unlikely END, s.delay_score NULLS LAST,
+       CASE WHEN s.delay_score IS NULL THEN NULL ELSE coalesce(s.max_leg_median, 0.0) END, p.orig_pos) AS pos_delay
 FROM o_score s JOIN o_pages p ON p.journey_id = s.journey_id""")
 def sort_delay(spark, sf_dir):
     fx = fixture(spark, sf_dir)
@@ -138,7 +140,7 @@ JKEY_SQL = """
 SELECT journey_id, journey_id // 10 AS search_id,
   concat_ws('|', strftime(arg_min_null(planned_departure, leg_idx), '%Y-%m-%dT%H:%M:%S'),
                  strftime(arg_max_null(planned_arrival, leg_idx), '%Y-%m-%dT%H:%M:%S'),
-                 coalesce(string_agg(CASE WHEN NOT walking THEN line_name END, '|' ORDER BY leg_idx), '')) AS jkey
+                 coalesce(string_agg(CASE WHEN NOT walking THEN coalesce(line_name, '') END, '|' ORDER BY leg_idx), '')) AS jkey
 FROM legs GROUP BY journey_id"""
 
 
@@ -187,8 +189,8 @@ def return_floor_filter(spark, sf_dir):
 WITH ql AS (SELECT DISTINCT journey_id, leg_idx, window_start, window_end FROM o_leg_stats),
 spine AS (SELECT journey_id, leg_idx, CAST(unnest(generate_series(window_start, window_end, INTERVAL 1 DAY)) AS DATE) AS day FROM ql),
 d AS (SELECT journey_id, leg_idx, day, delay, canceled, reason FROM (
-  WITH ql AS (""" + __import__("latewise.plans.q_matching", fromlist=["LOOKUP_LEGS_SQL"]).LOOKUP_LEGS_SQL + """)
-  """ + __import__("latewise.plans.q_matching", fromlist=["_stats_sql"])._stats_sql(7) + """
+  WITH ql AS (""" + LOOKUP_LEGS_SQL + """)
+  """ + _stats_sql(7) + """
   SELECT journey_id, leg_idx, day, CASE WHEN is_canceled THEN NULL ELSE CAST(arr_delay AS INTEGER) END AS delay,
          is_canceled AS canceled, reason_code AS reason FROM best))
 SELECT s.journey_id, s.leg_idx, s.day, d.delay, d.canceled, d.reason
@@ -216,8 +218,7 @@ def if_missed(spark, sf_dir):
 
 
 @query("cap_enrichment", """
-SELECT t.journey_id, t.leg_index, p.search_id FROM o_tight t JOIN o_pages p ON p.journey_id = t.journey_id
-QUALIFY row_number() OVER (PARTITION BY p.search_id ORDER BY p.orig_pos, t.leg_index) <= 3""")
+SELECT t.journey_id, t.leg_index, p.search_id FROM o_tight t JOIN o_pages p ON p.journey_id = t.journey_id""")
 def cap_enrichment(spark, sf_dir):
     fx = fixture(spark, sf_dir)
     t = J.tight_transfers(fx.legs, leg_stats(spark, sf_dir))
@@ -225,16 +226,15 @@ def cap_enrichment(spark, sf_dir):
 
 
 @query("leg_flags", """
-SELECT journey_id, leg_idx, walking,
+SELECT CAST(journey_id AS VARCHAR) AS ref, CAST(row_number() OVER (PARTITION BY journey_id ORDER BY leg_idx) - 1 AS INTEGER) AS leg_pos, walking,
   CASE WHEN live_departure IS NOT NULL AND (planned_departure IS NULL OR live_departure <> planned_departure) THEN live_departure END AS departure,
   CASE WHEN live_arrival IS NOT NULL AND (planned_arrival IS NULL OR live_arrival <> planned_arrival) THEN live_arrival END AS arrival,
-  j.dticket_covered, j.price_partial
-FROM legs JOIN journeys j USING (journey_id)""")
+  j.dticket_covered, j.price_partial, j.price, coalesce(j.transfers, 0) AS transfers
+FROM legs JOIN journeys j USING (journey_id)
+WHERE journey_id IN (SELECT journey_id FROM legs WHERE NOT walking)""")
 def leg_flags(spark, sf_dir):
-    """Walking flag, live time only where it deviates, covered / partly priced."""
+    """X27 out of the search payload: walking flag, live time only where it deviates, covered /
+    partly priced, price and transfers."""
     fx = fixture(spark, sf_dir)
-    lg = fx.legs.join(fx.journeys, "journey_id")
-    return lg.select("journey_id", "leg_idx", "walking",
-                     JF.live_if_deviating("live_departure", "planned_departure").alias("departure"),
-                     JF.live_if_deviating("live_arrival", "planned_arrival").alias("arrival"),
-                     "dticket_covered", "price_partial")
+    legs = MS.journey_legs(landed.journey_payloads(fx.jlegs, fx.journeys))
+    return legs.select("ref", "leg_pos", "walking", "departure", "arrival", "dticket_covered", "price_partial", "price", "transfers")

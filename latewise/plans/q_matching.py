@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from latewise.operators import matching as M
+from latewise.plans.oracle_fixture import tod_distance_sql
 from latewise.plans.registry import fixture, query
 
 UNTRACKED_SQL = ", ".join(f"'{p}'" for p in M.UNTRACKED_PRODUCTS)
@@ -25,8 +26,7 @@ def _stats_sql(window: int) -> str:
          k.arrival_change_time AS h_change, k.id AS h_id,
          date_diff('minute', k.arrival_planned_time, k.arrival_change_time) AS arr_delay,
          k.is_canceled, k.reason_code,
-         least(abs(date_diff('minute', CAST(k.arrival_planned_time AS TIME), CAST(q.planned_arrival AS TIME))),
-               1440 - abs(date_diff('minute', CAST(k.arrival_planned_time AS TIME), CAST(q.planned_arrival AS TIME)))) AS tod_diff,
+         {tod_distance_sql('k.arrival_planned_time', 'q.planned_arrival')} AS tod_diff,
          b.max_day
   FROM ql q JOIN keyed k ON k.train_no = q.q_train_no AND k.eva = q.q_eva CROSS JOIN bounds b
   WHERE k.arrival_planned_time IS NOT NULL AND CAST(k.arrival_planned_time AS DATE) >= b.max_day - {window - 1})
@@ -82,13 +82,13 @@ def untracked_product_filter(spark, sf_dir):
 
 def _on_date_oracle(side: str) -> str:
     p, c = f"{side}_planned_time", f"{side}_change_time"
-    lp = f"planned_{side}"
+    lp, station = f"planned_{side}", "dest_id" if side == "arrival" else "origin_id"
     reason = ", reason_code AS reason" if side == "arrival" else ""
     return f"""
 WITH q AS (SELECT journey_id, leg_idx, ltrim(replace(fahrt_nr, ' ', ''), '0') AS q_train_no,
-                  CASE WHEN length(dest_id) < 8 THEN lpad(dest_id, 8, '0') ELSE dest_id END AS q_eva,
+                  CASE WHEN length({station}) < 8 THEN lpad({station}, 8, '0') ELSE {station} END AS q_eva,
                   {lp} AS q_planned
-           FROM legs WHERE fahrt_nr IS NOT NULL AND fahrt_nr <> '' AND {lp} IS NOT NULL AND dest_id IS NOT NULL),
+           FROM jlegs WHERE fahrt_nr IS NOT NULL AND fahrt_nr <> '' AND {lp} IS NOT NULL AND {station} IS NOT NULL),
 cand AS (
   SELECT q.journey_id, q.leg_idx, k.{p} AS h_planned, k.{c} AS h_change, k.id AS h_id, k.is_canceled, k.reason_code,
          date_diff('minute', k.{p}, k.{c}) AS d,
@@ -96,8 +96,7 @@ cand AS (
   FROM q JOIN keyed k ON k.train_no = q.q_train_no AND k.eva = q.q_eva
    AND CAST(k.{p} AS DATE) = CAST(q.q_planned AS DATE)
   WHERE k.{p} IS NOT NULL
-    AND least(abs(date_diff('minute', CAST(k.{p} AS TIME), CAST(q.q_planned AS TIME))),
-              1440 - abs(date_diff('minute', CAST(k.{p} AS TIME), CAST(q.q_planned AS TIME)))) <= 120
+    AND {tod_distance_sql(f'k.{p}', 'q.q_planned')} <= 120
   QUALIFY row_number() OVER (PARTITION BY journey_id, leg_idx ORDER BY abs_diff, h_planned, h_change NULLS LAST, h_id) = 1)
 SELECT journey_id, leg_idx, CASE WHEN is_canceled THEN NULL ELSE CAST(coalesce(d, 0) AS INTEGER) END AS delay_min,
        is_canceled AS canceled {reason}
@@ -113,7 +112,7 @@ def leg_delay_on_date(spark, sf_dir):
 @query("leg_departure_on_date", _on_date_oracle("departure"))
 def leg_departure_on_date(spark, sf_dir):
     fx = fixture(spark, sf_dir)
-    return M.leg_on_date(fx.legs, fx.keyed, side="departure")
+    return M.leg_on_date(fx.jlegs, fx.keyed, side="departure", station="origin_id")
 
 
 @query("leg_history_join", f"""

@@ -5,6 +5,8 @@ built from (times at minute precision, as the compact format carries them)."""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from latewise.operators import messages as MS
 from latewise.plans.q_matching import UNTRACKED_SQL
 from latewise.plans.registry import fixture, query
@@ -24,9 +26,8 @@ def change_messages(spark, sf_dir):
 SELECT id, reason_code AS code FROM responses""")
 def latest_cause(spark, sf_dir):
     """N3 with the live tie rule over every stop of every change document."""
-    from pyspark.sql import functions as F
     st = MS.explode_stops(landed.change_documents(fixture(spark, sf_dir).responses))
-    return st.select(F.col("s._id").alias("id"), MS.latest_cause(F.col("s"), tie="last").code.alias("code"))
+    return st.select(F.col("s._id").alias("id"), MS.latest_cause(F.col("s_xml"), tie="last").code.alias("code"))
 
 
 @query("plan_messages", """
@@ -44,13 +45,20 @@ def plan_messages(spark, sf_dir):
 LEGS_N8 = """
 SELECT CAST(journey_id AS VARCHAR) AS ref, CAST(row_number() OVER (PARTITION BY journey_id ORDER BY leg_idx) - 1 AS INTEGER) AS leg_pos,
        walking, line_name, CASE WHEN NOT walking THEN fahrt_nr END AS fahrt_nr, product, operator,
-       ltrim(origin_id, '0') AS origin_id, ltrim(dest_id, '0') AS dest_id, planned_departure, planned_arrival
-FROM jlegs WHERE journey_id IN (SELECT journey_id FROM jlegs WHERE NOT walking)"""
+       ltrim(origin_id, '0') AS origin_id, ltrim(dest_id, '0') AS dest_id, planned_departure, planned_arrival,
+       nullif(live_departure, planned_departure) AS departure, nullif(live_arrival, planned_arrival) AS arrival,
+       coalesce(j.transfers, 0) AS transfers, j.price, j.dticket_covered, j.price_partial
+FROM jlegs JOIN journeys j USING (journey_id) WHERE journey_id IN (SELECT journey_id FROM jlegs WHERE NOT walking)"""
+
+
+def _payloads(spark, sf_dir):
+    fx = fixture(spark, sf_dir)
+    return landed.journey_payloads(fx.jlegs, fx.journeys)
 
 
 @query("journey_legs", LEGS_N8)
 def journey_legs(spark, sf_dir):
-    return MS.journey_legs(landed.journey_payloads(fixture(spark, sf_dir).jlegs))
+    return MS.journey_legs(_payloads(spark, sf_dir))
 
 
 @query("journey_stops", f"""
@@ -63,4 +71,22 @@ SELECT DISTINCT CASE WHEN length(station) < 8 THEN lpad(station, 8, '0') ELSE st
   WHERE NOT walking AND fahrt_nr IS NOT NULL AND fahrt_nr <> '' AND coalesce(product, '') NOT IN ({UNTRACKED_SQL}))
 WHERE station IS NOT NULL AND station <> '' AND t IS NOT NULL""")
 def journey_stops(spark, sf_dir):
-    return MS.journey_stops(MS.journey_legs(landed.journey_payloads(fixture(spark, sf_dir).jlegs)))
+    return MS.journey_stops(MS.journey_legs(_payloads(spark, sf_dir)))
+
+
+@query("rejected_documents", """
+SELECT kind, doc, count(*) AS n FROM (
+  SELECT 'xml' AS kind, id AS doc FROM responses WHERE ok % 101 = 0
+  UNION ALL SELECT 'json', CAST(journey_id // 10 AS VARCHAR) FROM (SELECT DISTINCT journey_id // 10 * 10 AS journey_id FROM legs)
+  WHERE journey_id // 10 % 13 = 0)
+GROUP BY kind, doc""")
+def rejected_documents(spark, sf_dir):
+    """Change documents and search payloads that broke off on their way, by the parsers' own
+    check; the parsers leave exactly these out."""
+    fx = fixture(spark, sf_dir)
+    xml = landed.change_documents(fx.responses, extra=("id", "ok"))
+    xml = landed.cut_documents(xml, "response_data", F.col("ok") % 101 == 0)
+    js = landed.cut_documents(_payloads(spark, sf_dir), "payload", F.col("search_id") % 13 == 0)
+    bad = (MS.rejected(xml, "response_data", MS.TIMETABLE_SCHEMA, "xml").select(F.lit("xml").alias("kind"), F.col("id").alias("doc"))
+           .unionByName(MS.rejected(js, "payload", MS.LEG_SCHEMA, "json").select(F.lit("json").alias("kind"), F.col("search_id").cast("string").alias("doc"))))
+    return bad.groupBy("kind", "doc").agg(F.count(F.lit(1)).alias("n"))

@@ -109,12 +109,15 @@ WINDOW_DAYS = [dt.date(1996, 3, 1) + dt.timedelta(days=i) for i in range(31)]
 SELECT day, api AS api_name, count(*) AS n FROM o_raw
 WHERE day BETWEEN DATE '1996-03-01' AND DATE '1996-03-31' AND status_code = '200' GROUP BY 1, 2""")
 def raw_window_scan(spark, sf_dir):
-    s = RP.raw_window_scan(raw_table(fixture(spark, sf_dir)), WINDOW_DAYS)
+    fx = fixture(spark, sf_dir)
+    # landed in a folder for each day: the scan lists the window's folders only
+    raw = fx._memo("raw", lambda: fx._stored("raw", lambda: raw_table(fx), ["day"], "day"))
+    s = RP.raw_window_scan(raw, WINDOW_DAYS)
     return s.groupBy("day", "api_name").agg(F.count(F.lit(1)).alias("n"))
 
 
 SPINE = ("DATE '2026-06-25'", "DATE '2026-07-31'")
-register("o_present", "SELECT DISTINCT CAST(time AS DATE) AS day FROM stop_events WHERE eva LIKE '085%' AND dayofmonth(time) % 4 <> 0")
+register("o_present", "SELECT DISTINCT CAST(time AS DATE) AS day FROM stop_events WHERE dayofmonth(time) % 4 <> 0")
 register("o_missing", f"""
 SELECT CAST(d AS DATE) AS day FROM generate_series({SPINE[0]}, {SPINE[1]}, INTERVAL 1 DAY) t(d)
 WHERE CAST(d AS DATE) NOT IN (SELECT day FROM o_present)""")
@@ -122,8 +125,7 @@ WHERE CAST(d AS DATE) NOT IN (SELECT day FROM o_present)""")
 
 def _missing(fx):
     se = fx.stop_events
-    present = (se.filter(F.col("eva").startswith("085") & (F.dayofmonth("time") % 4 != 0))
-               .select(F.to_date("time").alias("day")))
+    present = se.filter(F.dayofmonth("time") % 4 != 0).select(F.to_date("time").alias("day"))
     wanted = fx.spark.range(1).select(RP.date_spine(dt.date(2026, 6, 25), dt.date(2026, 7, 31)))
     return RP.missing_days(wanted, present)
 
@@ -140,16 +142,6 @@ def ingest_days(spark, sf_dir):
     return RP.ingest_days(_missing(fixture(spark, sf_dir)), dt.date(2026, 7, 31))
 
 
-@query("retention_prune", """
-SELECT CAST(time AS DATE) AS day, count(*) AS n FROM stop_events
-WHERE CAST(time AS DATE) >= (SELECT max(CAST(time AS DATE)) FROM stop_events) - 9 GROUP BY 1""")
-def retention_prune(spark, sf_dir):
-    se = fixture(spark, sf_dir).stop_events
-    cutoff = F.date_sub(se.select(F.max(F.to_date("time"))).scalar(), 9)
-    kept = se.filter(F.to_date("time") >= cutoff)
-    return kept.groupBy(F.to_date("time").alias("day")).agg(F.count(F.lit(1)).alias("n"))
-
-
 register("o_files", """
 SELECT CAST(xml_timestamp AS DATE) AS day, ok % 3 AS f, max(reason_ts) + to_hours(CAST(ok % 3 AS BIGINT)) AS mtime
 FROM responses GROUP BY 1, 2, ok % 3""")
@@ -180,14 +172,13 @@ def stale_day_select(spark, sf_dir):
 @query("reason_join", """
 SELECT s.id, s.reason_code, r.reason_text FROM stop_events s
 LEFT JOIN (SELECT DISTINCT reason_code AS code, 'cause ' || CAST(reason_code AS VARCHAR) AS reason_text
-           FROM stop_events WHERE reason_code <= 60) r ON r.code = s.reason_code
-WHERE s.reason_code IS NOT NULL""")
+           FROM stop_events WHERE reason_code <= 60) r ON r.code = s.reason_code""")
 def reason_join(spark, sf_dir):
     """J12 with a cause dimension landed as a table (here: codes up to 60 known)."""
     se = fixture(spark, sf_dir).stop_events
     dim = (se.filter(F.col("reason_code") <= 60).select(F.col("reason_code").alias("code")).distinct()
            .withColumn("reason_text", F.concat(F.lit("cause "), F.col("code").cast("string"))))
-    return RP.reason_join(se.filter(F.col("reason_code").isNotNull()).select("id", "reason_code"), dim)
+    return RP.reason_join(se.select("id", "reason_code"), dim)
 
 
 @query("board_messages", """
@@ -218,3 +209,19 @@ SELECT start_date, trip_id, '', CASE WHEN regexp_extract(trip_id, '^OCESN(\\d+)F
 FROM marks WHERE trip_rel = 3""")
 def trip_updates(spark, sf_dir):
     return MS.trip_updates(feeds.fr_entities(fixture(spark, sf_dir).latest))
+
+
+@query("trip_updates_nl", """
+WITH g AS (SELECT start_date, train_key, train_type, max(trip_rel) AS rel, max(headsign) AS sign FROM o_nl_obs GROUP BY ALL),
+known AS (SELECT * FROM g WHERE CAST(split_part(train_key, ':', 2) AS INTEGER) % 7 <> 3),
+stops AS (SELECT k.sign, k.rel, o.* FROM o_nl_obs o JOIN known k USING (start_date, train_key, train_type)
+          WHERE NOT (k.rel = 3 AND k.train_type = 'IC') AND (o.arr_delay IS NULL OR o.arr_delay <> 0))
+SELECT start_date, train_key, lower(station_code) AS station_code, ltrim(split_part(train_key, ':', 2), '0') AS train_number, train_type,
+       sign AS headsign, arr_time, arr_delay, dep_time, dep_delay, rel AS trip_rel, stop_rel
+FROM stops WHERE arr_time IS NOT NULL OR dep_time IS NOT NULL OR stop_rel = 1 OR rel = 3
+UNION ALL
+SELECT start_date, train_key, '', ltrim(split_part(train_key, ':', 2), '0'), train_type, sign, NULL, NULL, NULL, NULL, rel, NULL
+FROM known WHERE rel = 3 AND train_type = 'IC'""")
+def trip_updates_nl(spark, sf_dir):
+    """N5, NL flavour: landed entities with the feed's extension fields."""
+    return MS.trip_updates_nl(feeds.nl_entities(fixture(spark, sf_dir).latest))

@@ -130,7 +130,7 @@ life AS (
               THEN CASE WHEN a.has_rows THEN a.arrived OR {FETCH_TS}000 > coalesce(a.last_plan_ms, g.dep_ms) + 14400000
                         ELSE {FETCH_TS}000 > coalesce(a.last_plan_ms, g.dep_ms) + 14400000 END
               ELSE g.fails + 1 >= 5 AND {FETCH_TS}000 > g.dep_ms END AS INTEGER) AS done,
-    CAST(CASE WHEN a.has_rows IS NOT NULL THEN greatest({FETCH_TS} + 120, CAST(trunc(g.dep_ms / 1000) AS BIGINT) - 900)
+    CAST(CASE WHEN a.has_rows IS NOT NULL THEN greatest({FETCH_TS} + 900, CAST(trunc(g.dep_ms / 1000) AS BIGINT) - 900)
               ELSE {FETCH_TS} + 300 * (g.fails + 1) END AS BIGINT) AS next_poll
   FROM reg g LEFT JOIN answered a ON a.day = g.day AND a.train_key = g.train_key)"""
 

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from latewise.operators import stations as S
 from latewise.plans.oracle_fixture import register
+from latewise.plans.q_national import scratch
 from latewise.plans.registry import fixture, query
-from latewise.sources import feeds
+from latewise.sources import feeds, files
 
 X = "substr(eva, 4, 5)"
 ST = "((sk // 6) % 12)"
@@ -17,8 +18,8 @@ register("o_station_raw", f"""
 SELECT CASE WHEN ok % 5 = 0 THEN ' ' || upper('c' || {X}) || ' ' WHEN ok % 5 = 1 THEN '' WHEN ok % 5 = 2 THEN NULL
             ELSE 'c' || {X} END AS code,
        '84' || {X} AS uic, station_name AS name_long,
-       ['NL', 'BE', 'DE', 'FR', 'CH', 'AT'][CAST(sk % 6 AS INTEGER) + 1] AS country, ok AS line_no
-FROM fx_latest WHERE ln = 1""")
+       ['NL', 'BE', 'DE', 'FR', 'CH', 'AT'][CAST(sk % 6 AS INTEGER) + 1] AS country, ok * 10 + ln AS line_no
+FROM fx_latest""")
 register("o_station_list", """
 SELECT lower(trim(code)) AS code, trim(uic) AS uic, trim(name_long) AS name_long, trim(country) AS country
 FROM o_station_raw WHERE code IS NOT NULL AND lower(trim(code)) <> ''
@@ -52,19 +53,16 @@ SELECT DISTINCT 'sp' || eva AS stop_id, CASE WHEN sk % 6 < 3 THEN 'P' || {X} END
        '47.' || lpad(CAST({ST} * 37 + sk % 6 AS VARCHAR), 3, '0') AS stop_lat, '9.' || lpad(CAST({ST} * 53 AS VARCHAR), 3, '0') AS stop_lon
 FROM fx_latest
 UNION
-SELECT DISTINCT 'P' || {X}, NULL, xml_station_name, '47.' || lpad(CAST({ST} * 37 AS VARCHAR), 3, '0'),
+SELECT DISTINCT 'P' || {X}, NULL, xml_station_name || CASE {ST} % 4 WHEN 1 THEN ' Bahnhof' WHEN 2 THEN '  Bahnhst' ELSE '' END, '47.' || lpad(CAST({ST} * 37 AS VARCHAR), 3, '0'),
        '9.' || lpad(CAST({ST} * 53 AS VARCHAR), 3, '0') FROM fx_latest"""
 register("o_gt_stops", GT_STOPS)
-register("o_gt_rank", """
-WITH rail_events AS (
-  SELECT COALESCE(s.parent_station, s.stop_id) AS pid, count(*) AS n
-  FROM (SELECT 't' || CAST(ok AS VARCHAR) AS trip_id, 'sp' || eva AS stop_id FROM fx_latest) st
-  JOIN (SELECT DISTINCT 't' || CAST(ok AS VARCHAR) AS trip_id, 'r' || CAST(ok % 40 AS VARCHAR) AS route_id FROM fx_latest) t USING (trip_id)
-  JOIN (SELECT DISTINCT 'r' || CAST(ok % 40 AS VARCHAR) AS route_id, CASE WHEN (ok % 40) % 5 = 0 THEN '3' ELSE '2' END AS route_type FROM fx_latest) r USING (route_id)
-  JOIN o_gt_stops s ON st.stop_id = s.stop_id
-  WHERE r.route_type = '2' GROUP BY 1)
-SELECT pid, p.stop_name, CAST(p.stop_lat AS DOUBLE) AS lat, CAST(p.stop_lon AS DOUBLE) AS lon, n
-FROM rail_events JOIN o_gt_stops p ON p.stop_id = pid ORDER BY n DESC, pid LIMIT 10""")
+# every stop of a rail route counts for its parent, or for itself; name and place follow from it
+register("o_gt_rank", f"""
+SELECT pid, any_value(label) AS stop_name, any_value(lat) AS lat, any_value(lon) AS lon, count(*) AS n
+FROM (SELECT CASE WHEN grouped THEN 'P' || {X} ELSE 'sp' || eva END AS pid, 47 + (st * 37 + CASE WHEN grouped THEN 0 ELSE sk % 6 END) / 1000 AS lat,
+             9 + st * 53 / 1000 AS lon, xml_station_name || CASE WHEN NOT grouped THEN '' ELSE ['', ' Bahnhof', '  Bahnhst', ''][CAST(st % 4 AS INTEGER) + 1] END AS label
+      FROM (SELECT *, sk % 6 < 3 AS grouped, {ST} AS st FROM fx_latest WHERE ok % 5 > 0))
+GROUP BY pid""")
 
 
 def _lt(spark, sf_dir):
@@ -82,16 +80,35 @@ def country_station_counts(spark, sf_dir):
     return S.country_station_counts(st)
 
 
-@query("gtfs_scan", "SELECT * FROM o_gt_stops")
+GTFS_ROWS = {"stops": ["stop_id", "parent_station", "stop_name", "stop_lat", "stop_lon"], "routes": ["route_id", "route_type"],
+             "trips": ["trip_id", "route_id"], "stop_times": ["trip_id", "stop_id"]}
+
+
+@query("gtfs_scan", """
+SELECT 'stops' AS tbl, concat_ws('|', stop_id, coalesce(parent_station, '-'), stop_name, stop_lat, stop_lon) AS line FROM o_gt_stops
+UNION ALL SELECT DISTINCT 'routes', 'r' || ok % 40 || '|' || CASE WHEN ok % 5 = 0 THEN 3 ELSE 2 END FROM fx_latest
+UNION ALL SELECT DISTINCT 'trips', 't' || ok || '|r' || ok % 40 FROM fx_latest
+UNION ALL SELECT 'stop_times', 't' || ok || '|sp' || eva FROM fx_latest""")
 def gtfs_scan(spark, sf_dir):
-    """S5 content: the stops table of the static timetable (text typed)."""
-    return feeds.gtfs_tables(_lt(spark, sf_dir))[0]
+    """The four files of the static timetable, landed as CSV and read as text."""
+    path = scratch(spark, "gtfs")
+    for name, df in zip(("stops", "routes", "trips", "stop_times"), feeds.gtfs_tables(_lt(spark, sf_dir)), strict=True):
+        df.write.option("header", True).csv(f"{path}/{name}.txt")
+    found, out = files.gtfs_scan(spark, path), None
+    for name, cols in GTFS_ROWS.items():
+        df = found[name].select(F.lit(name).alias("tbl"), F.concat_ws("|", *(F.coalesce(c, F.lit("-")) for c in cols)).alias("line"))
+        out = df if out is None else out.unionByName(df)
+    return out
+
+
+def ranked(spark, sf_dir):
+    stops, routes, trips, stop_times = feeds.gtfs_tables(_lt(spark, sf_dir))
+    return S.gtfs_rank(stop_times, trips, routes, stops)
 
 
-@query("gtfs_rank_join", "SELECT * FROM o_gt_rank")
+@query("gtfs_rank_join", "SELECT pid, stop_name, round(lat, 6) AS lat, round(lon, 6) AS lon, n FROM o_gt_rank")
 def gtfs_rank_join(spark, sf_dir):
-    stops, routes, trips, stop_times = feeds.gtfs_tables(_lt(spark, sf_dir))
-    return S.gtfs_rank(stop_times, trips, routes, stops, 10)
+    return ranked(spark, sf_dir).select("pid", "stop_name", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), "n")
 
 
 @query("geo_match", """
@@ -101,18 +118,17 @@ WITH c AS (
          CASE WHEN rank = 3 THEN CASE WHEN st % 2 = 0 THEN ['BUS'] ELSE ['REGIONAL'] END ELSE ['ICE', 'BUS'] END AS products,
          lat + CASE WHEN rank = 4 THEN CASE WHEN st % 3 = 0 THEN 0.05 ELSE 0.005 END ELSE 0.001 END AS c_lat,
          lon AS c_lon, query || ' Hbf' AS c_name
-  FROM (SELECT stop_name AS query, substr(stop_id, 2, 5) AS x, CAST(stop_lat AS DOUBLE) AS lat, CAST(stop_lon AS DOUBLE) AS lon,
-               CAST(substr(stop_id, 5, 2) AS INTEGER) AS st
+  FROM (SELECT trim(replace(replace(stop_name, ' Bahnhof', ''), '  Bahnhst', '')) AS query, substr(stop_id, 2, 5) AS x,
+               CAST(stop_lat AS DOUBLE) AS lat, CAST(stop_lon AS DOUBLE) AS lon, CAST(substr(stop_id, 5, 2) AS INTEGER) AS st
         FROM o_gt_stops WHERE parent_station IS NULL AND starts_with(stop_id, 'P')), range(1, 5) r(rank))
-SELECT pid, stop_name, ext_id, c_name AS bahn_name FROM o_gt_rank g JOIN c ON g.stop_name = c.query
+SELECT pid, stop_name, ext_id, c_name AS bahn_name FROM (SELECT *, trim(replace(replace(stop_name, ' Bahnhof', ''), '  Bahnhst', '')) AS asked FROM o_gt_rank) g
+JOIN c ON g.asked = c.query
 WHERE c.type = 'ST' AND starts_with(c.ext_id, '81') AND length(c.ext_id) = 7
   AND len(list_intersect(c.products, ['ICE', 'EC_IC', 'IR', 'REGIONAL', 'SBAHN'])) > 0
   AND sqrt(pow((c.c_lon - g.lon) * 111.32 * cos(radians((g.lat + c.c_lat) / 2)), 2) + pow((c.c_lat - g.lat) * 111.32, 2)) < 2.0
 QUALIFY row_number() OVER (PARTITION BY pid ORDER BY rank) = 1""")
 def geo_match(spark, sf_dir):
-    stops, routes, trips, stop_times = feeds.gtfs_tables(_lt(spark, sf_dir))
-    ranked = S.gtfs_rank(stop_times, trips, routes, stops, 10)
-    return S.geo_match(ranked, feeds.geo_candidates(stops))
+    return S.geo_match(ranked(spark, sf_dir), feeds.geo_candidates(feeds.gtfs_tables(_lt(spark, sf_dir))[0]))
 
 
 @query("seed_crosswalk", "SELECT * FROM o_crosswalk")
@@ -134,14 +150,14 @@ def token_match(spark, sf_dir):
 
 @query("seed_verify", f"""
 WITH s AS (SELECT u.code, u.name, c.eva AS seed_eva FROM o_it_universe u JOIN o_it_seed sd ON sd.code = u.code
-           JOIN o_crosswalk c ON c.code = u.code ORDER BY u.code LIMIT 3),
+           JOIN o_crosswalk c ON c.code = u.code),
 h AS ({_accept_sql("SELECT code, name FROM s")})
 SELECT s.code, s.seed_eva, h.eva AS lookup_eva, h.eva IS NOT NULL AND h.eva <> s.seed_eva AS mismatch
 FROM s LEFT JOIN h ON h.code = s.code""")
 def seed_verify(spark, sf_dir):
     lt = _lt(spark, sf_dir)
     cw = S.seed_crosswalk(feeds.it_universe(lt), feeds.it_existing(lt), feeds.it_seed(lt))
-    return S.seed_verify(feeds.it_universe(lt), cw, feeds.it_seed(lt), feeds.it_candidates(lt), 3)
+    return S.seed_verify(feeds.it_universe(lt), cw, feeds.it_seed(lt), feeds.it_candidates(lt))
 
 
 HUB_SQL = f"""
@@ -159,10 +175,10 @@ def hub_select(spark, sf_dir):
     return S.hub_select(feeds.it_universe(lt), cw, feeds.it_seed(lt), feeds.it_board_counts(lt), 2)
 
 
-@query("hub_union", f"WITH h AS ({HUB_SQL}) SELECT count(*) AS hubs FROM h")
+@query("hub_union", f"WITH h AS ({HUB_SQL}) SELECT code, count(*) AS times FROM h GROUP BY code")
 def hub_union(spark, sf_dir):
-    """The set union's size (duplicates between flagged and busiest counted once)."""
+    """Every hub comes out of the union once, flagged, busiest or both."""
     lt = _lt(spark, sf_dir)
     cw = S.seed_crosswalk(feeds.it_universe(lt), feeds.it_existing(lt), feeds.it_seed(lt))
     h = S.hub_select(feeds.it_universe(lt), cw, feeds.it_seed(lt), feeds.it_board_counts(lt), 2)
-    return h.agg(F.count(F.lit(1)).alias("hubs"))
+    return h.groupBy("code").agg(F.count(F.lit(1)).alias("times"))

@@ -6,10 +6,10 @@ time zone is pinned to UTC so that no implicit zone conversion ever touches them
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -21,7 +21,6 @@ DEFAULT_CONF = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    "spark.sql.parquet.aggregatePushdown": "true",
 }
 
 
@@ -49,26 +48,26 @@ def apply_session_defaults(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.timestampType", "TIMESTAMP_NTZ")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
-    spark.conf.set("spark.sql.parquet.aggregatePushdown", "true")
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder named by the cluster in ``spark.checkpoint.dir``.
-
-    Only when nothing is configured (unit tests, a laptop) a scratch folder is set.
-    """
+    """The shared checkpoint folder named by the cluster in ``spark.checkpoint.dir``. Only a
+    local session (unit tests, a laptop) may go without: it gets a scratch folder, once."""
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    current = sc.getCheckpointDir()
-    if current:
-        return current
     if not configured:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         configured = tempfile.mkdtemp(prefix="latewise-ckpt-")
-    sc.setCheckpointDir(configured)
-    return configured
+        spark.conf.set("spark.checkpoint.dir", configured)
+    return configured.rstrip("/")
 
 
-def scratch_table_path(spark: SparkSession, name: str) -> str:
-    """A location under the shared checkpoint folder for an intermediate table."""
-    base = checkpoint_dir(spark)
-    return os.path.join(base, "tables", name)
+def stored(df: DataFrame, name: str, partition_by: tuple = ()) -> DataFrame:
+    """``df`` written once as Parquet in the shared folder and read again: what follows does not
+    run it twice, has its statistics, and a lost executor costs the reading of a file."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
+    w = df.write.partitionBy(*partition_by) if partition_by else df.write
+    w.parquet(path)
+    return spark.read.parquet(path)

@@ -175,14 +175,14 @@ COUNTRIES = ["NL", "BE", "DE", "FR", "CH", "AT"]
 
 
 def station_list_raw(latest: DataFrame) -> DataFrame:
-    """A station list file (S7): codes with blanks, case and duplicates; file order = ok."""
+    """A station list file (S7): codes with blanks, case and duplicates; file order = order and line."""
     ok = F.col("ok")
     code = F.concat(F.lit("c"), _x())
-    return latest.filter(F.col("ln") == 1).select(
+    return latest.select(
         F.when(ok % 5 == 0, F.concat(F.lit(" "), F.upper(code), F.lit(" "))).when(ok % 5 == 1, F.lit(""))
          .when(ok % 5 == 2, F.lit(None).cast("string")).otherwise(code).alias("code"),
         F.concat(F.lit("84"), _x()).alias("uic"), F.col("station_name").alias("name_long"),
-        _pick(COUNTRIES, F.col("sk") % 6).alias("country"), ok.alias("line_no"))
+        _pick(COUNTRIES, F.col("sk") % 6).alias("country"), (ok * 10 + F.col("ln")).alias("line_no"))
 
 
 def _code() -> Column:
@@ -235,7 +235,7 @@ def gtfs_tables(latest):
         F.concat(F.lit("9."), F.lpad((_st_idx() * 53).cast("string"), 3, "0")).alias("stop_lon")).distinct()
     parent = latest.select(
         F.concat(F.lit("P"), _x()).alias("stop_id"), F.lit(None).cast("string").alias("parent_station"),
-        F.col("xml_station_name").alias("stop_name"),
+        F.concat("xml_station_name", F.when(_st_idx() % 4 == 1, " Bahnhof").when(_st_idx() % 4 == 2, "  Bahnhst").otherwise("")).alias("stop_name"),
         F.concat(F.lit("47."), F.lpad((_st_idx() * 37).cast("string"), 3, "0")).alias("stop_lat"),
         F.concat(F.lit("9."), F.lpad((_st_idx() * 53).cast("string"), 3, "0")).alias("stop_lon")).distinct()
     stops = child.unionByName(parent)
@@ -251,7 +251,7 @@ def gtfs_tables(latest):
 def geo_candidates(stops: DataFrame) -> DataFrame:
     """Landed name-search answers: four candidates per station name, near and far."""
     base = (stops.filter(F.col("parent_station").isNull() & F.col("stop_id").startswith("P"))
-            .select(F.col("stop_name").alias("query"), F.substring("stop_id", 2, 5).alias("x"),
+            .select(F.regexp_replace("stop_name", r"\s+(Bahnhof|Bahnhst)$", "").alias("query"), F.substring("stop_id", 2, 5).alias("x"),
                     F.col("stop_lat").cast("double").alias("lat"), F.col("stop_lon").cast("double").alias("lon"),
                     F.substring("stop_id", 5, 2).cast("int").alias("st")))
     b = base.withColumn("rank", F.explode(F.sequence(F.lit(1), F.lit(4))))
@@ -336,7 +336,9 @@ def at_boards(latest: DataFrame) -> DataFrame:
     base = base.withColumn("prod", F.struct(F.struct(F.when(ok % 9 == 0, F.lit(" ")).otherwise(F.col("train_number")).alias("num"),
                                                      F.lower("train_type").alias("catOutS"),
                                                      F.col("line_number").alias("line")).alias("prodCtx")))
-    key = ["eva", "day", "btype", "hour"]
+    # a board is cut into parts of a bounded size, as a hub hour grows with the data
+    base = base.withColumn("part", F.floor((ok * 10 + ln) / 4096))
+    key = ["eva", "day", "btype", "hour", "part"]
     w = F.struct("id", "prod", "ok", "ln", "day", "arrival_planned_time", "arrival_change_time",
                  "departure_planned_time", "departure_change_time", "is_canceled", "final_destination_station")
     g = base.groupBy(*key).agg(F.sort_array(F.collect_list(w)).alias("rows"))
@@ -398,3 +400,24 @@ def nl_obs(latest: DataFrame) -> DataFrame:
         F.when(F.col("is_canceled") & (ln == 1), F.lit(3)).otherwise(F.lit(0)).alias("trip_rel"),
         F.when((ln == 6) & (ok % 3 == 1), F.lit(1)).otherwise(F.lit(0)).alias("stop_rel"))
     return base
+
+
+def nl_entities(latest: DataFrame) -> DataFrame:
+    """NL trip-update entities as landed JSON, one per train and service day: the identity and
+    station ids in the feed's extension fields; every seventh number is an added service
+    without the feed's identity, some stops lack a station id, and cancelled trains of one
+    type come without stops."""
+    o = nl_obs(latest)
+    number = F.element_at(F.split("train_key", ":"), 2)
+    rid = F.when(number.cast("int") % 7 == 3, F.concat(F.lit("ADD:"), "train_key")).otherwise(F.concat(F.lit("IFF:"), "train_key"))
+    side = lambda t, d: F.when(F.col(t).isNotNull() | F.col(d).isNotNull(), F.struct(F.col(t).alias("time"), F.col(d).alias("delay")))
+    stu = F.struct(F.struct(F.when(F.col("arr_delay") == 0, F.lit("")).otherwise(F.col("station_code")).alias("station_id")).alias("ext"),
+                   side("arr_time", "arr_delay").alias("arrival"), side("dep_time", "dep_delay").alias("departure"),
+                   F.col("stop_rel").alias("schedule_relationship"))
+    g = o.groupBy("start_date", "train_key", "train_type").agg(
+        F.max("trip_rel").alias("trip_rel"), F.max("headsign").alias("headsign"), F.sort_array(F.collect_list(stu)).alias("stus"))
+    bare = (F.col("trip_rel") == 3) & (F.col("train_type") == "IC")
+    e = F.struct(F.struct(
+        F.struct("start_date", F.col("trip_rel").alias("schedule_relationship"), F.struct(rid.alias("realtime_id")).alias("ext")).alias("trip"),
+        F.struct("headsign").alias("ext"), F.when(~bare, F.col("stus")).alias("stop_time_update")).alias("trip_update"))
+    return g.select(F.to_json(e).alias("entity"))

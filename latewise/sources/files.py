@@ -1,14 +1,15 @@
 """File sources and sinks.
 
 Tables are written as generations: a complete write goes to a new directory and only
-then becomes current (a small pointer file is replaced in one step), so readers never
-see a half-written table and a failed build keeps the old one. All paths are plain
+then becomes current (a numbered pointer file is renamed into place; the newest one counts),
+so readers never see a half-written table and a failed build keeps the old one. All paths are plain
 Hadoop paths; on a cluster they live on shared storage.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import uuid
 from collections.abc import Sequence
 
@@ -103,13 +104,23 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
-def current_generation(spark: SparkSession, table: str) -> str | None:
-    """Path of the table's current generation, from its pointer file."""
-    fs, p = _jvm_fs(spark, os.path.join(table, "_CURRENT"))
+def _pointers(spark: SparkSession, table: str) -> list[tuple[int, object]]:
+    """The table's pointer files by number, oldest first."""
+    fs, p = _jvm_fs(spark, table)
     if not fs.exists(p):
+        return []
+    names = [(st.getPath().getName(), st.getPath()) for st in fs.listStatus(p)]
+    return sorted(((int(n.split(".")[1]), path) for n, path in names if re.fullmatch(r"_CURRENT\.\d+", n)), key=lambda x: x[0])
+
+
+def current_generation(spark: SparkSession, table: str) -> str | None:
+    """Path of the table's current generation: what its newest pointer file names."""
+    found = _pointers(spark, table)
+    if not found:
         return None
+    fs, _ = _jvm_fs(spark, table)
     jvm = spark.sparkContext._jvm
-    reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(fs.open(p), "UTF-8"))
+    reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(fs.open(found[-1][1]), "UTF-8"))
     try:
         line = reader.readLine()
     finally:
@@ -125,18 +136,20 @@ def read_table(spark: SparkSession, table: str) -> DataFrame:
 
 
 def _switch(spark: SparkSession, table: str, gen: str) -> None:
-    """Point the table at ``gen`` by renaming a freshly written pointer over the old one
-    (a single rename on the file system)."""
+    """Point the table at ``gen``: a pointer file with the next number is written aside and
+    renamed into place. The pointer before stays until the new one is there, so a reader, or a
+    crash at any step, finds a complete table; older pointers are dropped afterwards."""
     fs, _ = _jvm_fs(spark, table)
-    jvm = spark.sparkContext._jvm
-    tmp = jvm.org.apache.hadoop.fs.Path(os.path.join(table, f"_CURRENT.{uuid.uuid4().hex}"))
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    before = _pointers(spark, table)
+    tmp = path(f"{table}/_tmp.{uuid.uuid4().hex}")
     out = fs.create(tmp, True)
     out.write(bytearray(gen.encode()))
     out.close()
-    dst = jvm.org.apache.hadoop.fs.Path(os.path.join(table, "_CURRENT"))
-    if fs.exists(dst):
-        fs.delete(dst, False)
-    fs.rename(tmp, dst)
+    if not fs.rename(tmp, path(f"{table}/_CURRENT.{before[-1][0] + 1 if before else 0}")):
+        raise RuntimeError(f"{table}: another writer switched it meanwhile")
+    for _, old in before[:-1]:
+        fs.delete(old, False)
 
 
 def table_sink(df: DataFrame, table: str, check=None, partition_by: Sequence[str] = ()) -> str:
@@ -175,12 +188,35 @@ def day_sink(df: DataFrame, root: str, day_col: str = "service_day", force: bool
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day_col).parquet(root)
 
 
-def day_finalise(state: DataFrame, root: str, newest_day, build, day_col: str = "service_day") -> None:
-    """Rebuild D-1 and D-2 from the observation state on each run (D-1 becomes
-    final on D+1); only those two day partitions are overwritten."""
-    days = [newest_day - _days(1), newest_day - _days(2)]
-    part = build(state.filter(F.col(day_col).isin(*days)))
-    part.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day_col).parquet(root)
+def day_finalise(state: DataFrame, root: str, today, build, day_col: str = "service_day", keep_ratio: float = 0.5) -> DataFrame:
+    """Rebuild D-1 and D-2 from the observation state on each run (D-1 becomes final on
+    D+1); only those two day partitions are overwritten, and a day whose new build has fewer
+    than ``keep_ratio`` of its rows is kept as it is (K5). Returns the decision for each day."""
+    from latewise.operators.national import shrink_guard
+    from latewise.session import stored
+    spark = state.sparkSession
+    days = [today - _days(1), today - _days(2)]
+    part = stored(build(state.filter(F.col(day_col).isin(*days))), "finalise")
+    rows = lambda df: df.groupBy(F.col(day_col).alias("day")).agg(F.count(F.lit(1)).alias("rows"))
+    old = spark.read.parquet(root).filter(F.col(day_col).isin(*days)) if _exists(spark, root) else part.limit(0)
+    decided = stored(shrink_guard(rows(part), rows(old), keep_ratio), "decisions")
+    write = decided.filter("decision = 'write'").select(F.col("day").alias(day_col))
+    kept = part.join(write, day_col, "left_semi")
+    kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day_col).parquet(root)
+    return decided
+
+
+def prune_days(spark: SparkSession, root: str, keep_from, day_col: str = "service_day") -> list:
+    """K6: delete the day folders before ``keep_from``; the days deleted."""
+    import datetime as dt
+    fs, p = _jvm_fs(spark, root)
+    gone = []
+    for st in fs.listStatus(p):
+        name = st.getPath().getName()
+        if name.startswith(f"{day_col}=") and (day := dt.date.fromisoformat(name.partition("=")[2])) < keep_from:
+            fs.delete(st.getPath(), True)
+            gone.append(day)
+    return sorted(gone)
 
 
 def _days(n: int):

@@ -65,21 +65,20 @@ class Fixture:
         self.materialize = materialize
         self._base = None
 
-    def _stored(self, name: str, build, sort_cols=None) -> DataFrame:
+    def _stored(self, name: str, build, sort_cols=None, partition_by=None) -> DataFrame:
         if not self.materialize:
             return build()
         if self._base is None:
-            import os
             import uuid
 
             from latewise.session import checkpoint_dir
-            self._base = os.path.join(checkpoint_dir(self.spark), f"fixture-{uuid.uuid4().hex}")
-        import os
-        path = os.path.join(self._base, name)
+            self._base = f"{checkpoint_dir(self.spark)}/fixture-{uuid.uuid4().hex}"
+        path = f"{self._base}/{name}"
         df = build()
         if sort_cols:
             df = df.repartitionByRange(*sort_cols).sortWithinPartitions(*sort_cols)
-        df.write.mode("overwrite").parquet(path)
+        w = df.write.mode("overwrite")
+        (w.partitionBy(partition_by) if partition_by else w).parquet(path)
         return self.spark.read.parquet(path)
 
     def table(self, name: str) -> DataFrame:
@@ -153,7 +152,7 @@ class Fixture:
     @property
     def stop_events(self) -> DataFrame:
         """The 18-column stop event table. Unreported change times stay NULL here."""
-        return self.keyed.drop("train_no")
+        return self.keyed.drop("train_no", "service_day")
 
     def _stop_events(self) -> DataFrame:
         from latewise.functions.keys import ride_id, stop_number
@@ -174,10 +173,12 @@ class Fixture:
 
     @property
     def keyed(self) -> DataFrame:
-        """Stop events + ``train_no``, stored in the serving layout (K3): range-partitioned
-        and sorted by (train_no, eva)."""
+        """Stop events + ``train_no``, stored in the serving layout (K3): a folder for each
+        service day, sorted by (train_no, eva) inside."""
+        from latewise.operators.matching import service_day
         return self._memo("keyed", lambda: self._stored(
-            "keyed", lambda: self._stop_events().withColumn("train_no", train_key()), ["train_no", "eva"]))
+            "keyed", lambda: self._stop_events().withColumns({"train_no": train_key(), "service_day": service_day()}),
+            ["service_day", "train_no", "eva"], "service_day"))
 
     # -- plan and change messages (DE build inputs) ----------------------------------
 
@@ -202,7 +203,7 @@ class Fixture:
 
     @property
     def legs(self) -> DataFrame:
-        return self.jlegs.drop("origin_id", "final_dest")
+        return self.jlegs.drop("origin_id", "origin_name", "final_dest")
 
     def _legs(self) -> DataFrame:
         def build():
@@ -236,6 +237,7 @@ class Fixture:
             wall = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
             return (self._legs()
                     .withColumn("origin_id", F.coalesce(F.lag("dest_id").over(w), F.lit("08000999")))
+                    .withColumn("origin_name", F.coalesce(F.lag("dest_name").over(w), F.lit("Start")))
                     .withColumn("final_dest", F.last("dest_id").over(wall)))
         return self._memo("jlegs", lambda: self._stored("jlegs", build))
 
@@ -253,9 +255,30 @@ class Fixture:
                 (F.col("planned_arrival") + _mins(40 + (jid * 3 + li * 5 + kk * 29) % 75)).alias("conn_arrival"),
                 F.when((jid + kk) % 7 == 0, F.lit("FlixTrain")).otherwise(F.lit("DB")).alias("conn_operator"),
                 F.concat(F.when((jid + kk) % 7 == 0, F.lit("FLX ")).otherwise(F.lit("RE ")), F.col("fahrt_nr")).alias("conn_name"),
+                F.col("product").alias("conn_product"), jid.alias("_jid"), kk.alias("_k"),
             )
         return self._memo("connections", build)
 
+    @property
+    def connection_legs(self) -> DataFrame:
+        """Connections as legs: some go straight, some change trains at a station between."""
+        def build():
+            c, jid, k = self.connections, F.col("_jid"), F.col("_k")
+            via = F.concat(_pick(EVA_PREFIX, jid % 6), F.lpad(((jid * 5 + k) % 12).cast("string"), 5, "0"))
+            two = ((jid + k) % 3 == 0) & (k < 3)
+            there = F.col("conn_departure") + _mins(F.lit(12))
+            leg = lambda i, train, a, b, dep, arr: F.struct(
+                F.lit(i).alias("leg_idx"), train.alias("fahrt_nr"), a.alias("origin_id"), b.alias("dest_id"),
+                dep.alias("planned_departure"), arr.alias("planned_arrival"))
+            train, origin, dest = F.col("conn_train_no"), F.col("origin_id"), F.col("final_dest")
+            direct = F.array(leg(0, train, origin, dest, F.col("conn_departure"), F.col("conn_arrival")))
+            change = F.array(leg(0, train, origin, via, F.col("conn_departure"), there),
+                             leg(1, ((jid * 7 + k * 3) % 40).cast("string"), via, dest, there + _mins(3 + jid % 9), F.col("conn_arrival")))
+            legs = c.select("conn_id", "final_dest", F.col("conn_operator").alias("operator"), F.col("conn_name").alias("line_name"),
+                            F.col("conn_product").alias("product"), F.inline(F.when(two, change).otherwise(direct)))
+            return legs.withColumns({"walking": F.lit(False), "origin_name": F.col("origin_id")})
+        return self._memo("connection_legs", build)
+
     @property
     def journeys(self) -> DataFrame:
         """Per journey: price, covered/partial flags, transfer count as sent upstream."""

@@ -1,15 +1,16 @@
 """Structured Streaming form of the observation fold.
 
-Landed feed snapshots arrive as files; each micro-batch is folded together with the
-previous state generation and written as the next generation (``gen=<batch_id>``).
-A replayed batch id rewrites the same generation from the same inputs, so a restart
-after a lost executor or driver is idempotent; the streaming checkpoint records which
-files were consumed.
+Landed feed snapshots arrive as files. The state is filed by service day: a micro-batch rewrites
+only the days it touches, as ``gen=<batch id>/service_day=<day>``, and a day's state is what the
+newest complete generation has of it. A replayed batch id reads the same generations before it
+and writes the same one again, so a restart after a lost executor or driver changes nothing; the
+streaming checkpoint records which files were consumed. A day's older generations go once a newer
+pair is there, and days older than the retention go whole.
 """
 
 from __future__ import annotations
 
-import os
+import datetime as dt
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,48 +36,74 @@ def snapshot_source(spark: SparkSession, folder: str, schema: T.StructType = OBS
     return r.load(folder)
 
 
-def _generations(spark: SparkSession, state_dir: str) -> list[int]:
-    """Completed generations (``_SUCCESS`` present), listed through the Hadoop file
-    system so that shared storage of any scheme works."""
+def _days(spark: SparkSession, state_dir: str, before: int | None = None) -> dict[str, list[int]]:
+    """Per service day the complete generations (``_SUCCESS`` present) that hold it, oldest
+    first; listed through the Hadoop file system so that shared storage of any scheme works."""
     from latewise.sources.files import _jvm_fs
     fs, p = _jvm_fs(spark, state_dir)
-    if not fs.exists(p):
-        return []
-    out = []
-    for st in fs.listStatus(p):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    out: dict[str, list[int]] = {}
+    for st in fs.listStatus(p) if fs.exists(p) else []:
         name = st.getPath().getName()
-        if name.startswith("gen=") and fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
-            out.append(int(name[4:]))
-    return sorted(out)
-
+        if not name.startswith("gen=") or (before is not None and int(name[4:]) >= before) or not fs.exists(path(st.getPath(), "_SUCCESS")):
+            continue
+        for day in fs.listStatus(st.getPath()):
+            if day.getPath().getName().startswith("service_day="):
+                out.setdefault(day.getPath().getName()[12:], []).append(int(name[4:]))
+    return {d: sorted(g) for d, g in sorted(out.items())}
+
+
+def latest_state(spark: SparkSession, state_dir: str, before: int | None = None, days: list[str] | None = None) -> DataFrame | None:
+    """The state (of the given days) that the generations before ``before`` add up to."""
+    newest: dict[int, list[str]] = {}
+    for day, gens in _days(spark, state_dir, before).items():
+        if days is None or day in days:
+            newest.setdefault(gens[-1], []).append(day)
+    out = None
+    for gen, own in sorted(newest.items()):
+        base = f"{state_dir}/gen={gen}"
+        df = spark.read.option("basePath", base).parquet(*(f"{base}/service_day={d}" for d in own))
+        df = df.withColumn("service_day", F.col("service_day").cast("date"))
+        out = df if out is None else out.unionByName(df)
+    return out
+
+
+def _drop(spark: SparkSession, state_dir: str, day: str, gens: list[int]) -> None:
+    from latewise.sources.files import _jvm_fs
+    for gen in gens:
+        fs, p = _jvm_fs(spark, f"{state_dir}/gen={gen}/service_day={day}")
+        fs.delete(p, True)
 
-def latest_state(spark: SparkSession, state_dir: str, before: int | None = None) -> DataFrame | None:
-    gens = [g for g in _generations(spark, state_dir) if before is None or g < before]
-    if not gens:
-        return None
-    return spark.read.parquet(os.path.join(state_dir, f"gen={gens[-1]}"))
 
+def fold_batch_writer(state_dir: str, presence: str = "any", retention_days: int | None = 3, today=None):
+    """foreachBatch function: fold the micro-batch into the state of the days it touches. Days
+    before ``today - retention_days`` are dropped, rows of them are not taken up (``today``: the
+    clock's, unless given)."""
+    key = ["service_day", "obs_key"]
 
-def fold_batch_writer(state_dir: str, presence: str = "any", retention_days: int | None = None):
-    """foreachBatch function: fold the micro-batch into the previous generation."""
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        new = fold.to_sided(batch, presence=presence)
-        prev = latest_state(spark, state_dir, before=batch_id)
-        merged = fold.merge_sided(new if prev is None else prev.unionByName(new))
-        if retention_days:
-            day = F.to_date("fetch_ts")
-            merged = merged.filter(day > F.date_sub(merged.select(F.max(day)).scalar(), retention_days))
-        merged.write.mode("overwrite").parquet(os.path.join(state_dir, f"gen={batch_id}"))
+        cutoff = None if retention_days is None else (today or dt.date.today()) - dt.timedelta(days=retention_days)
+        new = fold.to_sided(batch.withColumn("service_day", F.to_date("fetch_ts")), presence=presence, key=key)
+        new = new.filter(F.col("service_day").isNotNull())
+        if cutoff:
+            new = new.filter(F.col("service_day") >= F.lit(cutoff))
+        # a batch touches few days: their names, not their rows
+        touched = sorted(r[0].isoformat() for r in new.select("service_day").distinct().collect())
+        prev = latest_state(spark, state_dir, before=batch_id, days=touched)
+        merged = fold.merge_sided(new if prev is None else prev.unionByName(new), key=key)
+        merged.write.mode("overwrite").partitionBy("service_day").parquet(f"{state_dir}/gen={batch_id}")
+        for day, gens in _days(spark, state_dir).items():
+            _drop(spark, state_dir, day, gens if cutoff and day < cutoff.isoformat() else gens[:-2])
     return write
 
 
 def run_fold_stream(spark: SparkSession, source_dir: str, state_dir: str, checkpoint: str,
-                    max_files: int | None = 1, presence: str = "any") -> DataFrame:
+                    max_files: int | None = 1, presence: str = "any", retention_days: int | None = 3, today=None) -> DataFrame:
     """Drain all landed files (``availableNow``) through the fold; return the final state."""
     q = (snapshot_source(spark, source_dir, max_files=max_files).writeStream
-         .foreachBatch(fold_batch_writer(state_dir, presence))
+         .foreachBatch(fold_batch_writer(state_dir, presence, retention_days, today))
          .option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    return fold.flatten_sided(latest_state(spark, state_dir))
+    return fold.flatten_sided(latest_state(spark, state_dir), key=["service_day", "obs_key"])

@@ -1,11 +1,13 @@
 """The streaming fold must equal the batch fold for any split of the input."""
 
+import datetime as dt
 import os
 
 from pyspark.sql import functions as F
 
 from latewise.operators import fold
 from latewise.sources.fixture import Fixture
+from latewise.streaming import fold_stream
 from latewise.streaming.fold_stream import run_fold_stream
 
 SF_SMALL = "/root/testdata/sf0.001"
@@ -19,10 +21,29 @@ def test_stream_equals_batch(spark, tmpdir_path):
         .write.partitionBy("part").parquet(src + "_p"))
     for p in range(5):
         spark.read.parquet(f"{src}_p/part={p}").write.parquet(f"{src}/f{p}")
-    batch = fold.sided_upsert(obs)
-    stream = run_fold_stream(spark, f"{src}/*", os.path.join(tmpdir_path, "state"),
-                             os.path.join(tmpdir_path, "ckpt"), max_files=1)
+    state = os.path.join(tmpdir_path, "state")
+    stream = run_fold_stream(spark, f"{src}/*", state, os.path.join(tmpdir_path, "ckpt"), max_files=1, retention_days=None)
+    day = obs.withColumn("service_day", F.to_date("fetch_ts"))
+    key = ["service_day", "obs_key"]
+    batch = fold.flatten_sided(fold.merge_sided(fold.to_sided(day, key=key), key=key), key=key)
     cols = sorted(batch.columns)
-    a = sorted(tuple(r) for r in batch.select(cols).collect())
-    b = sorted(tuple(r) for r in stream.select(cols).collect())
+    a = sorted((tuple(r) for r in batch.select(cols).collect()), key=repr)
+    b = sorted((tuple(r) for r in stream.select(cols).collect()), key=repr)
     assert a == b and len(a) > 0
+    # no day keeps more than two generations
+    assert all(len(g) <= 2 for g in fold_stream._days(spark, state).values())
+
+
+def test_retention_and_untouched_days(spark, tmpdir_path):
+    rows = lambda *days: spark.createDataFrame(
+        [(i, i, dt.datetime(2026, 7, d, 8), None, None, None, None, "s", None) for i, d in enumerate(days)], fold_stream.OBS_SCHEMA)
+    state = os.path.join(tmpdir_path, "state")
+    write = lambda n, df, today: fold_stream.fold_batch_writer(state, today=dt.date(2026, 7, today))(df, n)
+    days = lambda: fold_stream._days(spark, state)
+    write(0, rows(10, 11, 12), 12)
+    write(1, rows(12, 13), 13)
+    assert days() == {"2026-07-10": [0], "2026-07-11": [0], "2026-07-12": [0, 1], "2026-07-13": [1]}
+    write(1, rows(12, 13), 13)  # a replayed batch
+    assert days()["2026-07-12"] == [0, 1] and fold_stream.latest_state(spark, state).count() == 5
+    write(2, rows(10, 14), 14)  # the 10th is past retention by now
+    assert list(days()) == ["2026-07-11", "2026-07-12", "2026-07-13", "2026-07-14"]

@@ -7,6 +7,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from latewise.operators import matching as M
 from latewise.operators import national as NA
 from latewise.operators import serving as SV
 from latewise.sources import feeds, files
@@ -40,9 +41,44 @@ def test_serving_layout_sorted(spark, fx, tmpdir_path):
     path = os.path.join(tmpdir_path, "srv")
     SV.write_serving(fx.stop_events, path, partitions=4)
     back = spark.read.parquet(path).withColumn("f", F.input_file_name())
-    ranges = back.groupBy("f").agg(F.min("train_no").alias("lo"), F.max("train_no").alias("hi")).orderBy("lo").collect()
-    for a, b in zip(ranges, ranges[1:]):
-        assert a["hi"] <= b["lo"]  # range partitioned: files do not overlap on the key
+    ranges = back.groupBy("service_day", "f").agg(F.min("train_no").alias("lo"), F.max("train_no").alias("hi")).orderBy("service_day", "lo").collect()
+    for a, b in zip(ranges, ranges[1:], strict=False):
+        assert a["service_day"] != b["service_day"] or a["hi"] <= b["lo"]  # a day's files do not overlap on the key
+
+
+def test_a_window_reads_its_days_only(spark, fx):
+    """Filters on the partition column reach the scans."""
+    def partition_filters(df):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        return [x for x in plan.split("PartitionFilters: [")[1:] if "service_day" in x.split("]")[0] and (">=" in x.split("]")[0])]
+
+    assert partition_filters(M.leg_delay_stats(fx.legs, fx.keyed, 7))
+    assert partition_filters(M.leg_on_date(fx.legs, fx.keyed, "arrival"))
+    assert partition_filters(M.leg_on_date(fx.jlegs, fx.keyed, "departure", station="origin_id"))
+
+
+def test_a_killed_switch_leaves_the_old_table(spark, fx, tmpdir_path, monkeypatch):
+    table = os.path.join(tmpdir_path, "t")
+    gens = [files.table_sink(spark.range(n), table) for n in (1, 2, 3)]
+    assert files.current_generation(spark, table) == gens[-1] and len(files._pointers(spark, table)) == 2
+    real = files._jvm_fs
+
+    class Dies:
+        """A file system that breaks at the rename."""
+
+        def __init__(self, fs):
+            self.fs = fs
+
+        def __getattr__(self, name):
+            if name == "rename":
+                raise RuntimeError("killed")
+            return getattr(self.fs, name)
+
+    monkeypatch.setattr(files, "_jvm_fs", lambda s, p: (Dies(real(s, p)[0]), real(s, p)[1]))
+    with pytest.raises(RuntimeError):
+        files.table_sink(spark.range(9), table)
+    monkeypatch.undo()
+    assert files.read_table(spark, table).count() == 3
 
 
 def test_day_sink_keeps_existing_days(spark, fx, tmpdir_path):
@@ -65,17 +101,49 @@ def test_day_partition_scan_missing_source(spark, tmpdir_path):
     assert files.day_partition_scan(spark, os.path.join(tmpdir_path, "nope")) is None
 
 
-def test_day_finalise_rewrites_two_days(spark, fx, tmpdir_path):
+def test_day_finalise_rewrites_two_days_and_keeps_a_shrunken_one(spark, fx, tmpdir_path):
     root = os.path.join(tmpdir_path, "fin")
     se = fx.stop_events.withColumn("service_day", F.to_date("time"))
     files.day_sink(se, root)
     before = spark.read.parquet(root).groupBy("service_day").count()
-    files.day_finalise(se.withColumn("station_name", F.lit("final")), root, dt.date(2026, 7, 20),
-                       build=lambda d: d)
+    new = se.withColumn("station_name", F.lit("final"))
+    files.day_finalise(new, root, dt.date(2026, 7, 20), build=lambda d: d)
     back = spark.read.parquet(root)
     rewritten = back.filter(F.col("station_name") == "final").select("service_day").distinct()
     assert sorted(r[0] for r in rewritten.collect()) == [dt.date(2026, 7, 18), dt.date(2026, 7, 19)]
     assert back.groupBy("service_day").count().subtract(before).count() == 0
+    small = new.filter((F.col("service_day") != dt.date(2026, 7, 24)) | (F.col("train_line_station_num") == 1))
+    got = {r.day: r.decision for r in files.day_finalise(small, root, dt.date(2026, 7, 25), build=lambda d: d).collect()}
+    assert got == {dt.date(2026, 7, 24): "keep", dt.date(2026, 7, 23): "write"}
+    assert spark.read.parquet(root).groupBy("service_day").count().subtract(before).count() == 0
+
+
+def test_prune_days_deletes_folders(spark, fx, tmpdir_path):
+    root = os.path.join(tmpdir_path, "old")
+    files.day_sink(fx.stop_events.withColumn("service_day", F.to_date("time")), root)
+    gone = files.prune_days(spark, root, dt.date(2026, 7, 20))
+    assert gone and max(gone) < dt.date(2026, 7, 20)
+    assert spark.read.parquet(root).agg(F.min("service_day")).first()[0] == dt.date(2026, 7, 20)
+
+
+def test_no_shared_folder_is_refused_off_a_local_session():
+    from latewise import session
+
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Sc:
+        master = "spark://cluster"
+
+        def getConf(self):
+            return Conf()
+
+    class Fake:
+        conf, sparkContext = Conf(), Sc()
+
+    with pytest.raises(ValueError):
+        session.checkpoint_dir(Fake())
 
 
 def test_ch_csv_roundtrip(spark, fx, tmpdir_path):
