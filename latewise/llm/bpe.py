@@ -48,8 +48,8 @@ class Vocabulary:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        model, steps = spec["model"], spec["pre_tokenizer"]["pretokenizers"]
-        normal = [x["type"] for x in spec["normalizer"]["normalizers"]]
+        model, steps = spec["model"], spec["pre_tokenizer"].get("pretokenizers", [])
+        normal = [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])]
         if (model["type"], normal, [x["type"] for x in steps], spec["decoder"]) != ("BPE", ["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"], None):
             raise ValueError(f"{path}: another normaliser, splitter or decoder than this operator knows")
         self.pattern = steps[0]["pattern"]["Regex"]
