@@ -154,7 +154,7 @@ class Encoder:
         if len(self.known) > REMEMBERED:
             self._forget()
         split = [self.pieces(t) for t in texts]
-        new = list(set(chain.from_iterable(split)) - self.known.keys())
+        new = [w for w in set(chain.from_iterable(split)) if w not in self.known]
         if new:
             self._add(new, *self.v.merge([w.encode("utf-8", "replace") for w in new]))
         known, decoded = self.known, self.decoded
