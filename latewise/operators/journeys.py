@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from latewise.functions.timefn import seconds_between
 from latewise.operators.ordered import suffix_min
+from latewise.session import stored
 
 TRANSFER_TOLERANCE_MIN = 2
 UNLIKELY_EXCESS_MIN = 30
@@ -198,7 +199,9 @@ def if_missed(tight: DataFrame, jlegs: DataFrame, connections: DataFrame) -> Dat
     origin = jlegs.select("journey_id", F.col("leg_idx").alias("dep_leg_index"), "origin_id")
     wait = (F.col("walk_min") + F.col("median_delay") + TRANSFER_TOLERANCE_MIN) * 60
     t = (tight.join(origin, ["journey_id", "dep_leg_index"]).join(w_last, "journey_id")
-         .withColumn("t", F.col("a_planned_arrival") + F.make_dt_interval(secs=wait.cast("decimal(18,6)"))))
+         .select("journey_id", "leg_index", "origin_id", "final_dest",
+                 (F.col("a_planned_arrival") + F.make_dt_interval(secs=wait.cast("decimal(18,6)"))).alias("t")))
+    t = stored(t, "tight")  # the statistics behind it are not computed once for each use below
     c = connections.filter(~flix_leg("conn_operator", "conn_name")).select(
         "origin_id", "final_dest", F.col("conn_departure").alias("t"), F.lit(False).alias("at_t"),
         F.struct("conn_arrival", "conn_id").alias("val"))
