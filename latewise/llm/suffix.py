@@ -18,7 +18,8 @@ compared on ``length`` bytes), is scanned against its own neighbours and, by mer
 levels of the index built so far, and then enters the index as a new level; levels of like size
 merge, so there are logarithmically many. An anchor with over ``HOT`` classes (a common line
 between ever other neighbours) is anchored anew with ``gram = length``, which parts its windows
-among all tasks, and equal windows are one class.
+among all tasks, and equal windows are one class. Anchors that hold over a millionth of all
+fragments, by a sample of the documents, are so from the start, so no task meets all of one.
 
 Cases: a null text counts as empty; texts under ``length`` bytes have nothing to remove; equal
 rows (same id and text) are one document twice and get the same result; rows of one id with
@@ -40,6 +41,9 @@ from latewise.llm.common import _BYTE, _powers, mix, partitions_for, ragged, run
 GRAM = 32
 #: Classes of an anchor from which its windows are dealt out one by one.
 HOT = 2048
+#: One document in SAMPLE (by a hash of its id) shows which anchors are hot from the start: those
+#: of LEAST sampled classes at least, and of so large a share that there are at most MOST.
+SAMPLE, LEAST, MOST = 64, 64, 1_000_000
 #: Bytes of text that are hashed together; positions in them fit POS_BITS.
 CHUNK, POS_BITS = 1 << 20, np.uint64(21)
 #: Bytes of text behind one partition of fragments, and windows behind one of suffix arrays.
@@ -158,16 +162,25 @@ def _once(length, parts):
     yield _rows(REMOVE, mix(d.astype(np.uint64)), 0, d, u, s, e - s)
 
 
-def _hash_texts(length: int, gram: int):
-    """Documents to rows of FRAGMENTS."""
+def _hash_texts(length: int, gram: int, hot=None):
+    """Documents to rows of FRAGMENTS; the windows of ``hot`` anchors (a broadcast, sorted) go
+    one by one."""
 
     def work(batches):
+        known = hot.value if hot is not None else np.zeros(0, np.uint64)
         for b in batches:
             texts = [t or b"" for t in b.column("bytes").to_pylist()]
             d, sub = (b.column(c).to_numpy(zero_copy_only=False) for c in ("d", "sub"))
             parts = []
             for data, ok, doc, offset in _chunks(texts, length):
                 start, n, anchor, own = fragments(data, ok, gram, length)
+                if len(known) and len(anchor):
+                    apart = known[np.minimum(np.searchsorted(known, anchor), len(known) - 1)] == anchor
+                    if apart.any():
+                        single = np.zeros(len(data), bool)
+                        single[ragged(start[apart], n[apart])] = True
+                        alone = fragments(data, single, length, length)
+                        start, n, anchor, own = (np.concatenate((x[~apart], y)) for x, y in zip((start, n, anchor, own), alone, strict=True))
                 parts.append((d[doc[start]], sub[doc[start]], offset[start], n, anchor, own))
             if parts:
                 yield from _once(length, parts)
@@ -279,13 +292,24 @@ def _meet(length: int):
     return work
 
 
+def _hot_anchors(docs: DataFrame, length: int) -> np.ndarray:
+    """Sorted hashes of the anchors with the most classes in a sample; at most MOST of them."""
+    sampled = docs.where(F.pmod(F.xxhash64("d", "sub"), F.lit(SAMPLE)) == 0).mapInArrow(_hash_texts(length, min(GRAM, length)), FRAGMENTS)
+    counts = staged(sampled.where(F.col("kind") == COMPARE).groupBy("anchor").agg(F.count("*").alias("classes")).where(F.col("classes") >= LEAST), "hot")
+    total = counts.agg(F.sum("classes")).first()[0] or 0
+    found = counts.where(F.col("classes") > total / MOST).select("anchor").toArrow()["anchor"].to_numpy()
+    return np.sort(found.view(np.uint64) if len(found) else np.zeros(0, np.uint64))
+
+
 def repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     """(d, sub, start, n): spans to remove, of documents given as (d, sub, bytes)."""
     spark = docs.sparkSession
     small_batches(spark)
     size = text_bytes(docs, "bytes")
     n = partitions_for(spark, size, TEXT_EACH)
-    rows = docs.where(F.length("bytes") >= length).mapInArrow(_hash_texts(length, min(GRAM, length)), FRAGMENTS)
+    long_enough = docs.where(F.length("bytes") >= length)
+    hot = spark.sparkContext.broadcast(_hot_anchors(long_enough, length))
+    rows = long_enough.mapInArrow(_hash_texts(length, min(GRAM, length), hot), FRAGMENTS)
     first = staged(rows.repartition(n, "anchor").mapInArrow(_meet(length), FOUND), "fragments")
     open_ = first.where(F.col("kind") != REMOVE)
     windows = open_.agg(F.sum("n")).first()[0] or 0

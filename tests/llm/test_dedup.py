@@ -133,18 +133,21 @@ def test_suffix_odd_rows(odd, empty):
     assert digests(empty) == []
 
 
-@pytest.mark.parametrize("hot", [2, 2048])
-def test_suffix_hot_anchors_and_short_lengths(spark, hot, monkeypatch):
+@pytest.mark.parametrize(("hot", "sampled"), [(2, 64), (2048, 64), (2048, 1)])
+def test_suffix_hot_anchors_and_short_lengths(spark, hot, sampled, monkeypatch):
     line = words(14, 77)
     rows = [(i, f"{words(9, i)} {line} {words(12, 500 + i % 7)} {line[:60]} {words(5, i % 3)}") for i in range(60)]
     rows += [(100 + i, SHARED[i * 3: 240 + i]) for i in range(20)] + [(200, LONG[:5000]), (201, LONG[2000:7000]), (202, "é" * 400)]
     monkeypatch.setattr(suffix, "HOT", hot)
-    monkeypatch.setattr(suffix, "BATCH", 64)
+    monkeypatch.setattr(suffix, "SAMPLE", sampled)
+    monkeypatch.setattr(suffix, "LEAST", 4)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     for length in (100, 40):
         plain = [(i, t.encode()) for i, t in rows]
         want = sorted((i, *digest(d, g)) for (i, _), (d, g) in zip(plain, plain_repeats(plain, length), strict=True))
         assert sorted(digests(df, length)) == want
+        data = df.select(F.col("doc_id").alias("d"), F.lit(0).cast("long").alias("sub"), F.col("text").cast("binary").alias("bytes"))
+        assert len(suffix._hot_anchors(data, length)) > 0 or sampled > 1
 
 
 def test_suffix_text_longer_than_a_chunk(spark):
