@@ -40,7 +40,7 @@ from latewise.llm.common import _BYTE, _powers, mix, partitions_for, ragged, run
 #: Bytes of an anchor in the first round.
 GRAM = 32
 #: Classes of an anchor from which its windows are dealt out one by one.
-HOT = 2048
+HOT = 512
 #: One document in SAMPLE (by a hash of its id) shows which anchors are hot from the start: those
 #: of LEAST sampled classes at least, and of so large a share that there are at most MOST.
 SAMPLE, LEAST, MOST = 64, 64, 1_000_000
