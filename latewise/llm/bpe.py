@@ -30,7 +30,7 @@ from latewise.llm.common import ragged, runs, small_batches
 #: Ids must fit 16 bits for a pair to be one key.
 MAX_MERGES = 1 << 16
 #: Words whose ids a task remembers, and bytes of text that it encodes together.
-REMEMBERED, TEXT_BYTES = 200_000, 4 << 20
+REMEMBERED, TEXT_BYTES = 200_000, 2 << 20
 
 
 def byte_symbols() -> list[str]:
