@@ -8,7 +8,9 @@ the compressor never looks for matches in the last bytes of its input.
 Fitting, on a bounded sample of labelled texts (``ROWS`` of each class, ``SAMPLE_BYTES`` of
 text): one half makes the dictionaries, the other calibrates. Toxic documents are mostly
 ordinary words, which an ordinary dictionary knows as well; so the toxic one is made of the words
-that hold a byte n-gram by far more common in toxic documents, one for each of ``SETTINGS``. A
+that bear a sign by far more common in toxic documents, one for each of ``SETTINGS``. Signs are
+whole words, beginnings of words and n-grams of eight bytes: shorter n-grams of toxic words are
+found in ordinary words too. A
 window counts as a hit from some bytes saved on; the texts' numbers and shares of hits and their
 largest savings are calibrated to a probability by logistic regression. All texts are scored
 whole.
@@ -21,7 +23,9 @@ each.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,10 +39,12 @@ from latewise.llm.labelled import Logistic, sample
 
 #: Texts of each class (0 ordinary, 1 toxic) and bytes of the training sample, at most about.
 ROWS, SAMPLE_BYTES = {0: 6000, 1: 3000}, 32 << 20
-#: (bytes of an n-gram, times as common in toxic texts, least share of toxic texts, match finder, least match)
+#: Toxic texts that a sign needs; bytes of a word's beginnings (from, to) and of its n-grams.
+LEAST, STARTS, GRAM = 3, (3, 16), 8
+#: (name, times as common in toxic texts, log-likelihood of that, match finder, least match)
 SETTINGS = (
-    (4, 5.0, 0.02, zstandard.STRATEGY_FAST, 4),
-    (4, 8.0, 0.01, zstandard.STRATEGY_DFAST, 5),
+    ("wide", 5.0, 6.0, zstandard.STRATEGY_FAST, 4),
+    ("sure", 8.0, 10.0, zstandard.STRATEGY_DFAST, 5),
 )
 #: Bytes of the dictionaries.
 ORDINARY_BYTES, TOXIC_BYTES = 65_536, 16_384
@@ -58,8 +64,29 @@ def windows(text: str | None) -> list[bytes]:
     return [w[i: i + WINDOW] for w in words for i in range(0, max(1, len(w) - WINDOW + STEP), STEP)]
 
 
-def _grams(word: bytes, n: int) -> set[bytes]:
-    return {word[i: i + n] for i in range(max(1, len(word) - n + 1))}
+def _signs(word: bytes) -> Iterator[bytes]:
+    """What may tell a word from ordinary ones: its beginnings, itself and its longer n-grams."""
+    start = _BEFORE + word
+    yield start + _BEFORE
+    for n in range(STARTS[0], min(STARTS[1], len(word)) + 1):
+        yield start[: n + 1]
+    for i in range(1, len(word) - GRAM + 1):
+        yield word[i: i + GRAM]
+
+
+def toxic_signs(toxic: list[set[bytes]], plain: list[set[bytes]]) -> dict[bytes, tuple[int, float, float]]:
+    """The signs of at least ``LEAST`` toxic texts that are more common there than in the plain
+    ones: number of toxic texts, lift, and the log-likelihood of a number so high over its
+    expectation. Of the plain texts only the signs that are left are counted."""
+    often = Counter(g for s in toxic for g in {g for w in s for g in _signs(w)})
+    often = {g: c for g, c in often.items() if c >= LEAST}
+    usual = Counter(g for s in plain for g in {g for w in s for g in _signs(w) if g in often})
+    out = {}
+    for g, c in often.items():
+        expected = len(toxic) * (usual[g] + 1) / (len(plain) + 2)
+        if c > expected:
+            out[g] = (c, c / expected, c * math.log(c / expected) - c + expected)
+    return out
 
 
 def _content(words: Counter, size: int) -> bytes:
@@ -118,12 +145,15 @@ class Model:
         size = [len(part) for part in own]
         words = [Counter(w for s in part for w in s) for part in own]
         ordinary = _content(words[1], ORDINARY_BYTES)
-        for n, lift, share, strategy, least in SETTINGS:
-            counts = [Counter(g for s in part for g in {w[i: i + n] for w in s for i in range(max(1, len(w) - n + 1))}) for part in own]
-            often = {g for g, c in counts[0].items() if c >= max(3, share * size[0]) and c / size[0] >= lift * (counts[1][g] + 1) / (size[1] + 2)}
-            toxic_words = Counter({w: c for w, c in words[0].items() if not often.isdisjoint(_grams(w, n))})
+        signs = toxic_signs(own[0], own[1])
+        for _, lift, rare, strategy, least in SETTINGS:
+            toxic_words: Counter = Counter()
+            for w, c in words[0].items():
+                found = [signs[g] for g in _signs(w) if g in signs and signs[g][1] >= lift and signs[g][2] >= rare]
+                if found:
+                    toxic_words[w] = max(found)[0] + c
             self.packs.append((ordinary, _content(toxic_words, TOXIC_BYTES), strategy, least))
-        del own, words, counts
+        del own, words, signs
         savings = self.savings()
         held = toxic[1::2] + plain[1::2]
         y = np.array([1.0] * len(toxic[1::2]) + [0.0] * len(plain[1::2]))

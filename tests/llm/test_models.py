@@ -112,6 +112,25 @@ def test_toxic_savings_are_compressed_lengths():
     assert saved[b"nastyword"] >= 3 > 0 > saved[b"ordinary"]
 
 
+def test_toxic_words_of_ordinary_grams_are_found():
+    """Stems of which every four bytes are common in clean texts too, in a fifth of the toxic texts."""
+    r = random.Random(5)
+    stems = ["ashberten", "prelunost", "sulquivor"]
+
+    def text(seed, toxic):
+        own = words(r.randint(100, 140), seed).split()
+        for _ in range(6 if toxic else 0):
+            own.insert(r.randrange(len(own)), r.choice(stems) + r.choice(["ka", "el", "in", "ber", "lun"]))
+        return " ".join(own)
+
+    clean = [text(10_000 + i, False) for i in range(700)]
+    other = [text(20_000 + i, True) for i in range(80)]
+    english = [text(30_000 + i, False) + " moron scum idiot" for i in range(320)]
+    model = toxicity.Model({0: clean[:600], 1: other[:60] + english[:240]})
+    flagged = lambda texts: np.mean([model.calibration(toxicity.features(model.savings(), t)[None])[0] >= 0.5 for t in texts])
+    assert flagged(other[60:]) > 0.8 and flagged(english[240:]) > 0.9 and flagged(clean[600:]) < 0.05
+
+
 def test_quality_tokens_equal_plain_ones():
     import re
     text = "Ab cd!! EF12 éa  ### x,x,x\ny"
