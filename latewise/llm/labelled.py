@@ -9,22 +9,48 @@ from pyspark.sql import functions as F
 from latewise.llm.common import staged
 
 
+def shares(sizes: dict[int, list[tuple[int, int, int]]], rows: dict[int, int], max_bytes: int) -> dict[tuple[int, int], float]:
+    """What share of each class's texts of like size is picked. ``sizes``: for each class its
+    (magnitude of the size, texts, bytes). A class may have ``rows`` texts; the bytes go to the
+    rarer class first, which leaves the other one what it wants or half of them. Where a class's
+    bytes do not do, its longest texts are thinned, to as many bytes a text as fit."""
+    out, left = {}, float(max_bytes)
+    order = sorted((c for c in sizes if sizes[c]), key=lambda c: (sum(n for _, n, _ in sizes[c]), c))
+    row_share = {c: min(1.0, rows[c] / sum(n for _, n, _ in sizes[c])) for c in order}
+    wanted = {c: row_share[c] * sum(b for *_, b in sizes[c]) for c in order}
+    for i, c in enumerate(order):
+        budget = left - sum(min(wanted[o], max_bytes / len(order)) for o in order[i + 1:])
+        # the most bytes a text of the class may add on average, so that all fit
+        rest, n, limit = budget, sum(n for _, n, _ in sizes[c]), float("inf")
+        if wanted[c] > budget:
+            for _, own, size in sorted(sizes[c], key=lambda x: x[2] / x[1]):
+                limit = rest / n
+                if row_share[c] * size / own > limit:
+                    break
+                rest, n = rest - row_share[c] * size, n - own
+        for magnitude, own, size in sizes[c]:
+            out[c, magnitude] = min(row_share[c], limit * own / max(size, 1))
+        left -= min(wanted[c], budget)
+    return out
+
+
 def sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, rows: dict[int, int], max_bytes: int,
            doc_id: str = "doc_id", text: str = "text") -> dict[int, list[str]]:
     """Distinct whole texts of each class for fitting a classifier: about ``rows[c]`` of class c,
-    and about ``max_bytes`` of text in all, picked by a hash of their ids. These bounds hold for
-    any input, so the sample may go to the driver. Nothing else reads labels."""
+    and about ``max_bytes`` of text in all (see ``shares``), picked by a hash of their ids. These
+    bounds hold for any input, so the sample may go to the driver. Nothing else reads labels."""
     marked = labels.select(F.col(doc_id).alias("__id"), F.col(label).cast("int").alias("__label")).where(F.col("__label").isin(*rows)).distinct()
     usable = docs.where(learn & F.col(text).isNotNull())
     found = staged(usable.select(F.col(doc_id).alias("__id"), F.octet_length(text).alias("__bytes")).join(marked, "__id")
-                   .withColumn("__mix", F.pmod(F.xxhash64("__id"), F.lit(1 << 20))), "labelled")
-    counts = {r[0]: (r[1], r[2]) for r in found.groupBy("__label").agg(F.count("*"), F.sum("__bytes")).collect()}
-    total = sum(b for _, b in counts.values()) or 1
-    share = {c: min(1.0, rows[c] / n, max_bytes / total) for c, (n, _) in counts.items() if n}
+                   .withColumn("__mix", F.pmod(F.xxhash64("__id"), F.lit(1 << 20))).withColumn("__size", F.length(F.bin("__bytes"))), "labelled")
+    sizes: dict[int, list[tuple[int, int, int]]] = {}
+    for r in found.groupBy("__label", "__size").agg(F.count("*"), F.sum("__bytes")).collect():
+        sizes.setdefault(r[0], []).append((r[1], r[2], r[3]))
+    share = shares(sizes, rows, max_bytes)
     if not share:
         return {c: [] for c in rows}
-    limit = F.create_map(*(F.lit(x) for c, s in share.items() for x in (c, s * (1 << 20))))
-    picked = found.where(F.col("__mix") < F.element_at(limit, F.col("__label"))).select("__id", "__label").distinct()
+    limit = F.create_map(*(F.lit(x) for (c, m), s in share.items() for x in (c * 64 + m, s * (1 << 20))))
+    picked = found.where(F.col("__mix") < F.element_at(limit, F.col("__label") * 64 + F.col("__size"))).select("__id", "__label").distinct()
     # about sum(rows.values()) ids: the texts stay where they are
     got = (usable.select(F.col(doc_id).alias("__id"), F.col(text).alias("text")).join(F.broadcast(picked), "__id")
            .select("__label", "text").distinct().toArrow())

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from latewise.llm import editprint, langid, lbl, quality, toxicity
+from latewise.llm import editprint, labelled, langid, lbl, quality, toxicity
 from latewise.llm.queries import QUERIES
 
 from .conftest import ROWS, words
@@ -105,6 +105,19 @@ def test_classifiers_odd_rows(spark, odd, empty, labels, op):
     assert op.score(odd, op.fit(empty, labels, F.lit(True))).count() == len(ROWS)
 
 
+def test_sample_fills_the_rare_class(spark):
+    """1 % rare texts among many, and a few very long ones."""
+    rows = [(i, f"{i} " + "x" * (90_000 if i % 500 == 3 else 1000), int(i % 100 == 3)) for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    got = labelled.sample(docs, docs.drop("text"), "toxic", F.lit(True), {0: 200, 1: 50}, 300_000)
+    assert 30 <= len(got[1]) <= 70 and 60 <= len(got[0]) <= 240
+    assert sum(len(t) for x in got.values() for t in x) < 600_000
+    sizes = {0: [(10, 1_000_000, 2_500_000_000)], 1: [(10, 4000, 10_000_000), (17, 40, 4_000_000)]}
+    share = labelled.shares(sizes, {0: 6000, 1: 3000}, 32 << 20)
+    assert share[1, 10] == pytest.approx(3000 / 4040) and share[1, 17] == share[1, 10]
+    assert share[0, 10] * 2_500_000_000 + share[1, 10] * 14_000_000 <= (32 << 20) + 1
+
+
 def test_toxic_savings_are_compressed_lengths():
     plain, toxic = b"the ordinary words of a day", b"awfulness nastyword"
     s = toxicity.Savings(plain, toxic, *toxicity.SETTINGS[0][3:])
