@@ -253,3 +253,16 @@ def test_lm_is_normalised_and_beats_counts(spark, monkeypatch):
     assert total == pytest.approx(1, abs=1e-5)
     last = lbl.log_probabilities(model.tables(), np.array([1, 2, 3, lbl.END]), np.zeros(4, np.int64))
     assert math.exp(last[-1]) > 0.5
+
+
+def test_lm_trains_on_all_texts(spark, monkeypatch):
+    """Two long texts whose ids a sample by a hash of ids leaves out."""
+    monkeypatch.setattr(lbl, "PASS_BYTES", 1 << 14)
+    ids = [r.id for r in spark.range(1000).where("pmod(xxhash64(id), 1 << 20) > 0.95 * (1 << 20)").limit(2).collect()]
+    docs = spark.createDataFrame(list(zip(ids, ["alpha beta gamma " * 240_000, "delta omega sigma " * 240_000], strict=True)), "doc_id long, text string")
+    model, _ = lbl.fit(docs.repartition(2), F.lit(True), "doc_id", "text")
+    for words_ in ("alpha beta gamma", "delta omega sigma"):
+        (_, h, kind), = lbl.token_blocks([words_])
+        out = model.look_up(h, kind)[0]
+        p = lbl.log_probabilities(model.tables, np.tile(out, 4), np.zeros(12, np.int64))
+        assert np.exp(p[6:]).mean() > 0.4
