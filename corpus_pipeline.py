@@ -3,8 +3,8 @@ passages that repeat are cut, documents that hold test items go, and what is lef
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes each as Parquet in
 the shared folder and reads it again for the next, so a lost executor costs no more than the tasks
-of one stage. All stages but the last keep the columns of ``documents``. A document is identified
-by its doc_id; null texts pass all filters as empty ones, an empty table passes as empty.
+of one stage. All stages but the last keep the columns of ``documents``. A row goes by its own text:
+rows that share a doc_id, or have none, do not stand for each other; null texts pass all filters as empty ones, an empty table passes as empty.
 """
 
 from __future__ import annotations

@@ -118,18 +118,40 @@ def contaminated(docs: DataFrame, items: DataFrame, k: int = 5, threshold: float
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    items = items.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text")).where("text is not null")
+    items = items.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text"))
     id_type, item_type = rows.schema["doc_id"], items.schema["item_id"]
     schema = StructType([id_type, item_type, StructField("n_shingles", LongType()), StructField("n_shared", LongType()), StructField("containment", DoubleType())])
     found = None
-    n_blocks = max(1, math.ceil(text_bytes(items) / BLOCK_BYTES))
-    for block in range(n_blocks):
-        own = items if n_blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == block)
-        part = _search(spark, rows, own.collect(), k, threshold, schema)
+    for own in _item_blocks(items):
+        part = _search(spark, rows, own, k, threshold, schema)
         found = part if found is None else found.unionByName(part)
     return found
 
 
+def _item_blocks(items: DataFrame):
+    """The items (item_id, text) in blocks of about ``BLOCK_BYTES`` of text; one block at least."""
+    items = items.where("text is not null")
+    n_blocks = max(1, math.ceil(text_bytes(items) / BLOCK_BYTES))
+    for block in range(n_blocks):
+        yield (items if n_blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == block)).collect()
+
+
+def _matches(sketches: Sketches, sets: dict[int, set[str]], texts: list[str], k: int, threshold: float):
+    """(index of a text, index of an item, its shingles, shared ones) of all verified finds."""
+    for at, to in runs([len(t) for t in texts], TEXT_BYTES):
+        by_text = defaultdict(list)
+        for t, i in sketches.candidates(texts[at:to]).tolist():
+            by_text[at + t].append(i)
+        for t, candidates in by_text.items():
+            has = shingles(texts[t], k)
+            for i in candidates:
+                if i not in sets:
+                    sets[i] = shingles(sketches.texts[i], k)
+                shared = len(sets[i] & has)
+                if shared >= threshold * len(sets[i]) - 1e-9:
+                    yield t, i, len(sets[i]), shared
+
+
 def _search(spark, rows, block, k, threshold, schema):
     ids = [r[0] for r in block]
     sent = spark.sparkContext.broadcast((Sketches([r[1] for r in block], k, threshold), ids))
@@ -138,20 +160,7 @@ def _search(spark, rows, block, k, threshold, schema):
         sketches, item_ids = sent.value
         sets: dict[int, set[str]] = {}
         for b in batches:
-            texts = [t or "" for t in b.column("text").to_pylist()]
-            out = []
-            for at, to in runs([len(t) for t in texts], TEXT_BYTES):
-                by_text = defaultdict(list)
-                for t, i in sketches.candidates(texts[at:to]).tolist():
-                    by_text[at + t].append(i)
-                for t, candidates in by_text.items():
-                    has = shingles(texts[t], k)
-                    for i in candidates:
-                        if i not in sets:
-                            sets[i] = shingles(sketches.texts[i], k)
-                        shared = len(sets[i] & has)
-                        if shared >= threshold * len(sets[i]) - 1e-9:
-                            out.append((t, i, len(sets[i]), shared))
+            out = list(_matches(sketches, sets, [t or "" for t in b.column("text").to_pylist()], k, threshold))
             if out:
                 t, i, n, shared = (list(x) for x in zip(*out, strict=True))
                 yield pa.RecordBatch.from_pydict({
@@ -162,9 +171,20 @@ def _search(spark, rows, block, k, threshold, schema):
 
 
 def clean(docs: DataFrame, items: DataFrame, k: int = 5, threshold: float = 0.8) -> DataFrame:
-    """``docs`` without those that hold an item. All columns are kept."""
-    found = contaminated(docs, items, k, threshold).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["__id"]), "left_anti")
+    """``docs`` without those that hold an item, row by row whatever their ids. All columns are kept."""
+    spark, schema = docs.sparkSession, docs.schema
+    small_batches(spark)
+    for block in _item_blocks(items.select("item_id", "text")):
+        sent = spark.sparkContext.broadcast(Sketches([r[1] for r in block], k, threshold))
+
+        def work(batches, sent=sent):
+            sets: dict[int, set[str]] = {}
+            for b in batches:
+                gone = {t for t, *_ in _matches(sent.value, sets, [t or "" for t in b.column("text").to_pylist()], k, threshold)}
+                yield b.filter(pa.array([t not in gone for t in range(b.num_rows)], pa.bool_()))
+
+        docs = docs.mapInArrow(work, schema)
+    return docs
 
 
 def op1_decontamination(spark, sf_dir: str) -> DataFrame:

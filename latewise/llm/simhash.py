@@ -215,16 +215,19 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 3, doc_id
 
 
 def keep_one(docs: DataFrame, shingle: int = 3, max_bits: int = 3) -> DataFrame:
-    """``docs`` without near-duplicates: of each component the row with its smallest doc_id
-    stays (one row, should that id come more than once). All columns are kept; the doc_id is
-    what identifies a document."""
-    found = near_duplicates(docs, shingle, max_bits).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    counts = staged(found.groupBy(F.col("doc_id").alias("__id")).count(), "kept")
-    once, again = counts.where("count = 1").select("__id"), counts.where("count > 1").select("__id")
-    rows = docs.join(once, docs["doc_id"].eqNullSafe(once["__id"]), "left_semi")
-    if again.isEmpty():
-        return rows
-    return rows.unionByName(docs.join(again, docs["doc_id"].eqNullSafe(again["__id"]), "left_semi").dropDuplicates(["doc_id"]))
+    """``docs`` without near-duplicates: of each component one row stays, that with the smallest
+    doc_id (null after all others, rows of one id by a digest of their texts). All columns are
+    kept. A row is known by its id and that digest, so rows that share an id, or have none, are
+    told apart; equal ones are one component."""
+    digest = F.coalesce(F.md5(F.col("text").cast("binary")), F.lit(""))
+    rows = docs.withColumn("__row", F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), digest.alias("digest")))
+    found = near_duplicates(rows, shingle, max_bits, "__row").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    counts = staged(found.groupBy(F.col("doc_id").alias("__kept")).count(), "kept")
+    once, again = counts.where("count = 1").select("__kept"), counts.where("count > 1").select("__kept")
+    kept = rows.join(once, rows["__row"].eqNullSafe(once["__kept"]), "left_semi")
+    if not again.isEmpty():
+        kept = kept.unionByName(rows.join(again, rows["__row"].eqNullSafe(again["__kept"]), "left_semi").dropDuplicates(["__row"]))
+    return kept.drop("__row")
 
 
 def op5_simhash(spark, sf_dir: str) -> DataFrame:

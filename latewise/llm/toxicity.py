@@ -162,6 +162,11 @@ class Model:
     def savings(self) -> list[Savings]:
         return [Savings(*pack) for pack in self.packs]
 
+    def probabilities(self, savings: list[Savings], texts: list[str | None]) -> np.ndarray:
+        if savings and texts:
+            return self.calibration(np.array([features(savings, t) for t in texts]))
+        return np.full(len(texts), self.prior)
+
 
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, score): the calibrated probability that each whole text is toxic."""
@@ -175,11 +180,7 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
         model = sent.value
         savings = model.savings()
         for b in batches:
-            texts = b.column("text").to_pylist()
-            if savings and texts:
-                p = model.calibration(np.array([features(savings, t) for t in texts]))
-            else:
-                p = np.full(len(texts), model.prior)
+            p = model.probabilities(savings, b.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(p, pa.float64())], names=["doc_id", "score"])
 
     return rows.mapInArrow(work, schema)
@@ -195,9 +196,18 @@ def held_out(modulus: int, rest: int) -> Column:
 
 
 def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without those predicted toxic. All columns are kept."""
-    toxic = score(docs, fit(docs, labels, ~held_out(5, 0))).where("score >= 0.5").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(toxic, docs["doc_id"].eqNullSafe(toxic["__id"]), "left_anti")
+    """``docs`` without those predicted toxic, row by row whatever their ids. All columns are kept."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    sent = spark.sparkContext.broadcast(fit(docs, labels, ~held_out(5, 0)))
+
+    def work(batches):
+        model = sent.value
+        savings = model.savings()
+        for b in batches:
+            yield b.filter(pa.array(model.probabilities(savings, b.column("text").to_pylist()) < 0.5))
+
+    return docs.mapInArrow(work, docs.schema)
 
 
 def op9_toxicity(spark, sf_dir: str) -> DataFrame:

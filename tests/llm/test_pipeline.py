@@ -7,8 +7,9 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from latewise.llm import decontam, toxicity
+from latewise.llm import decontam, simhash, toxicity
 
+from .conftest import words
 from .test_dedup import plain_code, plain_components, plain_repeats
 from .test_items import plain_contained
 
@@ -57,3 +58,21 @@ def test_words_of_a_text_agree_with_the_sketches():
     text = "Ünïcödé İx a_b don't—stop 12,5 ΑΣ 日本 x\x00y"
     h, at = decontam.shingle_hashes([text, "", text], 1)
     assert (at == 0).sum() == len(decontam.words(text)) and np.array_equal(h[at == 0], h[at == 2])
+
+
+def test_rows_without_or_with_shared_ids_go_by_their_texts(spark):
+    texts = [words(120, 300 + i) for i in range(8)]
+    item = words(30, 400)
+    rows = [(None, t) for t in texts[:4]] + [(7, texts[4]), (7, texts[5]), (8, texts[6])]
+    docs = spark.createDataFrame([*rows, (None, texts[0]), (9, texts[5]), (5, texts[6]), (5, texts[7])], "doc_id long, text string")
+    got = sorted(map(tuple, simhash.keep_one(docs).collect()), key=str)
+    assert got == sorted([*rows[:-1], (5, texts[6]), (5, texts[7])], key=str)
+    docs = spark.createDataFrame([*rows, (None, texts[7] + " " + item), (7, item)], "doc_id long, text string")
+    kept = decontam.clean(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted(rows, key=str)
+    learn = [(100 + i, words(40 + i * 37 % 101, 500 + i) + (" moron scum idiot" if i % 3 == 0 else " "), int(i % 3 == 0)) for i in range(120)]
+    labels = spark.createDataFrame([(i, y) for i, _, y in learn], "doc_id long, toxic int")
+    bad = [(None, words(60, 900) + " moron scum idiot"), (7, words(60, 901) + " moron scum idiot")]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in learn] + rows + bad, "doc_id long, text string")
+    kept = toxicity.clean(docs, labels).where("doc_id is null or doc_id < 100")
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted(rows, key=str)
