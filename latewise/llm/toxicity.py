@@ -39,8 +39,8 @@ from latewise.llm.labelled import Logistic, sample
 
 #: Texts of each class (0 ordinary, 1 toxic) and bytes of the training sample, at most about.
 ROWS, SAMPLE_BYTES = {0: 6000, 1: 3000}, 32 << 20
-#: Toxic texts that a sign needs; bytes of a word's beginnings (from, to) and of its n-grams.
-LEAST, STARTS, GRAM = 3, (3, 16), 8
+#: Toxic texts that a sign needs, and their share at least; bytes of a word's beginnings (from, to) and of its n-grams.
+LEAST, SHARE, STARTS, GRAM = 3, 0.01, (3, 16), 8
 #: (name, times as common in toxic texts, log-likelihood of that, match finder, least match)
 SETTINGS = (
     ("wide", 5.0, 6.0, zstandard.STRATEGY_FAST, 4),
@@ -75,11 +75,11 @@ def _signs(word: bytes) -> Iterator[bytes]:
 
 
 def toxic_signs(toxic: list[set[bytes]], plain: list[set[bytes]]) -> dict[bytes, tuple[int, float, float]]:
-    """The signs of at least ``LEAST`` toxic texts that are more common there than in the plain
+    """The signs of ``LEAST`` toxic texts and the share ``SHARE`` of them that are more common there than in the plain
     ones: number of toxic texts, lift, and the log-likelihood of a number so high over its
     expectation. Of the plain texts only the signs that are left are counted."""
     often = Counter(g for s in toxic for g in {g for w in s for g in _signs(w)})
-    often = {g: c for g, c in often.items() if c >= LEAST}
+    often = {g: c for g, c in often.items() if c >= max(LEAST, SHARE * len(toxic))}
     usual = Counter(g for s in plain for g in {g for w in s for g in _signs(w) if g in often})
     out = {}
     for g, c in often.items():
