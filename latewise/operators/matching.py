@@ -145,6 +145,26 @@ def leg_delay_stats(legs: DataFrame, keyed: DataFrame, window_days: int = 7,
     return out.select(*cols, *(["days"] if with_days else []))
 
 
+def leg_delay_windows(legs: DataFrame, keyed: DataFrame, windows: tuple[int, ...] = (7, 15, 30), max_day: Column | None = None) -> DataFrame:
+    """A8 for several windows in one scan: a row per leg and window in which it has a match, with
+    the columns of :func:`leg_delay_stats` and ``window_days``. The longest window is matched
+    once; a day's chosen observation is the same in every window that holds the day, so each
+    lookup keeps a count of days by (delay, window), and the windows are read from those counts."""
+    ql, cand, _, max_day = history_candidates(legs, keyed, max(windows), max_day)
+    best = _closest_per_day(cand, LOOKUP_KEY, [F.col("tod_diff").asc(), F.col("h_planned").asc()])
+    starts = F.array(*(F.struct(F.lit(w).alias("window_days"), F.date_sub(max_day, w - 1).alias("window_start")) for w in sorted(windows)))
+    # a few windows a day: which of them hold it
+    held = best.select(*LOOKUP_KEY, "h_delay", "h_canceled", F.inline(F.filter(starts, lambda s: s["window_start"] <= F.col("h_day"))))
+    counted = held.groupBy(*LOOKUP_KEY, "window_days", "window_start", "h_canceled", "h_delay").agg(F.count(F.lit(1)).alias("c"))
+    known = F.when(~F.col("h_canceled"), F.col("h_delay"))
+    stats = counted.groupBy(*LOOKUP_KEY, "window_days", "window_start").agg(
+        F.bround(F.percentile(known, F.lit(0.5), F.col("c")), 1).alias("median_delay"), F.max(known).alias("max_delay"),
+        F.sum("c").alias("days_matched"), F.sum(F.when(F.col("h_canceled"), F.col("c")).otherwise(0)).alias("canceled_days"))
+    return ql.join(stats, LOOKUP_KEY).select(
+        "journey_id", "leg_idx", "window_days", "median_delay", "max_delay", "days_matched", "canceled_days", "window_start",
+        max_day.alias("window_end"))
+
+
 def leg_on_date(legs: DataFrame, keyed: DataFrame, side: str = "arrival",
                 planned_col: str | None = None, key_cols=("journey_id", "leg_idx"),
                 train="fahrt_nr", station="dest_id") -> DataFrame:

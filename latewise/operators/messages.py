@@ -2,13 +2,18 @@
 
 XML and JSON payloads are parsed with the built-in ``from_xml`` / ``from_json`` against an
 explicit schema (no inference), then exploded. Everything stays a per-row expression, so
-parsing is spread over the partitions of the landed message table.
+parsing is spread over the partitions of the landed message table. Only delay causes (N3) need the
+order of messages of different parents, which no built-in parser keeps: an Arrow UDF.
 """
 
 from __future__ import annotations
 
+import re
+from xml.etree import ElementTree
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from latewise.functions.keys import live_line_label, pad_station, strip_zeros
 from latewise.functions.timefn import iso_to_local, parse_compact_time
@@ -16,8 +21,7 @@ from latewise.operators.matching import tracked_product
 
 _SIDE = "STRUCT<_pt: STRING, _ct: STRING, _clt: STRING, _l: STRING>"
 TIMETABLE_SCHEMA = f"s ARRAY<STRUCT<_id: STRING, tl: STRUCT<_n: STRING, _c: STRING>, ar: {_SIDE}, dp: {_SIDE}>>"
-# A stop element of a timetable document as text, with everything inside it.
-STOP_TEXT = r"(?s)<s[ >][^>]*?/>|<s[ >].*?</s>"
+CAUSE = T.StructType([T.StructField("code", T.IntegerType()), T.StructField("ts", T.StringType())])
 
 
 def rejected(docs: DataFrame, col: str, schema: str, kind: str) -> DataFrame:
@@ -29,13 +33,15 @@ def rejected(docs: DataFrame, col: str, schema: str, kind: str) -> DataFrame:
     return docs.withColumn("_read", read).filter(F.col("_read").isNull() | F.col("_read._corrupt").isNotNull()).drop("_read")
 
 
-def explode_stops(docs: DataFrame, xml_col: str = "response_data", keep: tuple = ("xml_timestamp",)) -> DataFrame:
-    """``<timetable><s ...>`` documents -> one row per stop: column ``s`` and its text ``s_xml``."""
-    parsed = docs.select(*keep, F.from_xml(F.col(xml_col), TIMETABLE_SCHEMA).alias("_t"),
-                         F.regexp_extract_all(F.col(xml_col), F.lit(STOP_TEXT), F.lit(0)).alias("_x"))
-    both = F.explode(F.arrays_zip(F.col("_t.s").alias("s"), F.col("_x").alias("x")))
-    return parsed.filter(F.col("_t.s").isNotNull()).select(*keep, both.alias("_z")).select(
-        *keep, F.col("_z.s").alias("s"), F.col("_z.x").alias("s_xml")).filter(F.col("s").isNotNull())
+def explode_stops(docs: DataFrame, xml_col: str = "response_data", keep: tuple = ("xml_timestamp",), cause: str | None = None) -> DataFrame:
+    """``<timetable><s ...>`` documents -> one row per stop: column ``s`` and, where ``cause`` is
+    the rule for ties of ``latest_cause``, the stop's newest cause as column ``cause``."""
+    parsed = docs.select(*keep, F.from_xml(F.col(xml_col), TIMETABLE_SCHEMA).alias("_t"), *([stop_causes(F.col(xml_col), cause).alias("_c")] if cause else []))
+    parsed = parsed.filter(F.col("_t.s").isNotNull())
+    if not cause:
+        return parsed.select(*keep, F.explode("_t.s").alias("s")).filter(F.col("s").isNotNull())
+    both = F.explode(F.arrays_zip(F.col("_t.s").alias("s"), F.col("_c").alias("cause")))
+    return parsed.select(*keep, both.alias("_z")).select(*keep, "_z.s", "_z.cause").filter(F.col("s").isNotNull())
 
 
 def plan_messages(docs: DataFrame, keep: tuple = ("xml_timestamp",)) -> DataFrame:
@@ -50,35 +56,47 @@ def plan_messages(docs: DataFrame, keep: tuple = ("xml_timestamp",)) -> DataFram
         *keep)
 
 
-def _attribute(tag: Column, name: str) -> Column:
-    return F.regexp_extract(tag, rf"""\s{name}\s*=\s*["']([^"']*)["']""", 1)
+def _newest_cause(element: ElementTree.Element, tie: str) -> tuple[int | None, str | None]:
+    code, newest = None, None
+    for m in element.iter("m"):
+        c, ts = m.get("c", ""), m.get("ts", "")
+        if m.get("t") != "d" or not re.fullmatch("[0-9]+", c):
+            continue
+        if newest is None or ts > newest or (tie == "last" and ts == newest):
+            code, newest = int(c), ts
+    return (code if code is not None and code < 1 << 31 else None), newest
 
 
-def latest_cause(stop_xml: Column, tie: str = "first") -> Column:
-    """The cause of the newest ``t='d'`` message with a numeric code anywhere inside the
-    stop, at any depth, in document order. ``tie='first'`` keeps the first of equal timestamps
-    (batch parser), ``'last'`` the last (live path). Returns struct(code, ts)."""
-    tags = F.regexp_extract_all(stop_xml, F.lit(r"<m(?:\s[^>]*)?/?>"), F.lit(0))
-    msgs = F.transform(tags, lambda m: F.struct(_attribute(m, "t").alias("t"), _attribute(m, "c").alias("c"), _attribute(m, "ts").alias("ts")))
-    init = F.struct(F.lit(None).cast("int").alias("code"), F.lit(None).cast("string").alias("ts"))
+def stop_causes(document: Column, tie: str) -> Column:
+    """N3 for a document: an array with the newest cause (code, ts) of each of its stops, in
+    order; null for a document that is null or not XML. Messages count at any depth and in
+    document order, which no built-in parser keeps for elements of different parents: a small
+    walk over the parsed tree, sent in Arrow batches."""
+    def causes(text: str | None):
+        try:
+            return None if text is None else [_newest_cause(s, tie) for s in ElementTree.fromstring(text).findall("s")]
+        except ElementTree.ParseError:
+            return None
+    return F.udf(causes, T.ArrayType(CAUSE), useArrow=True)(document)
 
-    def step(acc, m):
-        better = (acc.ts.isNull() | (m.ts > acc.ts)) if tie == "first" else (m.ts >= F.coalesce(acc.ts, F.lit("")))
-        return F.when(better, F.struct(m.c.try_cast("int").alias("code"), m.ts.alias("ts"))).otherwise(acc)
-    return F.aggregate(F.filter(msgs, lambda m: (m.t == "d") & m.c.rlike(r"^[0-9]+$")), init, step)
+
+def latest_cause(stop_xml: Column, tie: str = "first") -> Column:
+    """The cause of the newest ``t='d'`` message with a numeric code anywhere inside one
+    stop's element. ``tie='first'`` keeps the first of equal timestamps (batch parser), ``'last'``
+    the last (live path). Returns struct(code, ts)."""
+    return F.get(stop_causes(F.concat(F.lit("<t>"), stop_xml, F.lit("</t>")), tie), F.lit(0))
 
 
 def change_messages(docs: DataFrame, tie: str = "first", keep: tuple = ("xml_timestamp",)) -> DataFrame:
     """Stops of change documents: change times, cancelled if any side carries a
     cancellation time, latest cause; stops with neither a change nor a cancellation are
     dropped."""
-    st = explode_stops(docs, keep=keep)
+    st = explode_stops(docs, keep=keep, cause=tie)
     ar_ct, dp_ct = parse_compact_time("s.ar._ct"), parse_compact_time("s.dp._ct")
     canceled = F.col("s.ar._clt").isNotNull() | F.col("s.dp._clt").isNotNull()
-    cause = latest_cause(F.col("s_xml"), tie)
     out = st.select(F.col("s._id").alias("id"), ar_ct.alias("arrival_change_time"),
                     dp_ct.alias("departure_change_time"), canceled.alias("is_canceled"),
-                    cause.code.alias("reason_code"), cause.ts.alias("reason_ts"), *keep,
+                    F.col("cause.code").alias("reason_code"), F.col("cause.ts").alias("reason_ts"), *keep,
                     F.col("s.ar._ct").alias("_a"), F.col("s.dp._ct").alias("_d"))
     return out.filter(F.col("_a").isNotNull() | F.col("_d").isNotNull() | F.col("is_canceled")).drop("_a", "_d")
 

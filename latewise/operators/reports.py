@@ -31,7 +31,7 @@ MAX_ERROR_RATE = 0.005
 def request_report(log: DataFrame, duration_s: Column) -> DataFrame:
     """Per endpoint n, nearest-rank percentiles (index ``min(n-1, int(n*p))`` of the
     sorted samples), max, errors, throughput, threshold breach; plus the total error-rate
-    breach. A hot endpoint is ordered in buckets of its values, never in one task."""
+    breach. Samples are ordered as distinct values with counts, in ranges."""
     ok = log.filter(~F.col("is_error"))
     pct = positions(ok.select("endpoint", "ms"), "ms", ["endpoint"]).groupBy("endpoint").agg(
         F.max("_n").alias("n"), F.max("ms").alias("max"), *(nearest_rank("ms", p).alias(name) for name, p in QUANTILES.items()))

@@ -77,13 +77,18 @@ def run_snapshots(payloads: DataFrame, json_col: str = "payload") -> DataFrame:
     return stops, runs
 
 
-def run_registry(board_rows: DataFrame, min_day: str) -> DataFrame:
-    """Board rows -> runs, first seen wins per (day, run key); rows without number,
-    origin or departure are skipped, days before ``min_day`` dropped."""
+def board_runs(board_rows: DataFrame, min_day: str) -> DataFrame:
+    """Board rows with day and run key; rows without number, origin or departure are skipped,
+    days before ``min_day`` dropped."""
     b = board_rows.filter(F.col("num").isNotNull() & (F.col("num") != "") & F.col("origin").isNotNull()
                           & (F.col("origin") != "") & F.col("dep_ms").isNotNull())
     b = b.withColumn("day", F.date_format(epoch_ms_to_local(F.col("dep_ms"), ROME), "yyyyMMdd")).filter(F.col("day") >= min_day)
-    b = b.withColumn("train_key", F.concat_ws("-", "origin", "num", F.col("dep_ms").cast("string")))
+    return b.withColumn("train_key", F.concat_ws("-", "origin", "num", F.col("dep_ms").cast("string")))
+
+
+def run_registry(board_rows: DataFrame, min_day: str) -> DataFrame:
+    """Board rows -> runs, first seen wins per (day, run key)."""
+    b = board_runs(board_rows, min_day)
     first = F.struct("fetch_ts", "seq", "board_id")
     return b.groupBy("day", "train_key").agg(
         F.min_by("origin", first).alias("origin"), F.min_by("num", first).alias("number"),

@@ -18,6 +18,11 @@ from latewise.operators.matching import service_day
 
 
 SERVING_ORDER = ["service_day", "train_no", "eva"]
+#: Layout of the stored files: row groups small enough that a lookup reads little, page indexes
+#: inside them (Parquet's default), and Bloom filters for lookups by a key that the order does not
+#: serve, a station alone. A Bloom filter needs plain pages, so that column has no dictionary.
+LAYOUT = {"parquet.block.size": str(8 << 20), "parquet.page.row.count.limit": "5000", "parquet.bloom.filter.enabled#eva": "true",
+          "parquet.bloom.filter.expected.ndv#eva": "4096", "parquet.enable.dictionary#eva": "false"}
 
 
 def serving_table(events: DataFrame, partitions: int | None = None) -> DataFrame:
@@ -28,7 +33,16 @@ def serving_table(events: DataFrame, partitions: int | None = None) -> DataFrame
 
 
 def write_serving(events: DataFrame, path: str, partitions: int | None = None) -> None:
-    serving_table(events, partitions).write.mode("overwrite").partitionBy("service_day").parquet(path)
+    serving_table(events, partitions).write.mode("overwrite").options(**LAYOUT).partitionBy("service_day").parquet(path)
+
+
+def lookups(spark, path: str, asked: list[tuple]) -> DataFrame:
+    """The rows of (service_day, train_no, eva) keys that a request asks for: few, as literals, so
+    that they reach the scan (folders by day, row groups and pages by train and station)."""
+    hit = F.lit(False)
+    for day, train, eva in asked:
+        hit = hit | ((F.col("service_day") == F.lit(day)) & (F.col("train_no") == F.lit(train)) & (F.col("eva") == F.lit(eva)))
+    return spark.read.parquet(path).filter(hit)
 
 
 def coverage(events: DataFrame) -> DataFrame:

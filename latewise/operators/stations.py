@@ -66,6 +66,48 @@ def geo_match(ranked: DataFrame, candidates: DataFrame, max_km: float = 2.0) ->
     return _first(j, ["pid"], [F.col("rank")]).select("pid", "stop_name", "ext_id", F.col("c_name").alias("bahn_name"))
 
 
+def _acceptable(candidates: DataFrame) -> DataFrame:
+    """J10's candidates: stations with a 7-digit '81' id, a train product and coordinates."""
+    return candidates.filter((F.col("type") == "ST") & F.col("ext_id").startswith("81") & (F.length("ext_id") == 7)
+                             & F.arrays_overlap(F.col("products"), F.array(*[F.lit(p) for p in TRAIN_PRODUCT_NAMES]))
+                             & F.col("c_lat").isNotNull() & F.col("c_lon").isNotNull())
+
+
+KM_PER_DEGREE = 111.32
+
+
+def _band_width(band: Column, height: float) -> Column:
+    """Degrees of longitude of a grid cell in a latitude band: what ``height`` degrees of latitude
+    measure at the end of the neighbouring band that is nearer to a pole."""
+    edge = F.least(F.greatest(F.abs(band - 1), F.abs(band + 2)) * height, F.lit(89.9))
+    return F.lit(height) / F.cos(F.radians(edge))
+
+
+def within_distance(points: DataFrame, places: DataFrame, max_km: float) -> DataFrame:
+    """All pairs of a point (``lat``, ``lon``) and a place (``c_lat``, ``c_lon``) less than
+    ``max_km`` apart, with ``km``. A place is filed in a grid cell whose sides measure ``max_km``
+    or more; a point asks the nine cells around it, an equi-join, and the exact distance
+    decides. Rows without a position are in no pair."""
+    height = max_km / KM_PER_DEGREE
+    band = lambda lat: F.floor(F.col(lat) / height).cast("long")
+    cell = lambda lon: F.floor(F.col(lon) / _band_width(F.col("_band"), height)).cast("long")
+    around = F.explode(F.array(*(F.lit(i) for i in (-1, 0, 1))))
+    p = (points.filter(F.col("lat").isNotNull() & F.col("lon").isNotNull()).withColumn("_step", around).withColumn("_band", band("lat") + F.col("_step"))
+         .withColumn("_step", around).withColumn("_cell", cell("lon") + F.col("_step")).drop("_step"))
+    c = places.filter(F.col("c_lat").isNotNull() & F.col("c_lon").isNotNull()).withColumn("_band", band("c_lat"))
+    c = c.withColumn("_cell", cell("c_lon"))
+    j = p.join(c, ["_band", "_cell"]).withColumn("km", geo_distance_km("lat", "lon", "c_lat", "c_lon"))
+    return j.filter(F.col("km") < max_km).drop("_band", "_cell")
+
+
+def geo_near(ranked: DataFrame, candidates: DataFrame, max_km: float = 2.0) -> DataFrame:
+    """J10 by place alone, for stations whose name no lookup answered: the nearest acceptable
+    candidate within ``max_km`` (ties: rank, id), however it is called."""
+    j = within_distance(ranked.select("pid", "stop_name", "lat", "lon"), _acceptable(candidates), max_km)
+    best = F.min(F.struct("km", "rank", "ext_id", "c_name"))
+    return j.groupBy("pid", "stop_name").agg(best.alias("b")).select("pid", "stop_name", "b.ext_id", F.col("b.c_name").alias("bahn_name"), F.round("b.km", 6).alias("km"))
+
+
 def seed_crosswalk(universe: DataFrame, existing: DataFrame, seed: DataFrame) -> DataFrame:
     """Universe codes without an entry take the seed's id (and the universe name)."""
     new = (universe.join(existing.select("code"), "code", "left_anti")

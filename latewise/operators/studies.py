@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from latewise.functions.keys import strip_zeros
-from latewise.operators.ordered import average_rank, linear_quantile, positions
+from latewise.operators.ordered import average_rank, linear_quantile, positions, ranked_values
+from latewise.session import stored
 
 
 def train_label() -> Column:
@@ -49,8 +50,13 @@ def persistence_correlation(profile: DataFrame, min_group: int = 10) -> DataFram
     groups under ``min_group`` trains dropped; all trains first, then larger groups."""
     allg = profile.withColumn("grp", F.lit("ALL"))
     per = profile.withColumn("grp", F.col("train_type"))
-    both = allg.unionByName(per)
-    both = average_rank(average_rank(both, "h1_avg", ["grp"], "r1"), "h2_avg", ["grp"], "r2")
+    both = stored(allg.unionByName(per).select("grp", "h1_avg", "h2_avg"), "groups")
+    # the ranks of both parts in one pass over their values
+    sides = both.select("grp", F.inline(F.array(*(F.struct(F.lit(c).alias("side"), F.col(c).alias("v")) for c in ("h1_avg", "h2_avg")))))
+    rank = (F.col("_before") + (F.col("_c") + 1) / 2.0).alias("r")
+    ranks = stored(ranked_values(sides, "v", ["grp", "side"]).select("grp", "side", "v", rank), "ranks")
+    for c, r in (("h1_avg", "r1"), ("h2_avg", "r2")):
+        both = both.join(ranks.filter(F.col("side") == c).select("grp", F.col("v").alias(c), F.col("r").alias(r)), ["grp", c])
     g = both.groupBy("grp").agg(F.count(F.lit(1)).alias("n"),
                                 F.corr("h1_avg", "h2_avg").alias("pearson"),
                                 F.corr("r1", "r2").alias("spearman"))
@@ -62,12 +68,14 @@ def persistence_correlation(profile: DataFrame, min_group: int = 10) -> DataFram
 def persistence_quintiles(profile: DataFrame) -> DataFrame:
     """Quintile of the first-part average's percent rank; per quintile trains,
     mean h1, mean h2, median h2 (2 decimals, half to even)."""
+    profile = stored(profile.select("h1_avg", "h2_avg"), "profile")
     r = average_rank(profile, "h1_avg", None, "r1")
     q = (F.floor(F.least(F.col("r1_pct") * 5, F.lit(4.999))) + 1).cast("int")
-    placed = positions(r.withColumn("quintile", q).select("quintile", "h1_avg", "h2_avg"), "h2_avg", ["quintile"])
-    return placed.groupBy("quintile").agg(
+    r = stored(r.select(q.alias("quintile"), "h1_avg", "h2_avg"), "quintiles")
+    median = positions(r, "h2_avg", ["quintile"]).groupBy("quintile").agg(F.bround(linear_quantile("h2_avg", 0.5), 2).alias("h2_median"))
+    return r.groupBy("quintile").agg(
         F.count(F.lit(1)).alias("trains"), F.bround(F.avg("h1_avg"), 2).alias("h1_avg"),
-        F.bround(F.avg("h2_avg"), 2).alias("h2_avg"), F.bround(linear_quantile("h2_avg", 0.5), 2).alias("h2_median"))
+        F.bround(F.avg("h2_avg"), 2).alias("h2_avg")).join(median, "quintile")
 
 
 AXIS_MAX = 12.0
@@ -104,10 +112,11 @@ def band_of(h1) -> Column:
 def violin_groups(profile: DataFrame, axis_max: float = AXIS_MAX) -> DataFrame:
     """Per band n, quartiles of h2 (linear interpolation), share of h2 over the axis."""
     b = positions(profile.withColumn("band", band_of("h1_avg")).select("band", "h2_avg"), "h2_avg", ["band"])
+    over = F.sum(F.when(F.col("h2_avg") > axis_max, F.col("_c") * 100.0).otherwise(0.0)) / F.sum("_c")
     return b.groupBy("band").agg(
-        F.count(F.lit(1)).alias("n"),
+        F.sum("_c").alias("n"),
         *(F.round(linear_quantile("h2_avg", p), 6).alias(c) for c, p in (("q1", 0.25), ("med", 0.5), ("q3", 0.75))),
-        F.round(F.avg(F.when(F.col("h2_avg") > axis_max, 100.0).otherwise(0.0)), 6).alias("pct_over"))
+        F.round(over, 6).alias("pct_over"))
 
 
 def violin_density(profile: DataFrame, axis_max: float = AXIS_MAX, step: float = 0.1,

@@ -154,7 +154,7 @@ SELECT journey_id,
 FROM (SELECT journey_id, sum(CASE WHEN NOT walking THEN 1 ELSE 0 END) AS n_train FROM legs GROUP BY journey_id)"""
 
 CTES["observations"] = """
-SELECT user_id AS obs_key, event_id AS seq, ts AS fetch_ts,
+SELECT CAST(ts + to_hours(CAST(user_id % 3 * 3 - 4 AS INTEGER)) AS DATE) AS service_day, user_id AS obs_key, event_id AS seq, ts AS fetch_ts,
   CASE WHEN event_type IN ('error', 'signup') THEN ts END AS arr_time,
   CASE WHEN event_type IN ('error', 'signup') THEN CAST(round(value) AS INTEGER) END AS arr_delay,
   CASE WHEN event_type NOT IN ('error', 'signup') THEN ts END AS dep_time,

@@ -41,7 +41,7 @@ FROM o_merged m, LATERAL (SELECT ifnull(m.departure_change_time, m.arrival_chang
                                  ifnull({minutes_sql('m.departure_planned_time', 'm.departure_change_time')},
                                         {minutes_sql('m.arrival_planned_time', 'm.arrival_change_time')}) AS late,
                                  string_split(m.id, '-') AS parts) seen
-WHERE seen.at BETWEEN {WIN_SQL[0]} AND {WIN_SQL[1]} AND seen.at <> {WIN_SQL[1]}""")
+WHERE seen.at >= {WIN_SQL[0]} AND seen.at < {WIN_SQL[1]}""")
 
 
 def de_build(fx):
@@ -119,15 +119,13 @@ COLS = ("station_name, xml_station_name, eva, train_number, line_number, final_d
         "arrival_planned_time, arrival_change_time, departure_planned_time, departure_change_time, id")
 
 
-def _branch(prefix: str, optional: bool) -> str:
-    rc = "reason_code" if optional else "CAST(NULL AS INTEGER) AS reason_code"
-    return (f"SELECT {COLS}, {rc} FROM stop_events WHERE eva LIKE '{prefix}%' "
-            f"AND time >= {M_SQL[0]} AND time < {M_SQL[1]} "
-            f"AND (arrival_planned_time IS NULL OR (arrival_planned_time >= {M_SQL[0]} AND arrival_planned_time < {M_SQL[1]}))")
-
-
-register("o_merged_countries", " UNION ALL ".join(
-    _branch(p, name == "DE") for name, p in N.SOURCES))
+# a row belongs to the window if its time and, where it has one, its planned arrival lie in it;
+# only the German source delivers causes
+register("o_countries", "SELECT * FROM (VALUES " + ", ".join(f"('{p}', '{name}')" for name, p in N.SOURCES) + ") AS c(prefix, country)")
+register("o_merged_countries", f"""
+SELECT {COLS}, CASE WHEN country = 'DE' THEN reason_code END AS reason_code
+FROM stop_events JOIN o_countries ON prefix = left(eva, 3)
+WHERE least(time, ifnull(arrival_planned_time, time)) >= {M_SQL[0]} AND greatest(time, ifnull(arrival_planned_time, time)) < {M_SQL[1]}""")
 
 
 def merged_countries(fx):
@@ -141,7 +139,7 @@ def merge_countries(spark, sf_dir):
     return merged_countries(fixture(spark, sf_dir))
 
 
-@query("country_window_filter", f"SELECT * FROM ({_branch('080', True)})")
+@query("country_window_filter", "SELECT * FROM o_merged_countries WHERE left(eva, 3) = '080'")
 def country_window_filter(spark, sf_dir):
     return N.country_window_filter(fixture(spark, sf_dir).stop_events, "080", MERGE_START, MERGE_END)
 

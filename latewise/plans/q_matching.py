@@ -60,6 +60,13 @@ query("leg_delay_stats_15", _stats_oracle(15))(_q_stats(15))
 query("leg_delay_stats_30", _stats_oracle(30))(_q_stats(30))
 
 
+@query("leg_delay_windows", "\nUNION ALL ".join(f"SELECT CAST({w} AS INTEGER) AS window_days, * FROM ({_stats_oracle(w)})" for w in (7, 15, 30)))
+def leg_delay_windows(spark, sf_dir):
+    """A8 for 7, 15 and 30 days in one scan."""
+    fx = fixture(spark, sf_dir)
+    return M.leg_delay_windows(fx.legs, fx.keyed)
+
+
 @query("leg_delay_days", f"""
 WITH ql AS ({LOOKUP_LEGS_SQL}) {_stats_sql(7)}
 SELECT journey_id, leg_idx, day, CASE WHEN is_canceled THEN NULL ELSE CAST(arr_delay AS INTEGER) END AS delay,

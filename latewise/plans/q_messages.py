@@ -26,8 +26,8 @@ def change_messages(spark, sf_dir):
 SELECT id, reason_code AS code FROM responses""")
 def latest_cause(spark, sf_dir):
     """N3 with the live tie rule over every stop of every change document."""
-    st = MS.explode_stops(landed.change_documents(fixture(spark, sf_dir).responses))
-    return st.select(F.col("s._id").alias("id"), MS.latest_cause(F.col("s_xml"), tie="last").code.alias("code"))
+    st = MS.explode_stops(landed.change_documents(fixture(spark, sf_dir).responses), cause="last")
+    return st.select(F.col("s._id").alias("id"), F.col("cause.code").alias("code"))
 
 
 @query("plan_messages", """

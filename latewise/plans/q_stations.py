@@ -131,6 +131,23 @@ def geo_match(spark, sf_dir):
     return S.geo_match(ranked(spark, sf_dir), feeds.geo_candidates(feeds.gtfs_tables(_lt(spark, sf_dir))[0]))
 
 
+@query("geo_near", """
+WITH c AS (
+  SELECT rank, '81' || x AS ext_id, CASE WHEN rank = 3 THEN CASE WHEN st % 2 = 0 THEN ['BUS'] ELSE ['REGIONAL'] END ELSE ['ICE', 'BUS'] END AS products,
+         lat + CASE WHEN rank = 4 THEN CASE WHEN st % 3 = 0 THEN 0.05 ELSE 0.005 END ELSE 0.001 END AS c_lat,
+         lon AS c_lon, trim(replace(replace(stop_name, ' Bahnhof', ''), '  Bahnhst', '')) || ' Hbf' AS c_name
+  FROM (SELECT stop_name, substr(stop_id, 2, 5) AS x, CAST(stop_lat AS DOUBLE) AS lat, CAST(stop_lon AS DOUBLE) AS lon, CAST(substr(stop_id, 5, 2) AS INTEGER) AS st
+        FROM o_gt_stops WHERE parent_station IS NULL AND starts_with(stop_id, 'P')), (VALUES (3), (4)) r(rank)),
+pairs AS (
+  SELECT g.pid, g.stop_name, c.*, sqrt(pow((c.c_lon - g.lon) * 111.32 * cos(radians((g.lat + c.c_lat) / 2)), 2) + pow((c.c_lat - g.lat) * 111.32, 2)) AS km
+  FROM o_gt_rank g, c WHERE length(ext_id) = 7 AND len(list_intersect(c.products, ['ICE', 'EC_IC', 'IR', 'REGIONAL', 'SBAHN'])) > 0)
+SELECT pid, stop_name, ext_id, c_name AS bahn_name, round(km, 6) AS km FROM pairs WHERE km < 2.0
+QUALIFY row_number() OVER (PARTITION BY pid, stop_name ORDER BY km, rank, ext_id, c_name) = 1""")
+def geo_near(spark, sf_dir):
+    """J10 by a grid join on the position alone, against all candidates."""
+    return S.geo_near(ranked(spark, sf_dir), feeds.geo_candidates(feeds.gtfs_tables(_lt(spark, sf_dir))[0]))
+
+
 @query("seed_crosswalk", "SELECT * FROM o_crosswalk")
 def seed_crosswalk(spark, sf_dir):
     lt = _lt(spark, sf_dir)

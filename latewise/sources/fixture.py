@@ -304,10 +304,12 @@ class Fixture:
     @property
     def observations(self) -> DataFrame:
         """Keyed observation rows from ``events``: key = user, sequence = event id,
-        arrival side = error/signup events, departure side = the rest."""
+        arrival side = error/signup events, departure side = the rest. The feed's service day:
+        some runs began the evening before they are polled, some begin the next morning."""
         ev = self.table("events")
         arr_side = F.col("event_type").isin("error", "signup")
         return ev.select(
+            F.to_date(F.col("ts") + F.make_dt_interval(hours=(F.col("user_id") % 3 * 3 - 4).cast("int"))).alias("service_day"),
             F.col("user_id").alias("obs_key"), F.col("event_id").alias("seq"), F.col("ts").alias("fetch_ts"),
             F.when(arr_side, F.col("ts")).alias("arr_time"),
             F.when(arr_side, F.round("value").cast("int")).alias("arr_delay"),

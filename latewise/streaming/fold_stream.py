@@ -1,11 +1,16 @@
-"""Structured Streaming form of the observation fold.
-
-Landed feed snapshots arrive as files. The state is filed by service day: a micro-batch rewrites
-only the days it touches, as ``gen=<batch id>/service_day=<day>``, and a day's state is what the
-newest complete generation has of it. A replayed batch id reads the same generations before it
-and writes the same one again, so a restart after a lost executor or driver changes nothing; the
-streaming checkpoint records which files were consumed. A day's older generations go once a newer
-pair is there, and days older than the retention go whole.
+"""Structured Streaming form of the observation fold.
+
+Landed feed snapshots arrive as files. An observation is keyed by the feed's own service day and
+its key, whenever it was polled, so a run past midnight stays one row. The state is a
+log-structured table (``sources.ledger``): a micro-batch is folded by itself and appended as one
+run of the days that it touches; readers merge a day's runs by the sequence number of each side.
+Where a day has ``FAN`` runs of one level, they are folded into one of the next level, so a row is
+rewritten once a level: what a batch writes follows the size of the batch, not that of the day.
+
+The commit of a batch carries its number. A batch that is replayed after a lost driver or executor
+finds itself committed and does nothing; the streaming checkpoint records which files were
+consumed. Rows without a service day or a key or a sequence number cannot be folded: they are
+kept apart (``rejected``). Days before the retention leave the table with the next commit.
 """
 
 from __future__ import annotations
@@ -17,14 +22,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from latewise.operators import fold
+from latewise.sources.ledger import Ledger
 
 OBS_SCHEMA = T.StructType([
+    T.StructField("service_day", T.DateType()),
     T.StructField("obs_key", T.LongType()), T.StructField("seq", T.LongType()),
     T.StructField("fetch_ts", T.TimestampNTZType()),
     T.StructField("arr_time", T.TimestampNTZType()), T.StructField("arr_delay", T.IntegerType()),
     T.StructField("dep_time", T.TimestampNTZType()), T.StructField("dep_delay", T.IntegerType()),
     T.StructField("status", T.StringType()), T.StructField("descr", T.StringType()),
 ])
+KEY = ["service_day", "obs_key"]
+#: Runs of a level that are folded into one of the next.
+FAN = 4
 
 
 def snapshot_source(spark: SparkSession, folder: str, schema: T.StructType = OBS_SCHEMA,
@@ -36,65 +46,79 @@ def snapshot_source(spark: SparkSession, folder: str, schema: T.StructType = OBS
     return r.load(folder)
 
 
-def _days(spark: SparkSession, state_dir: str, before: int | None = None) -> dict[str, list[int]]:
-    """Per service day the complete generations (``_SUCCESS`` present) that hold it, oldest
-    first; listed through the Hadoop file system so that shared storage of any scheme works."""
-    from latewise.sources.files import _jvm_fs
-    fs, p = _jvm_fs(spark, state_dir)
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    out: dict[str, list[int]] = {}
-    for st in fs.listStatus(p) if fs.exists(p) else []:
-        name = st.getPath().getName()
-        if not name.startswith("gen=") or (before is not None and int(name[4:]) >= before) or not fs.exists(path(st.getPath(), "_SUCCESS")):
-            continue
-        for day in fs.listStatus(st.getPath()):
-            if day.getPath().getName().startswith("service_day="):
-                out.setdefault(day.getPath().getName()[12:], []).append(int(name[4:]))
-    return {d: sorted(g) for d, g in sorted(out.items())}
-
-
-def latest_state(spark: SparkSession, state_dir: str, before: int | None = None, days: list[str] | None = None) -> DataFrame | None:
-    """The state (of the given days) that the generations before ``before`` add up to."""
-    newest: dict[int, list[str]] = {}
-    for day, gens in _days(spark, state_dir, before).items():
-        if days is None or day in days:
-            newest.setdefault(gens[-1], []).append(day)
-    out = None
-    for gen, own in sorted(newest.items()):
-        base = f"{state_dir}/gen={gen}"
-        df = spark.read.option("basePath", base).parquet(*(f"{base}/service_day={d}" for d in own))
-        df = df.withColumn("service_day", F.col("service_day").cast("date"))
-        out = df if out is None else out.unionByName(df)
-    return out
-
-
-def _drop(spark: SparkSession, state_dir: str, day: str, gens: list[int]) -> None:
-    from latewise.sources.files import _jvm_fs
-    for gen in gens:
-        fs, p = _jvm_fs(spark, f"{state_dir}/gen={gen}/service_day={day}")
-        fs.delete(p, True)
-
-
-def fold_batch_writer(state_dir: str, presence: str = "any", retention_days: int | None = 3, today=None):
-    """foreachBatch function: fold the micro-batch into the state of the days it touches. Days
-    before ``today - retention_days`` are dropped, rows of them are not taken up (``today``: the
-    clock's, unless given)."""
-    key = ["service_day", "obs_key"]
+def state_ledger(spark: SparkSession, state_dir: str) -> Ledger:
+    return Ledger(spark, f"{state_dir}/state")
+
+
+def rejected(spark: SparkSession, state_dir: str) -> DataFrame:
+    """The observations that no batch could fold, as they came."""
+    found = Ledger(spark, f"{state_dir}/rejected").read()
+    return spark.createDataFrame([], OBS_SCHEMA) if found is None else found
+
+
+def latest_state(spark: SparkSession, state_dir: str, days: list[str] | None = None) -> DataFrame | None:
+    """The state (of the given days): the runs of each day, merged."""
+    runs = state_ledger(spark, state_dir).read(parts=days)
+    return None if runs is None else fold.merge_sided(runs, key=KEY)
+
+
+def _foldable() -> F.Column:
+    return F.col("service_day").isNotNull() & F.col("obs_key").isNotNull() & F.col("seq").isNotNull()
+
+
+def _append_rejected(batch: DataFrame, state_dir: str, batch_id: int) -> None:
+    bad = batch.filter(~_foldable())
+    ledger = Ledger(batch.sparkSession, f"{state_dir}/rejected")
+    if ledger.snapshot().meta.get("batch", -1) < batch_id and not bad.isEmpty():
+        new = ledger.write(bad)
+        ledger.update(lambda base: ({k: base.parts.get(k, []) + v for k, v in new.items()}, {"batch": batch_id}))
+
+
+def compact(ledger: Ledger, fan: int = FAN) -> int:
+    """Fold the runs of a level, where a day has ``fan`` of them, into one of the next level, all
+    such days together; until there are none. Returns the number of rounds."""
+    rounds = 0
+    while True:
+        due: dict[str, list[tuple[str, int]]] = {}
+        base = ledger.snapshot()
+        for day, runs in base.parts.items():
+            for level in sorted({n for _, n in runs}):
+                own = [r for r in runs if r[1] == level]
+                if len(own) >= fan:
+                    due[day] = own
+                    break
+        if not due:
+            return rounds
+        for level in sorted({v[0][1] for v in due.values()}):
+            days = {d: v for d, v in due.items() if v[0][1] == level}
+            merged = fold.merge_sided(ledger.read_folders([f for v in days.values() for f, _ in v]), key=KEY)
+            new = ledger.write(merged, "service_day", level + 1)
+            ledger.update(lambda now: (now.parts | {  # noqa: B023
+                d: [r for r in now.parts[d] if r not in v] + new.get(d, []) for d, v in days.items() if d in now.parts}, None))  # noqa: B023
+        rounds += 1
+
+
+def fold_batch_writer(state_dir: str, presence: str = "any", retention_days: int | None = 3, today=None, fan: int = FAN):
+    """foreachBatch function: append the folded micro-batch. Service days before ``today -
+    retention_days`` leave the state, rows of them are not taken up (``today``: the clock's,
+    unless given)."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
+        ledger = state_ledger(batch.sparkSession, state_dir)
+        if ledger.snapshot().meta.get("batch", -1) >= batch_id:
+            return
+        _append_rejected(batch, state_dir, batch_id)
         cutoff = None if retention_days is None else (today or dt.date.today()) - dt.timedelta(days=retention_days)
-        new = fold.to_sided(batch.withColumn("service_day", F.to_date("fetch_ts")), presence=presence, key=key)
-        new = new.filter(F.col("service_day").isNotNull())
-        if cutoff:
-            new = new.filter(F.col("service_day") >= F.lit(cutoff))
-        # a batch touches few days: their names, not their rows
-        touched = sorted(r[0].isoformat() for r in new.select("service_day").distinct().collect())
-        prev = latest_state(spark, state_dir, before=batch_id, days=touched)
-        merged = fold.merge_sided(new if prev is None else prev.unionByName(new), key=key)
-        merged.write.mode("overwrite").partitionBy("service_day").parquet(f"{state_dir}/gen={batch_id}")
-        for day, gens in _days(spark, state_dir).items():
-            _drop(spark, state_dir, day, gens if cutoff and day < cutoff.isoformat() else gens[:-2])
+        rows = batch.filter(_foldable() & (F.lit(True) if cutoff is None else F.col("service_day") >= F.lit(cutoff)))
+        new = ledger.write(fold.merge_sided(fold.to_sided(rows, presence=presence, key=KEY), key=KEY), "service_day")
+
+        def change(base):
+            old = {d: v for d, v in base.parts.items() if cutoff is None or d >= cutoff.isoformat()}
+            return {d: old.get(d, []) + new.get(d, []) for d in [*old, *new]}, {"batch": batch_id}
+
+        ledger.update(change)
+        compact(ledger, fan)
+        ledger.collect()
     return write
 
 
@@ -106,4 +130,4 @@ def run_fold_stream(spark: SparkSession, source_dir: str, state_dir: str, checkp
          .option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    return fold.flatten_sided(latest_state(spark, state_dir), key=["service_day", "obs_key"])
+    return fold.flatten_sided(latest_state(spark, state_dir), key=KEY)
