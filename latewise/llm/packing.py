@@ -37,50 +37,87 @@ from latewise.llm.bpe import Encoder, Vocabulary
 from latewise.llm.common import ragged, runs, small_batches, staged
 
 #: Chunks of text (between white space) whose ids a task remembers; bytes encoded together.
-REMEMBERED, TEXT_BYTES = 200_000, 2 << 20
+REMEMBERED, TEXT_BYTES = 500_000, 2 << 20
+#: Signs that are a word of their own after letters.
+PUNCTUATION = frozenset(b"%c" % c for c in b",.;:!?)")
 #: Ranks of a length in a plan's keys.
 RANKS = 1 << 48
 
 
+class Numbers(dict):
+    """Numbers keys as they are first asked for; ``new`` lists those since it was last emptied."""
+
+    def __init__(self):
+        self.new: list = []
+
+    def __missing__(self, key):
+        self.new.append(key)
+        self[key] = number = len(self)
+        return number
+
+    def of(self, keys, n: int) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, keys), np.int64, n)
+
+
+class Lists:
+    """Many lists of ids in one array."""
+
+    def __init__(self):
+        self.starts, self.sizes, self.ids = (np.zeros(0, np.int64) for _ in range(3))
+
+    def add(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.starts = np.concatenate((self.starts, len(self.ids) + np.cumsum(sizes) - sizes))
+        self.sizes, self.ids = np.concatenate((self.sizes, sizes)), np.concatenate((self.ids, ids))
+
+    def joined(self, at: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The lists ``at`` one after the other, and the length of each group of ``counts`` lists."""
+        sizes = self.sizes[at]
+        return self.ids[ragged(self.starts[at], sizes)], totals(sizes, counts)
+
+
 class ChunkEncoder:
     """Ids of whole texts. No word crosses ASCII white space, so the chunks between it are
-    encoded one by one, and a chunk's ids are kept for the texts that follow."""
+    encoded one by one. A chunk's ids, and those of the words in it, are kept for the texts that
+    follow."""
 
     def __init__(self, vocabulary: Vocabulary):
-        self.vocabulary, self.words = vocabulary, Encoder(vocabulary)
+        self.vocabulary, self.split = vocabulary, Encoder(vocabulary).pieces
         self._forget()
 
     def _forget(self):
-        self.known: dict[bytes, int] = {}
-        self.starts, self.sizes, self.ids = (np.zeros(0, np.int64) for _ in range(3))
+        self.chunks, self.chunk_ids, self.words, self.word_ids = Numbers(), Lists(), Numbers(), Lists()
+        special = self.vocabulary.special
+        self.words.of(special, len(special))
+        self.words.new = []
+        self.word_ids.add(np.fromiter(special.values(), np.int64, len(special)), np.ones(len(special), np.int64))
+
+    def _pieces(self, chunk: bytes) -> list[str]:
+        if chunk.isalpha():  # ASCII letters only
+            return [chunk.decode().lower()]
+        if chunk[-1:] in PUNCTUATION and chunk[:-1].isalpha():
+            return [chunk[:-1].decode().lower(), chunk[-1:].decode()]
+        return self.split(chunk.decode("utf-8"))
 
     def _learn(self, chunks: list[bytes]) -> None:
-        parts = [self.words.pieces(c.decode("utf-8")) for c in chunks]
-        special = self.vocabulary.special
-        words = [w for w in set(chain.from_iterable(parts)) if w not in special]
-        ids, sizes = self.vocabulary.merge([w.encode("utf-8") for w in words])
-        at = dict(zip(chain(words, special), range(len(words) + len(special)), strict=True))
-        ids = np.concatenate((ids, np.fromiter(special.values(), np.int64, len(special))))
-        sizes = np.concatenate((sizes, np.ones(len(special), np.int64)))
-        starts = np.cumsum(sizes) - sizes
-        which = np.fromiter((at[w] for p in parts for w in p), np.int64)
-        own = totals(sizes[which], np.fromiter(map(len, parts), np.int64, len(parts)))
-        self.starts = np.concatenate((self.starts, len(self.ids) + np.cumsum(own) - own))
-        self.sizes = np.concatenate((self.sizes, own))
-        self.ids = np.concatenate((self.ids, ids[ragged(starts[which], sizes[which])]))
-        self.known.update(zip(chunks, range(len(self.known), len(self.known) + len(chunks)), strict=True))
+        parts = [self._pieces(c) for c in chunks]
+        counts = np.fromiter(map(len, parts), np.int64, len(parts))
+        at = self.words.of(chain.from_iterable(parts), int(counts.sum()))
+        if self.words.new:
+            self.word_ids.add(*self.vocabulary.merge([w.encode("utf-8") for w in self.words.new]))
+            self.words.new = []
+        self.chunk_ids.add(*self.word_ids.joined(at, counts))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in one array and how many each text has."""
-        if len(self.known) > REMEMBERED:
+        if len(self.chunks) > REMEMBERED:
             self._forget()
         split = [t.encode("utf-8").split() for t in texts]
-        new = [c for c in set(chain.from_iterable(split)) if c not in self.known]
-        if new:
-            self._learn(new)
-        at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(split)), np.int64)
-        sizes = self.sizes[at]
-        return self.ids[ragged(self.starts[at], sizes)], totals(sizes, np.fromiter(map(len, split), np.int64, len(split)))
+        counts = np.fromiter(map(len, split), np.int64, len(split))
+        at = self.chunks.of(chain.from_iterable(split), int(counts.sum()))
+        if self.chunks.new:
+            self._learn(self.chunks.new)
+            self.chunks.new = []
+        return self.chunk_ids.joined(at, counts)
 
 
 def totals(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
