@@ -152,9 +152,10 @@ def leg_delay_windows(legs: DataFrame, keyed: DataFrame, windows: tuple[int, ...
     lookup keeps a count of days by (delay, window), and the windows are read from those counts."""
     ql, cand, _, max_day = history_candidates(legs, keyed, max(windows), max_day)
     best = _closest_per_day(cand, LOOKUP_KEY, [F.col("tod_diff").asc(), F.col("h_planned").asc()])
-    starts = F.array(*(F.struct(F.lit(w).alias("window_days"), F.date_sub(max_day, w - 1).alias("window_start")) for w in sorted(windows)))
+    best = best.withColumn("window_end", max_day)
+    starts = F.array(*(F.struct(F.lit(w).alias("window_days"), F.date_sub("window_end", w - 1).alias("window_start")) for w in sorted(windows)))
     # a few windows a day: which of them hold it
-    held = best.select(*LOOKUP_KEY, "h_delay", "h_canceled", F.inline(F.filter(starts, lambda s: s["window_start"] <= F.col("h_day"))))
+    held = best.select(*LOOKUP_KEY, "h_delay", "h_canceled", "h_day", F.inline(starts)).filter(F.col("window_start") <= F.col("h_day"))
     counted = held.groupBy(*LOOKUP_KEY, "window_days", "window_start", "h_canceled", "h_delay").agg(F.count(F.lit(1)).alias("c"))
     known = F.when(~F.col("h_canceled"), F.col("h_delay"))
     stats = counted.groupBy(*LOOKUP_KEY, "window_days", "window_start").agg(
