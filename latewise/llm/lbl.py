@@ -8,10 +8,11 @@ each place of the context has a diagonal matrix, the prediction is the sum of th
 of the context's outputs, and an output's logit is its product with the output's vector plus a
 bias. It is trained in numpy by noise-contrastive estimation on all training texts, as a Spark
 job of ``ROUNDS`` rounds: each partition goes on from the broadcast parameters over its own texts,
-and the driver averages what the partitions come to, by their tokens. No text leaves its
-partition. A corpus of over ``PASS_BYTES`` is gone through once, a part of every partition in each
-round, a smaller one in every round. The model is normalised over all outputs when it scores, in
-batched matrix products. A word has its share of its class by the counts of
+and the driver averages what the partitions come to, by their tokens. A round leaves out one in
+``ROUNDS`` of a partition's blocks of tokens, another one each time, so at every size each text is
+learnt ``ROUNDS - 1`` times. Texts are read twice, once to count and once to turn them into
+outputs, which are staged: rounds and scoring read those. The model is normalised over all outputs
+when it scores, in batched matrix products. A word has its share of its class by the counts of
 the whole corpus: (c + 0.5) / (n + 0.5 (v + 1)), n tokens and v distinct words in the class; so
 the probabilities of all words, with one unseen for each class, add up to one.
 
@@ -19,8 +20,9 @@ The base score is that of the counts alone. Counts of the ``HEAD`` most common w
 tasks (their number is fixed); the other words of each text are joined with their counts. Words
 are told apart by 64-bit hashes.
 
-Every text is scored whole; the context starts anew after a megabyte of a text. A null text counts
-as empty: its only token is the end. Equal texts score alike; repeated rows give a result each.
+Every text is scored whole, each token with the ones before it in the text. Partitions are what
+Spark makes of the staged table, so two clusters may come to slightly different parameters. A null
+text counts as empty: its only token is the end. Equal texts score alike; repeated rows give a result each.
 Without training texts all counts are zero and the outputs equally likely.
 """
 
@@ -33,17 +35,17 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, IntegerType, LongType, StructField, StructType
 
-from latewise.llm.common import PIECE_BYTES, _piece_words, cut, mix, runs, small_batches, staged, text_bytes
+from latewise.llm.common import PIECE_BYTES, _piece_words, cut, mix, runs, small_batches, staged
 from latewise.llm.toxicity import held_out
 
 CLASSES, OUTPUTS, CONTEXT, DIMENSIONS = 64, 128, 5, 24
 HEAD = 65_536
 #: Passes over texts in memory; tokens and noise of a step; Adam's rate at the start.
 PASSES, STEP, NOISE, RATE = 3, 1024, 48, 0.02
-#: Rounds of the job; bytes of text above which they share one pass, and of a partition at least about.
-ROUNDS, PASS_BYTES, PART_BYTES = 3, 32 << 20, 8 << 20
+#: Rounds of the job; tokens that are learnt together, and of a partition at least about.
+ROUNDS, LEARNT, PART_TOKENS = 3, 1 << 17, 1 << 20
 #: Tasks that add up the partitions' parameters.
 ADDERS = 16
 #: Tokens whose outputs are normalised together.
@@ -147,12 +149,13 @@ class LogBilinear:
         return ((self.context * self.places[:, None]).astype(np.float32), np.ascontiguousarray(self.vectors.T.astype(np.float32)), self.bias.astype(np.float32))
 
 
-def windows(tokens: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """The ``CONTEXT`` outputs before each token, nearest first; ``start``: where its text starts."""
-    out = np.full((len(tokens), CONTEXT), BEFORE, np.int64)
-    place = np.arange(len(tokens))
+def windows(tokens: np.ndarray, start: np.ndarray, a: int = 0, b: int | None = None) -> np.ndarray:
+    """The ``CONTEXT`` outputs before each of the tokens from ``a`` to ``b``, nearest first;
+    ``start``: where each token's text starts."""
+    place = np.arange(a, len(tokens) if b is None else min(b, len(tokens)))
+    out, first = np.full((len(place), CONTEXT), BEFORE, np.int64), start[a:a + len(place)]
     for k in range(1, CONTEXT + 1):
-        inside = place - k >= start
+        inside = place - k >= first
         out[inside, k - 1] = tokens[place[inside] - k]
     return out
 
@@ -160,9 +163,9 @@ def windows(tokens: np.ndarray, start: np.ndarray) -> np.ndarray:
 def log_probabilities(tables, tokens: np.ndarray, start: np.ndarray) -> np.ndarray:
     """Natural log of the normalised probability of each output given those before it."""
     places, vectors, bias = tables
-    before, out = windows(tokens, start), np.empty(len(tokens))
+    out = np.empty(len(tokens))
     for at in range(0, len(tokens), BLOCK):
-        c = before[at: at + BLOCK]
+        c = windows(tokens, start, at, at + BLOCK)
         guess = places[0][c[:, 0]]
         for k in range(1, CONTEXT):
             guess = guess + places[k][c[:, k]]
@@ -173,23 +176,23 @@ def log_probabilities(tables, tokens: np.ndarray, start: np.ndarray) -> np.ndarr
     return out
 
 
-def _ended(which: np.ndarray, output: np.ndarray, last: np.ndarray, i: int, n_blocks: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(output, text, where its text starts) of block ``i``; the end follows the last word of a text."""
-    close = np.flatnonzero(last == i) if i + 1 < n_blocks else np.flatnonzero((last == i) | (last < 0))
-    seq, text = np.concatenate((output, np.full(len(close), END))), np.concatenate((which, close))
-    order = np.argsort(text, kind="stable")
-    seq, text = seq[order], text[order]
-    first = np.flatnonzero(np.concatenate(([True], text[1:] != text[:-1]))) if len(text) else np.zeros(0, np.int64)
-    return seq, text, np.repeat(first, np.diff(np.append(first, len(text))))
+def flat_outputs(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The outputs of a batch of texts in one array, where the text of each starts, and how many
+    each text has (one byte an output)."""
+    column = column.cast(pa.binary())
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset:column.offset + len(column) + 1].astype(np.int64)
+    tokens = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0]:offsets[-1]].astype(np.int64)
+    counts = np.diff(offsets)
+    return tokens, np.repeat(offsets[:-1] - offsets[0], counts), counts
 
 
-def trained(texts: DataFrame, model: Model, size: int) -> LogBilinear:
-    """The log-bilinear model of all ``texts`` (column ``text``, ``size`` bytes in all)."""
-    spark = texts.sparkSession
+def trained(outputs: DataFrame, model: Model) -> LogBilinear:
+    """The log-bilinear model of all staged texts (column ``outputs``)."""
+    spark = outputs.sparkSession
     lbl = LogBilinear([], model.seen)
     if not model.n_ends:
         return lbl
-    parts, whole = texts.coalesce(max(1, math.ceil(size / PART_BYTES))), size <= PASS_BYTES
+    parts = outputs.coalesce(max(1, math.ceil(model.n_tokens / PART_TOKENS)))
     schema = "weight double, flat array<double>"
 
     def add(rows):
@@ -204,21 +207,25 @@ def trained(texts: DataFrame, model: Model, size: int) -> LogBilinear:
         return add((w, np.array(f)) for b in batches for w, f in zip(b.column("weight").to_pylist(), b.column("flat").to_pylist(), strict=True))
 
     for number in range(ROUNDS):
-        sent = spark.sparkContext.broadcast((model, lbl.flat()))
+        sent = spark.sparkContext.broadcast((model.seen, lbl.flat()))
 
         def work(batches, sent=sent, number=number):
-            model, flat = sent.value
-            own, rng = LogBilinear([], model.seen), np.random.default_rng([number, TaskContext.get().partitionId()])
+            seen, flat = sent.value
+            own, rng = LogBilinear([], seen), np.random.default_rng([number, TaskContext.get().partitionId()])
             own.put(flat)
-            tokens = block = 0
+            learnt = block = 0
             rate = RATE * (1 - number / ROUNDS)
             for b in batches:
-                for seq, start in model.sequences(b.column("text").to_pylist()):
+                if not b.num_rows:
+                    continue
+                tokens, start, _ = flat_outputs(b.column("outputs"))
+                for at in range(0, len(tokens), LEARNT):
                     block += 1
-                    if whole or block % ROUNDS == number:
-                        own.learn(windows(seq, start), seq, rng, lambda step: rate)
-                        tokens += len(seq)
-            return add([(float(tokens), own.flat())])
+                    if block % ROUNDS != number:
+                        target = tokens[at:at + LEARNT]
+                        own.learn(windows(tokens, start, at, at + LEARNT), target, rng, lambda step: rate)
+                        learnt += len(target)
+            return add([(float(learnt), own.flat())])
 
         got = parts.mapInArrow(work, schema).repartition(ADDERS).mapInArrow(add_up, schema).collect()
         sent.unpersist()
@@ -258,36 +265,21 @@ class Model:
         hit = self.head[at] == h
         return np.where(hit, self.head_output[at], END + 1 + kind), np.where(hit, self.head_n[at], -1)
 
-    def sequences(self, texts: list[str | None]):
-        """(outputs, where their texts start) of about a megabyte of texts at a time, each text
-        with its end."""
-        n, blocks = len(texts), list(token_blocks(texts))
-        last = np.full(n, -1)
-        for i, (which, _, _) in enumerate(blocks):
-            last[which] = i
-        for i, (which, h, kind) in enumerate(blocks):
-            seq, _, start = _ended(which, self.look_up(h, kind)[0], last, i, len(blocks))
-            yield seq, start
-
-    def score(self, texts: list[str | None]):
-        """For each text: tokens, known ones, base and model score without its rare words; and
-        (text, hash, number) of its rare words."""
+    def read(self, texts: list[str | None]):
+        """For each text: tokens, known ones, base score and log of the words' shares of their
+        classes, both without its rare words; (text, hash, number) of its rare words; and all
+        outputs, one byte each, every text with its end."""
         n = len(texts)
-        tokens, known, base, score = np.ones(n, np.int64), np.full(n, int(self.n_ends > 0)), np.full(n, np.log10(self.n_ends + 0.5)), np.zeros(n)
-        rare = []
-        blocks = list(token_blocks(texts))
-        last = np.full(n, -1)
-        for i, (which, _, _) in enumerate(blocks):
-            last[which] = i
-        for i, (which, h, kind) in enumerate(blocks):
+        tokens, known, base, share = np.ones(n, np.int64), np.full(n, int(self.n_ends > 0)), np.full(n, np.log10(self.n_ends + 0.5)), np.zeros(n)
+        rare, outputs = [], [np.zeros(0, np.uint8)]
+        for which, h, kind in token_blocks(texts):
             output, count = self.look_up(h, kind)
             tokens += np.bincount(which, minlength=n)
             known += np.bincount(which[count > 0], minlength=n)
             log = np.where(count >= 0, np.log10(np.maximum(count, 0) + 0.5), 0.0)
             base += np.bincount(which, log, n)
-            score += np.bincount(which, np.where(output > END, log - self.kind_log[np.maximum(output - END - 1, 0)], 0.0), n)
-            seq, text, start = _ended(which, output, last, i, len(blocks))
-            score += np.bincount(text, log_probabilities(self.tables, seq, start), n) / np.log(10)
+            share += np.bincount(which, np.where(output > END, log - self.kind_log[np.maximum(output - END - 1, 0)], 0.0), n)
+            outputs.append(output.astype(np.uint8))
             rare.append((which[count < 0], h[count < 0]))
         base -= tokens * np.log10(self.n_tokens + 0.5 * (self.n_types + 1))
         which, h = (np.concatenate(x) for x in zip(*rare, strict=True)) if rare else (np.zeros(0, np.int64), np.zeros(0, np.int64))
@@ -295,52 +287,77 @@ class Model:
         which, h = which[order], h[order]
         new = np.concatenate(([True], (which[1:] != which[:-1]) | (h[1:] != h[:-1]))) if len(which) else np.zeros(0, bool)
         first = np.flatnonzero(new)
-        return tokens, known, base, score, which[first], h[first], np.diff(np.append(first, len(which)))
+        ended = np.insert(np.concatenate(outputs), np.cumsum(tokens - 1), END)
+        return tokens, known, base, share, which[first], h[first], np.diff(np.append(first, len(which))), ended
 
 
-def fit(docs: DataFrame, learn: Column, doc_id: str, text: str) -> tuple[Model, DataFrame]:
-    """The model, and the table of all counts."""
-    train = docs.where(learn).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+def counted(train: DataFrame) -> tuple[Model, DataFrame]:
+    """What counts alone tell (the model's vectors are those it starts with), and all counts."""
     table = staged(counts(train), "counts")
     kinds = table.groupBy("kind").agg(F.sum("n"), F.count("*")).collect()
     kind_n, kind_v = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
     for k, n, v in kinds:
         kind_n[k], kind_v[k] = n, v
     head = table.orderBy(F.desc("n"), "h").limit(HEAD).toArrow()
-    model = Model(head["h"].to_numpy(), head["kind"].to_numpy().astype(np.int64), head["n"].to_numpy(), kind_n, kind_v, train.count())
-    model.tables = trained(train.select("text"), model, text_bytes(train)).tables()
-    return model, table
+    return Model(head["h"].to_numpy(), head["kind"].to_numpy().astype(np.int64), head["n"].to_numpy(), kind_n, kind_v, train.count()), table
 
 
-def scores(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of every whole text: base-10
-    logs of its probability by the counts and by the model."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    model, table = fit(docs, learn, doc_id, text)
-    sent = spark.sparkContext.broadcast(model)
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    schema = StructType([rows.schema["doc_id"], StructField("n_tokens", LongType()), StructField("n_known", LongType()), StructField("base", DoubleType()),
-                         StructField("own", DoubleType()), StructField("rare", ArrayType(LongType())), StructField("times", ArrayType(IntegerType()))])
+def read_texts(rows: DataFrame, model: Model) -> DataFrame:
+    """``rows`` (doc_id, text, learn) as outputs, with what the counts say of them; staged."""
+    sent = rows.sparkSession.sparkContext.broadcast(model)
+    schema = StructType([rows.schema["doc_id"], rows.schema["learn"], StructField("n_tokens", LongType()), StructField("n_known", LongType()),
+                         StructField("base", DoubleType()), StructField("share", DoubleType()), StructField("rare", ArrayType(LongType())),
+                         StructField("times", ArrayType(IntegerType())), StructField("outputs", BinaryType())])
 
     def work(batches):
         for b in batches:
             texts = b.column("text").to_pylist()
             if not texts:
                 continue
-            tokens, known, base, own, which, h, times = sent.value.score(texts)
+            tokens, known, base, share, which, h, times, outputs = sent.value.read(texts)
             offsets = pa.array(np.searchsorted(which, np.arange(len(texts) + 1)), pa.int32())
+            data, ends = outputs.tobytes(), np.concatenate(([0], np.cumsum(tokens))).tolist()
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(tokens), pa.array(known), pa.array(base), pa.array(own), pa.ListArray.from_arrays(offsets, pa.array(h)),
-                 pa.ListArray.from_arrays(offsets, pa.array(times, pa.int32()))], names=["doc_id", "n_tokens", "n_known", "base", "own", "rare", "times"])
+                [b.column("doc_id"), b.column("learn"), pa.array(tokens), pa.array(known), pa.array(base), pa.array(share),
+                 pa.ListArray.from_arrays(offsets, pa.array(h)), pa.ListArray.from_arrays(offsets, pa.array(times, pa.int32())),
+                 pa.array([data[x:y] for x, y in zip(ends, ends[1:], strict=False)], pa.binary())], names=schema.names)
+
+    return staged(rows.mapInArrow(work, schema).withColumn("row", F.monotonically_increasing_id()), "outputs")
+
+
+def fit(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "text") -> tuple[Model, DataFrame, DataFrame]:
+    """The model, the table of all counts, and all texts as ``read_texts`` stages them."""
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
+    model, table = counted(rows.where("learn"))
+    part = read_texts(rows, model)
+    model.tables = trained(part.where("learn").select("outputs"), model).tables()
+    return model, table, part
+
+
+def scores(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of every whole text: base-10
+    logs of its probability by the counts and by the model."""
+    small_batches(docs.sparkSession)
+    model, table, part = fit(docs, learn, doc_id, text)
+    sent = docs.sparkSession.sparkContext.broadcast(model.tables)
+    own = part.select("doc_id", "n_tokens", "n_known", "base", "share", "row", "outputs")
+    schema = StructType([*(own.schema[c] for c in own.columns[:-1]), StructField("own", DoubleType())])
+
+    def work(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            tokens, start, counts = flat_outputs(b.column("outputs"))
+            text = np.repeat(np.arange(len(counts)), counts)
+            log = np.bincount(text, log_probabilities(sent.value, tokens, start), len(counts)) / np.log(10)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in schema.names[:-1]), pa.array(log + b.column("share").to_numpy())], names=schema.names)
 
-    part = staged(rows.mapInArrow(work, schema).withColumn("row", F.monotonically_increasing_id()), "scores")
     rare = part.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("h"), F.col("x.times").alias("times"))
     c = F.coalesce(F.col("n"), F.lit(0))
     sums = (rare.join(table.select("h", "n"), "h", "left").groupBy("row")
             .agg(F.sum(F.col("times") * F.log10(c + F.lit(0.5))).alias("rare_log"), F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("rare_known")))
     log = F.coalesce("rare_log", F.lit(0.0))
-    return part.join(sums, "row", "left").select(
+    return own.mapInArrow(work, schema).join(sums, "row", "left").select(
         "doc_id", "n_tokens", (F.col("n_known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"), F.lit(model.n_tokens).cast("long").alias("train_tokens"),
         (F.col("base") + log).alias("base_score"), (F.col("own") + log).alias("score"))
 

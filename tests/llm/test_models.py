@@ -255,14 +255,42 @@ def test_lm_is_normalised_and_beats_counts(spark, monkeypatch):
     assert math.exp(last[-1]) > 0.5
 
 
-def test_lm_trains_on_all_texts(spark, monkeypatch):
+def test_lm_trains_on_all_texts(spark):
     """Two long texts whose ids a sample by a hash of ids leaves out."""
-    monkeypatch.setattr(lbl, "PASS_BYTES", 1 << 14)
     ids = [r.id for r in spark.range(1000).where("pmod(xxhash64(id), 1 << 20) > 0.95 * (1 << 20)").limit(2).collect()]
     docs = spark.createDataFrame(list(zip(ids, ["alpha beta gamma " * 240_000, "delta omega sigma " * 240_000], strict=True)), "doc_id long, text string")
-    model, _ = lbl.fit(docs.repartition(2), F.lit(True), "doc_id", "text")
+    model, _, _ = lbl.fit(docs.repartition(2), F.lit(True), "doc_id", "text")
     for words_ in ("alpha beta gamma", "delta omega sigma"):
         (_, h, kind), = lbl.token_blocks([words_])
         out = model.look_up(h, kind)[0]
         p = lbl.log_probabilities(model.tables, np.tile(out, 4), np.zeros(12, np.int64))
         assert np.exp(p[6:]).mean() > 0.4
+
+
+def test_lm_score_token_by_token(spark, odd, monkeypatch):
+    """The score of a text from its words one by one, across the bounds of blocks."""
+    docs = odd.select("doc_id", "text")
+    monkeypatch.setattr(lbl, "BLOCK", 7)
+    learn = F.coalesce(F.col("doc_id") != 6, F.lit(True))
+    model, table, part = lbl.fit(docs, learn)
+    n = {r.h: r.n for r in table.collect()}
+    context, vectors, bias = (x.astype(np.float64) for x in model.tables)
+    got = {r.doc_id: bytes(r.outputs) for r in part.collect()}
+    for i, t, *_ in ROWS:
+        if i in (None, 8):
+            continue
+        blocks = list(lbl.token_blocks([t]))
+        h, kind = (np.concatenate([b[j] for b in blocks]) for j in (1, 2))
+        seq = [*model.look_up(h, kind)[0].tolist(), lbl.END]
+        assert got[i] == bytes(seq)
+        total = 0.0
+        for at, x in enumerate(seq):
+            guess = sum(context[k][seq[at - k - 1] if at > k else lbl.BEFORE] for k in range(lbl.CONTEXT))
+            logit = guess @ vectors + bias
+            total += (logit[x] - np.log(np.exp(logit - logit.max()).sum()) - logit.max()) / np.log(10)
+            if x > lbl.END:
+                total += math.log10(n.get(int(h[at]), 0) + 0.5) - model.kind_log[x - lbl.END - 1]
+        flat, start, _ = lbl.flat_outputs(__import__("pyarrow").array([got[i]]))
+        own = lbl.log_probabilities(model.tables, flat, start).sum() / np.log(10)
+        share = sum(math.log10(n.get(int(w), 0) + 0.5) - model.kind_log[x - lbl.END - 1] for w, x in zip(h, seq, strict=False) if x > lbl.END)
+        assert own + share == pytest.approx(total, rel=1e-4)
