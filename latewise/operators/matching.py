@@ -155,15 +155,15 @@ def leg_delay_windows(legs: DataFrame, keyed: DataFrame, windows: tuple[int, ...
     best = best.withColumn("window_end", max_day)
     starts = F.array(*(F.struct(F.lit(w).alias("window_days"), F.date_sub("window_end", w - 1).alias("window_start")) for w in sorted(windows)))
     # a few windows a day: which of them hold it
-    held = best.select(*LOOKUP_KEY, "h_delay", "h_canceled", "h_day", F.inline(starts)).filter(F.col("window_start") <= F.col("h_day"))
-    counted = held.groupBy(*LOOKUP_KEY, "window_days", "window_start", "h_canceled", "h_delay").agg(F.count(F.lit(1)).alias("c"))
+    held = best.select(*LOOKUP_KEY, "h_delay", "h_canceled", "h_day", "window_end", F.inline(starts)).filter(F.col("window_start") <= F.col("h_day"))
+    window = ["window_days", "window_start", "window_end"]
+    counted = held.groupBy(*LOOKUP_KEY, *window, "h_canceled", "h_delay").agg(F.count(F.lit(1)).alias("c"))
     known = F.when(~F.col("h_canceled"), F.col("h_delay"))
-    stats = counted.groupBy(*LOOKUP_KEY, "window_days", "window_start").agg(
+    stats = counted.groupBy(*LOOKUP_KEY, *window).agg(
         F.bround(F.percentile(known, F.lit(0.5), F.col("c")), 1).alias("median_delay"), F.max(known).alias("max_delay"),
         F.sum("c").alias("days_matched"), F.sum(F.when(F.col("h_canceled"), F.col("c")).otherwise(0)).alias("canceled_days"))
     return ql.join(stats, LOOKUP_KEY).select(
-        "journey_id", "leg_idx", "window_days", "median_delay", "max_delay", "days_matched", "canceled_days", "window_start",
-        max_day.alias("window_end"))
+        "journey_id", "leg_idx", "window_days", "median_delay", "max_delay", "days_matched", "canceled_days", "window_start", "window_end")
 
 
 def leg_on_date(legs: DataFrame, keyed: DataFrame, side: str = "arrival",

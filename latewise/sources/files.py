@@ -116,11 +116,14 @@ def _pointers(spark: SparkSession, table: str) -> list[tuple[int, object]]:
 def current_generation(spark: SparkSession, table: str) -> str | None:
     """Path of the table's current generation: what its newest pointer file names."""
     found = _pointers(spark, table)
-    if not found:
-        return None
+    return _named(spark, table, found[-1][1]) if found else None
+
+
+def _named(spark: SparkSession, table: str, pointer) -> str | None:
+    """The generation that a pointer file names."""
     fs, _ = _jvm_fs(spark, table)
     jvm = spark.sparkContext._jvm
-    reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(fs.open(found[-1][1]), "UTF-8"))
+    reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(fs.open(pointer), "UTF-8"))
     try:
         line = reader.readLine()
     finally:
@@ -138,7 +141,8 @@ def read_table(spark: SparkSession, table: str) -> DataFrame:
 def _switch(spark: SparkSession, table: str, gen: str) -> None:
     """Point the table at ``gen``: a pointer file with the next number is written aside and
     renamed into place. The pointer before stays until the new one is there, so a reader, or a
-    crash at any step, finds a complete table; older pointers are dropped afterwards."""
+    crash at any step, finds a complete table; older pointers, and the generations that they name,
+    are dropped afterwards."""
     fs, _ = _jvm_fs(spark, table)
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     before = _pointers(spark, table)
@@ -149,7 +153,10 @@ def _switch(spark: SparkSession, table: str, gen: str) -> None:
     if not fs.rename(tmp, path(f"{table}/_CURRENT.{before[-1][0] + 1 if before else 0}")):
         raise RuntimeError(f"{table}: another writer switched it meanwhile")
     for _, old in before[:-1]:
+        dead = _named(spark, table, old)
         fs.delete(old, False)
+        if dead:
+            fs.delete(path(dead), True)
 
 
 def table_sink(df: DataFrame, table: str, check=None, partition_by: Sequence[str] = ()) -> str:
