@@ -37,12 +37,14 @@ def shares(sizes: dict[int, list[tuple[int, int, int]]], rows: dict[int, int], m
 def sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, rows: dict[int, int], max_bytes: int,
            doc_id: str = "doc_id", text: str = "text") -> dict[int, list[str]]:
     """Distinct whole texts of each class for fitting a classifier: about ``rows[c]`` of class c,
-    and about ``max_bytes`` of text in all (see ``shares``), picked by a hash of their ids. These
-    bounds hold for any input, so the sample may go to the driver. Nothing else reads labels."""
+    and about ``max_bytes`` of text in all (see ``shares``), picked by a hash of id and text, so that
+    the many texts of a repeated id are each picked for themselves. These bounds hold for any
+    input, so the sample may go to the driver. Nothing else reads labels."""
     marked = labels.select(F.col(doc_id).alias("__id"), F.col(label).cast("int").alias("__label")).where(F.col("__label").isin(*rows)).distinct()
     usable = docs.where(learn & F.col(text).isNotNull())
-    found = staged(usable.select(F.col(doc_id).alias("__id"), F.octet_length(text).alias("__bytes")).join(marked, "__id")
-                   .withColumn("__mix", F.pmod(F.xxhash64("__id"), F.lit(1 << 20))).withColumn("__size", F.length(F.bin("__bytes"))), "labelled")
+    row = [F.col(doc_id).alias("__id"), F.xxhash64(F.col(doc_id), F.col(text)).alias("__hash")]
+    found = staged(usable.select(*row, F.octet_length(text).alias("__bytes")).join(marked, "__id")
+                   .withColumn("__mix", F.pmod("__hash", F.lit(1 << 20))).withColumn("__size", F.length(F.bin("__bytes"))), "labelled")
     sizes: dict[int, list[tuple[int, int, int]]] = {}
     for r in found.groupBy("__label", "__size").agg(F.count("*"), F.sum("__bytes")).collect():
         sizes.setdefault(r[0], []).append((r[1], r[2], r[3]))
@@ -50,9 +52,9 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, rows:
     if not share:
         return {c: [] for c in rows}
     limit = F.create_map(*(F.lit(x) for (c, m), s in share.items() for x in (c * 64 + m, s * (1 << 20))))
-    picked = found.where(F.col("__mix") < F.element_at(limit, F.col("__label") * 64 + F.col("__size"))).select("__id", "__label").distinct()
-    # about sum(rows.values()) ids: the texts stay where they are
-    got = (usable.select(F.col(doc_id).alias("__id"), F.col(text).alias("text")).join(F.broadcast(picked), "__id")
+    picked = found.where(F.col("__mix") < F.element_at(limit, F.col("__label") * 64 + F.col("__size"))).select("__id", "__hash", "__label").distinct()
+    # about sum(rows.values()) keys: the texts stay where they are
+    got = (usable.select(*row, F.col(text).alias("text")).join(F.broadcast(picked), ["__id", "__hash"])
            .select("__label", "text").distinct().toArrow())
     out: dict[int, list[str]] = {c: [] for c in rows}
     for c, t in zip(got["__label"].to_pylist(), got["text"].to_pylist(), strict=True):

@@ -7,7 +7,7 @@ by buckets, whose size is fixed by ``BUCKETS`` and ``MAX_LANGUAGES``, goes to al
 of texts is scored as a sparse matrix (a row a text, its n-grams' columns) times that matrix.
 
 The classifier is fitted on at most about ``PER_LANGUAGE`` whole texts of each language, picked
-by a hash of their ids; every text is predicted whole.
+by a hash of id and text; every text is predicted whole.
 
 A text that is null or without letters is ``und`` with score 0, as is every text when there is
 nothing to learn from. Training rows need a text and a language. Equal texts score alike, ties go
@@ -106,7 +106,7 @@ def fit(docs: DataFrame, learn: Column, doc_id: str, text: str, lang: str) -> Mo
     if not counts:
         return Model([], [], np.zeros((0, BUCKETS)))
     share = F.create_map(*(F.lit(x) for name, n in counts for x in (name, min(1.0, PER_LANGUAGE / n))))
-    picked = rows.where(F.pmod(F.xxhash64(doc_id), F.lit(1_000_000)) < F.element_at(share, F.col(lang).cast("string")) * 1_000_000)
+    picked = rows.where(F.pmod(F.xxhash64(F.col(doc_id), F.col(text)), F.lit(1_000_000)) < F.element_at(share, F.col(lang).cast("string")) * 1_000_000)
     index = F.array_position(F.array(*(F.lit(name) for name, _ in counts)), F.col(lang).cast("string")).cast("int") - 1
 
     def count(batches):

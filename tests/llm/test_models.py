@@ -294,3 +294,13 @@ def test_lm_score_token_by_token(spark, odd, monkeypatch):
         own = lbl.log_probabilities(model.tables, flat, start).sum() / np.log(10)
         share = sum(math.log10(n.get(int(w), 0) + 0.5) - model.kind_log[x - lbl.END - 1] for w, x in zip(h, seq, strict=False) if x > lbl.END)
         assert own + share == pytest.approx(total, rel=1e-4)
+
+
+def test_sample_of_an_id_that_many_rows_share(spark):
+    """The bounds hold, and neither class is starved by the one id."""
+    rows = [(1, f"text number {i} " + "x" * 500) for i in range(5000)] + [(10 + i, f"other {i}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(1, 1)] + [(10 + i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    got = labelled.sample(docs, labels, "toxic", F.lit(True), {0: 50, 1: 50}, 1 << 20)
+    assert 25 <= len(got[1]) <= 90 and len(got[0]) == 30 and sum(len(t) for x in got.values() for t in x) < 1 << 20
+    assert len(set(got[1])) == len(got[1])
