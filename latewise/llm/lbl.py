@@ -48,8 +48,9 @@ PASSES, STEP, NOISE, RATE = 3, 1024, 48, 0.02
 ROUNDS, LEARNT, PART_TOKENS = 3, 1 << 17, 1 << 20
 #: Tasks that add up the partitions' parameters.
 ADDERS = 16
-#: Tokens whose outputs are normalised together.
-BLOCK = 4096
+#: Tokens whose outputs are normalised together; rows that are multiplied at a time, few enough for
+#: the linear algebra library not to start threads, which would wait for each other on busy cores.
+BLOCK, GROUP = 4096, 32
 #: Output of the end, and what stands for the place before a text.
 END, BEFORE = OUTPUTS - CLASSES - 1, OUTPUTS
 
@@ -80,6 +81,21 @@ def counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(work, "h long, kind int, n long").groupBy("h").agg(F.first("kind").alias("kind"), F.sum("n").alias("n"))
 
 
+def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``a @ b`` by groups of rows of ``a``."""
+    out, n = np.empty((len(a), b.shape[1]), np.result_type(a, b)), len(a) // GROUP * GROUP
+    np.matmul(a[:n].reshape(-1, GROUP, a.shape[1]), b, out=out[:n].reshape(-1, GROUP, b.shape[1]))
+    np.matmul(a[n:], b, out=out[n:])
+    return out
+
+
+def crossed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``a.T @ b`` by groups of rows of both."""
+    n = len(a) // GROUP * GROUP
+    groups = np.matmul(a[:n].reshape(-1, GROUP, a.shape[1]).transpose(0, 2, 1), b[:n].reshape(-1, GROUP, b.shape[1]))
+    return groups.sum(0) + a[n:].T @ b[n:]
+
+
 class LogBilinear:
     """Vectors and biases over the outputs, trained by noise-contrastive estimation."""
 
@@ -126,17 +142,17 @@ class LogBilinear:
             inputs = [self.context[c[:, k]] for k in range(CONTEXT)]
             guess = sum(x * p for x, p in zip(inputs, self.places, strict=True))
             true = 1 / (1 + np.exp(-((guess * self.vectors[t]).sum(1) + self.bias[t] - log_noise[t]))) - 1
-            wrong = 1 / (1 + np.exp(-(guess @ self.vectors[false].T + self.bias[false] - log_noise[false])))
+            wrong = 1 / (1 + np.exp(-(product(guess, self.vectors[false].T) + self.bias[false] - log_noise[false])))
             at_true, at_false = np.zeros((len(own), OUTPUTS), np.float32), np.zeros((NOISE, OUTPUTS), np.float32)
             at_true[np.arange(len(own)), t] = true
             at_false[np.arange(NOISE), false] = 1
-            error = (at_true + wrong @ at_false) / np.float32(len(own))
-            back = error @ self.vectors
-            slopes = [np.zeros_like(self.context), np.array([(back * x).sum(0) for x in inputs]), error.T @ guess, error.sum(0)]
+            error = (at_true + product(wrong, at_false)) / np.float32(len(own))
+            back = product(error, self.vectors)
+            slopes = [np.zeros_like(self.context), np.array([(back * x).sum(0) for x in inputs]), crossed(error, guess), error.sum(0)]
             for k in range(CONTEXT):
                 hot = np.zeros((len(own), OUTPUTS + 1), np.float32)
                 hot[np.arange(len(own)), c[:, k]] = 1
-                slopes[0] += hot.T @ (back * self.places[k])
+                slopes[0] += crossed(hot, back * self.places[k])
             self.step += 1
             now = rate(self.step)
             for i, g in enumerate(slopes):
@@ -169,7 +185,7 @@ def log_probabilities(tables, tokens: np.ndarray, start: np.ndarray) -> np.ndarr
         guess = places[0][c[:, 0]]
         for k in range(1, CONTEXT):
             guess = guess + places[k][c[:, k]]
-        logit = guess @ vectors + bias
+        logit = product(guess, vectors) + bias
         logit -= logit.max(1, keepdims=True)
         own = logit[np.arange(len(c)), tokens[at: at + BLOCK]]
         out[at: at + BLOCK] = own - np.log(np.exp(logit).sum(1))
