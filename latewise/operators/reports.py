@@ -14,10 +14,11 @@ from latewise.operators.ordered import nearest_rank, positions
 def trains_by_station_hour(events: DataFrame, stations: DataFrame, min_events: int = 5) -> DataFrame:
     """Per (station, arrival hour) the trains with at least ``min_events`` events,
     as a sorted pool (comma-joined). ``stations`` (``eva``) restricts the stations."""
-    e = (events.filter(F.col("arrival_planned_time").isNotNull())
-         .join(stations.select("eva").distinct(), "eva", "left_semi"))
-    g = (e.groupBy("eva", F.hour("arrival_planned_time").alias("h"), strip_zeros("train_number").alias("t"))
+    g = (events.filter(F.col("arrival_planned_time").isNotNull())
+         .groupBy("eva", F.hour("arrival_planned_time").alias("h"), strip_zeros("train_number").alias("t"))
          .agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= min_events))
+    # the counts meet the stations, not the events
+    g = g.join(stations.select("eva").distinct(), "eva", "left_semi")
     return g.groupBy("eva", "h").agg(F.array_join(F.sort_array(F.collect_list("t")), ",").alias("pool"))
 
 
