@@ -89,3 +89,26 @@ def test_files_are_not_broadcast_by_their_compressed_size(spark, tmpdir_path):
     assert "BroadcastHashJoin" not in j._jdf.queryExecution().executedPlan().toString()
     j.agg(F.count("*")).collect()
     assert "BroadcastHashJoin" not in j._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("n_events", [4, 80, 900])
+def test_nearest_on_the_day_as_by_comparing_all(spark, n_events):
+    legs, keyed, ll, kk = _tables(spark, 200, n_events, n_events + 1)
+    got = {(r.journey_id, r.delay_min, r.canceled, r.reason) for r in M.leg_on_date(legs, keyed).collect()}
+    want = set()
+    for j, _, _, train, _, _, q in ll:
+        found = []
+        for sid, p, c, canc, tr, _, reason in kk:
+            a, b = p.hour * 60 + p.minute, q.hour * 60 + q.minute
+            if tr == train.lstrip("0") and p.date() == q.date() and min(abs(a - b), 1440 - abs(a - b)) <= 120:
+                delay = None if canc else 0 if c is None else (c.date() - p.date()).days * 1440 + c.hour * 60 + c.minute - a
+                found.append(((abs(a - b), p, c is None, c or p, sid is None, sid or ""), (j, delay, canc, reason)))
+        if found:
+            want.add(min(found, key=lambda x: x[0])[1])
+    assert got == want != set()
+
+
+def test_a_lookup_of_a_day_is_not_joined_with_its_events(spark):
+    legs, keyed, _, _ = _tables(spark, 20, 200, 5)
+    plan = M.leg_on_date(legs, keyed)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1  # the legs with the answers
