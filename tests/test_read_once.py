@@ -29,3 +29,10 @@ def test_stops_read_a_document_once(spark):
     out = MS.explode_stops(_docs(spark, STOPS), keep=("n",)).select("n", F.col("s._id").alias("id"))
     assert _plan(out).count("from_xml(") == 1
     assert sorted((r.n, r.id) for r in out.collect()) == [(0, "a"), (0, "b"), (2, "c")]
+
+
+def test_rejects_read_a_document_once(spark):
+    out = MS.rejected(_docs(spark, STOPS), "response_data", MS.TIMETABLE_SCHEMA, "xml")
+    assert _plan(out).count("from_xml(") == 1
+    assert out.columns == ["n", "response_data"]
+    assert sorted(r.n for r in out.collect()) == [3, 4]
