@@ -80,6 +80,24 @@ def counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(work, "h long, kind int, n long").groupBy("h").agg(F.first("kind").alias("kind"), F.sum("n").alias("n"))
 
 
+def logistic(x: np.ndarray) -> np.ndarray:
+    """1 / (1 + exp(-x)), in place."""
+    np.negative(x, x)
+    np.exp(x, x)
+    x += 1
+    return np.reciprocal(x, x)
+
+
+def summed(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """Sums of the rows that share a place ``at`` (bytes), for places 0 to n - 1."""
+    order = np.argsort(at, kind="stable")
+    place = at.take(order)
+    first = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
+    out = np.zeros((n, rows.shape[1]), np.float32)
+    out[place[first]] = np.add.reduceat(rows.take(order, 0), first, axis=0)
+    return out
+
+
 class LogBilinear:
     """Vectors and biases over the outputs, trained by noise-contrastive estimation."""
 
@@ -119,24 +137,37 @@ class LogBilinear:
             self.moments = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
         m, v = self.moments
         log_noise = np.log(NOISE * self.noise).astype(np.float32)
+        # a place at a time; the sums of rows by output order them by one byte
+        before = np.ascontiguousarray(before.T)
+        before_byte, target_byte = before.astype(np.uint8), target.astype(np.uint8)
         order = rng.permutation(len(target))
         for at in range(0, len(order), STEP):
             own = order[at: at + STEP]
-            c, t, false = before[own], target[own], rng.choice(OUTPUTS, NOISE, p=self.noise)
-            inputs = [self.context[c[:, k]] for k in range(CONTEXT)]
-            guess = sum(x * p for x, p in zip(inputs, self.places, strict=True))
-            true = 1 / (1 + np.exp(-((guess * self.vectors[t]).sum(1) + self.bias[t] - log_noise[t]))) - 1
-            wrong = 1 / (1 + np.exp(-(guess @ self.vectors[false].T + self.bias[false] - log_noise[false])))
-            at_true, at_false = np.zeros((len(own), OUTPUTS), np.float32), np.zeros((NOISE, OUTPUTS), np.float32)
-            at_true[np.arange(len(own)), t] = true
-            at_false[np.arange(NOISE), false] = 1
-            error = (at_true + wrong @ at_false) / np.float32(len(own))
-            back = error @ self.vectors
-            slopes = [np.zeros_like(self.context), np.array([(back * x).sum(0) for x in inputs]), error.T @ guess, error.sum(0)]
-            for k in range(CONTEXT):
-                hot = np.zeros((len(own), OUTPUTS + 1), np.float32)
-                hot[np.arange(len(own)), c[:, k]] = 1
-                slopes[0] += hot.T @ (back * self.places[k])
+            t, false, n = target.take(own), rng.choice(OUTPUTS, NOISE, p=self.noise), np.float32(len(own))
+            guess = self.context.take(before[0].take(own), 0)
+            guess *= self.places[0]
+            for k in range(1, CONTEXT):
+                x = self.context.take(before[k].take(own), 0)
+                x *= self.places[k]
+                guess += x
+            drawn, back = self.vectors.take(false, 0), self.vectors.take(t, 0)
+            true = np.einsum("ij,ij->i", guess, back)
+            true += self.bias.take(t) - log_noise.take(t)
+            true = (logistic(true) - 1) / n
+            wrong = guess @ drawn.T
+            wrong += self.bias.take(false) - log_noise.take(false)
+            logistic(wrong)
+            wrong /= n
+            # the errors' way back, without a matrix of tokens by outputs
+            back *= true[:, None]
+            back += wrong @ drawn
+            chosen = (false == np.arange(OUTPUTS)[:, None]).astype(np.float32)
+            at_vectors = chosen @ (wrong.T @ guess)
+            at_bias = (chosen @ wrong.sum(0) + np.bincount(t, true, OUTPUTS)).astype(np.float32)
+            guess *= true[:, None]
+            at_vectors += summed(target_byte.take(own), guess, OUTPUTS)
+            placed = [summed(before_byte[k].take(own), back, OUTPUTS + 1) for k in range(CONTEXT)]
+            slopes = [sum(g * p for g, p in zip(placed, self.places, strict=True)), np.array([(g * self.context).sum(0) for g in placed]), at_vectors, at_bias]
             self.step += 1
             now = rate(self.step)
             for i, g in enumerate(slopes):
@@ -152,12 +183,13 @@ class LogBilinear:
 def windows(tokens: np.ndarray, start: np.ndarray, a: int = 0, b: int | None = None) -> np.ndarray:
     """The ``CONTEXT`` outputs before each of the tokens from ``a`` to ``b``, nearest first;
     ``start``: where each token's text starts."""
-    place = np.arange(a, len(tokens) if b is None else min(b, len(tokens)))
-    out, first = np.full((len(place), CONTEXT), BEFORE, np.int64), start[a:a + len(place)]
+    b = len(tokens) if b is None else min(b, len(tokens))
+    out, inside = np.full((CONTEXT, b - a), BEFORE, np.int64), np.arange(a, b) - start[a:b]
     for k in range(1, CONTEXT + 1):
-        inside = place - k >= first
-        out[inside, k - 1] = tokens[place[inside] - k]
-    return out
+        lead = max(0, k - a)
+        if lead < b - a:
+            out[k - 1, lead:] = np.where(inside[lead:] >= k, tokens[a + lead - k:b - k], BEFORE)
+    return out.T
 
 
 def log_probabilities(tables, tokens: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -166,13 +198,14 @@ def log_probabilities(tables, tokens: np.ndarray, start: np.ndarray) -> np.ndarr
     out = np.empty(len(tokens))
     for at in range(0, len(tokens), BLOCK):
         c = windows(tokens, start, at, at + BLOCK)
-        guess = places[0][c[:, 0]]
+        guess = places[0].take(c[:, 0], 0)
         for k in range(1, CONTEXT):
-            guess = guess + places[k][c[:, k]]
-        logit = guess @ vectors + bias
+            guess += places[k].take(c[:, k], 0)
+        logit = guess @ vectors
+        logit += bias
         logit -= logit.max(1, keepdims=True)
         own = logit[np.arange(len(c)), tokens[at: at + BLOCK]]
-        out[at: at + BLOCK] = own - np.log(np.exp(logit).sum(1))
+        out[at: at + BLOCK] = own - np.log(np.exp(logit, logit).sum(1))
     return out
 
 

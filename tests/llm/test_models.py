@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -255,6 +256,32 @@ def test_lm_is_normalised_and_beats_counts(spark, monkeypatch):
     assert math.exp(last[-1]) > 0.5
 
 
+def test_lm_step_is_that_of_the_one_hot_matrices():
+    """The gradients by sums over outputs are those of matrices of tokens by outputs, which a step does not make."""
+    rng = np.random.default_rng(3)
+    tokens = rng.choice(lbl.OUTPUTS, lbl.STEP, p=(w := 1 / np.arange(1, lbl.OUTPUTS + 1)) / w.sum())
+    before = lbl.windows(tokens, np.repeat(np.arange(0, lbl.STEP, 64), 64))
+    model = lbl.LogBilinear([], np.bincount(tokens, minlength=lbl.OUTPUTS))
+    context, places, vectors, bias = (p.astype(np.float64) for p in (model.context, model.places, model.vectors, model.bias))
+    draw = np.random.default_rng(5)
+    own = draw.permutation(lbl.STEP)
+    c, t, false = before[own], tokens[own], draw.choice(lbl.OUTPUTS, lbl.NOISE, p=model.noise)
+    guess, log_noise = sum(context[c[:, k]] * places[k] for k in range(lbl.CONTEXT)), np.log(lbl.NOISE * model.noise)
+    error = (1 / (1 + np.exp(-(guess @ vectors[false].T + bias[false] - log_noise[false])))) @ np.eye(lbl.OUTPUTS)[false]
+    error[np.arange(len(own)), t] += 1 / (1 + np.exp(-((guess * vectors[t]).sum(1) + bias[t] - log_noise[t]))) - 1
+    error /= len(own)
+    back = error @ vectors
+    want = [sum(np.eye(lbl.OUTPUTS + 1)[c[:, k]].T @ (back * places[k]) for k in range(lbl.CONTEXT)),
+            np.array([(back * context[c[:, k]]).sum(0) for k in range(lbl.CONTEXT)]), error.T @ guess, error.sum(0)]
+    tracemalloc.start()
+    model.learn(before, tokens, np.random.default_rng(5), lambda step: 0.0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    for got, w in zip(model.moments[0], want, strict=True):
+        assert np.allclose(got, 0.1 * w, rtol=1e-3, atol=1e-7)
+    assert peak < 2 * 4 * lbl.STEP * lbl.OUTPUTS
+
+
 def test_lm_trains_on_all_texts(spark):
     """Two long texts whose ids a sample by a hash of ids leaves out."""
     ids = [r.id for r in spark.range(1000).where("pmod(xxhash64(id), 1 << 20) > 0.95 * (1 << 20)").limit(2).collect()]
