@@ -112,3 +112,19 @@ def test_a_lookup_of_a_day_is_not_joined_with_its_events(spark):
     legs, keyed, _, _ = _tables(spark, 20, 200, 5)
     plan = M.leg_on_date(legs, keyed)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join") == 1  # the legs with the answers
+
+
+def test_pairs_of_the_history_join_are_made_last_and_not_shuffled(spark):
+    legs, keyed, ll, kk = _tables(spark, 80, 400, 3)
+    _, cand, _, _ = M.history_candidates(legs, keyed, 7)
+    got = cand.select("journey_id", "h_id", "h_planned", "tod_diff")
+    lines = got._jdf.queryExecution().sparkPlan().toString().splitlines()
+    assert sum("Join" in x for x in lines) == 1
+    want = []
+    for j, _, _, train, _, _, q in ll:
+        for sid, p, *_, in [k for k in kk if k[4] == train.lstrip("0")]:
+            d = abs(p.hour * 60 + p.minute - q.hour * 60 - q.minute)
+            if min(d, 1440 - d) <= 120:
+                want.append((j, sid, p, min(d, 1440 - d)))
+    order = lambda rows: sorted(rows, key=str)
+    assert order(tuple(r) for r in got.collect()) == order(want) != []
