@@ -58,3 +58,30 @@ def test_store_stats_takes_the_life_once(spark):
     fixture(spark, SF_SMALL)
     plan = store_stats(spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("from_json(") == 1 and "scalar-subquery" not in plan
+
+
+def test_stops_read_and_fold_a_run_once(spark):
+    runs = spark.createDataFrame([("d", "k", "1", '{"dataPartenzaTreno": 0, "fermate": [{"id": "A", "arrivo_teorico": 5}]}'), ("d", "l", "1", "{}"), ("d", "m", "1", None)],
+                                 "day string, train_key string, number string, body string")
+    # derived like the landed payloads, so that each further reading would build it again
+    stops, _ = R.run_snapshots(runs.select("day", "train_key", "number", F.trim("body").alias("payload")))
+    plan = stops._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == 1 and plan.count("trim(body") == 1 and plan.count("aggregate(") == 2
+    assert [(r.train_key, r.stop_code) for r in stops.collect()] == [("k", "A")]
+
+
+def test_a_run_and_its_payload_are_taken_from_one_grouping(spark):
+    from latewise.sources import feeds
+    plan = feeds.it_run_payloads(fixture(spark, SF_SMALL).latest)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [ok") == 1 and "Join" not in plan
+
+
+def test_rome_times_on_the_nights_of_the_clock_change(spark):
+    import datetime as dt
+    from zoneinfo import ZoneInfo
+
+    from latewise.functions.timefn import epoch_ms_to_local
+    rome = ZoneInfo("Europe/Rome")
+    ms = [(int(dt.datetime(2026, m, d, tzinfo=dt.UTC).timestamp()) + 900 * k) * 1000 + 7 for m, d in ((3, 28), (10, 24)) for k in range(192)]
+    got = spark.createDataFrame([(x,) for x in ms], "ms long").select("ms", epoch_ms_to_local("ms", "Europe/Rome").alias("t")).collect()
+    assert all(r.t == (dt.datetime.fromtimestamp(r.ms // 1000, rome).replace(tzinfo=None) + dt.timedelta(milliseconds=7)) for r in got)
